@@ -103,38 +103,36 @@ def target_changes(targets: Sequence[str] = TARGETS) -> list[Change]:
 # --- tolerant as-of lag --------------------------------------------------------------
 
 
+def _spec(keys: Sequence[str], order: str, frame: str, block: bool = False) -> str:
+    part = ", ".join([*keys, PIECE] + (["_block"] if block else []))
+    return f"OVER (PARTITION BY {part} ORDER BY {order} RANGE BETWEEN UNBOUNDED PRECEDING AND {frame})"
+
+
 def _nearest(df: DataFrame, pairs: dict[tuple[int, int], list[str]], keys, seq) -> DataFrame:
-    """Add ``_at_<h>_<tol>``: struct of the row nearest to ``hours`` ago, null if none is close."""
-    us = F.col(US)
-    asc = piece_window(keys).orderBy(US)
-    desc = piece_window(keys).orderBy(F.col(US).desc())
-    found = []
-    for (hours, _tol), cols in pairs.items():
-        lag = hours * US_PER_HOUR
-        payload = [F.col(c) for c in cols]
-        before = F.max(F.struct(us.alias("us"), (-F.col(seq)).alias("s"), *payload)).over(
-            asc.rangeBetween(Window.unboundedPreceding, -lag)
-        )
-        after = F.min(F.struct(us.alias("us"), F.col(seq).alias("s"), *payload)).over(
-            desc.rangeBetween(Window.unboundedPreceding, lag)
-        )
-        found += [before.alias(f"_b_{hours}_{_tol}"), after.alias(f"_a_{hours}_{_tol}")]
-    df = df.select("*", *found)
-    picked = []
-    for hours, tol in pairs:
+    """Add ``_at_<h>_<tol>``: struct of the row nearest to ``hours`` ago, null if none is close.
+
+    The row before the target closes a frame growing with time, the row after it closes a
+    frame growing against time; among equal timestamps the first stored one stands for all.
+    """
+    frames, picks = [], []
+    for (hours, tol), cols in pairs.items():
         lag, reach = hours * US_PER_HOUR, tol * 60_000_000
         b, a = f"_b_{hours}_{tol}", f"_a_{hours}_{tol}"
-        behind = us - lag - F.col(f"{b}.us")
-        ahead = F.col(f"{a}.us") - (us - lag)
-        use_b = (behind <= reach) & (F.col(a).isNull() | (behind <= ahead))
-        # the two structs differ in their tie-breaker only; drop it so that they unify
-        cols = pairs[(hours, tol)]
-        side = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in cols])
-        picked.append(
-            F.when(use_b, side(b)).when(ahead <= reach, side(a)).alias(f"_at_{hours}_{tol}")
+        payload = ", ".join(f"'{c}', {c}" for c in cols)
+        frames += [
+            f"max(named_struct('us', {US}, 's', -{seq}, {payload})) "
+            f"{_spec(keys, US, f'{lag} PRECEDING')} AS {b}",
+            f"min(named_struct('us', {US}, 's', {seq}, {payload})) "
+            f"{_spec(keys, f'{US} DESC', f'{lag} FOLLOWING')} AS {a}",
+        ]
+        behind, ahead = f"{US} - {lag} - {b}.us", f"{a}.us - ({US} - {lag})"
+        side = lambda x: "named_struct(" + ", ".join(f"'{c}', {x}.{c}" for c in cols) + ")"
+        picks.append(
+            f"CASE WHEN {behind} <= {reach} AND ({a} IS NULL OR {behind} <= {ahead}) THEN {side(b)} "
+            f"WHEN {ahead} <= {reach} THEN {side(a)} END AS _at_{hours}_{tol}"
         )
-    drop = [n for h, t in pairs for n in (f"_b_{h}_{t}", f"_a_{h}_{t}")]
-    return df.select("*", *picked).drop(*drop)
+    base = df.columns
+    return df.selectExpr("*", *frames).selectExpr(*base, *picks)
 
 
 def add_lags(
@@ -203,12 +201,7 @@ def asof_lag(df: DataFrame, column: str, hours: int, tolerance_minutes: int, nam
 # --- range statistics ----------------------------------------------------------------
 
 _PARTS = {"mean": ("n", "m"), "std": ("n", "m", "v"), "min": ("lo",), "max": ("hi",)}
-
-
-def _part(column: str, part: str, frame) -> Column:
-    c = F.col(column)
-    agg = {"n": F.count, "m": F.avg, "v": F.var_pop, "lo": F.min, "hi": F.max}[part]
-    return agg(c).over(frame).alias(f"{part}_{column}")
+_AGGREGATES = {"n": "count", "m": "avg", "v": "var_pop", "lo": "min", "hi": "max"}
 
 
 def add_rolling(df: DataFrame, rolls: Iterable[Rolling], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -231,50 +224,48 @@ def _one_window(df: DataFrame, hours: int, group: list[Rolling], keys) -> DataFr
     base = df.columns
     width = hours * US_PER_HOUR
     parts = list(dict.fromkeys((r.column, p) for r in group for p in _PARTS[r.stat]))
-    block = Window.partitionBy(*keys, PIECE, "_block")
-    head = block.orderBy(US).rangeBetween(Window.unboundedPreceding, 0)
-    tail = block.orderBy(F.col(US).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    entry = (
-        piece_window(keys)
-        .orderBy(F.col(US).desc())
-        .rangeBetween(Window.unboundedPreceding, width)
-    )
+    head = _spec(keys, US, "CURRENT ROW", block=True)
+    tail = _spec(keys, f"{US} DESC", "CURRENT ROW", block=True)
+    entry = _spec(keys, f"{US} DESC", f"{width} FOLLOWING")
 
-    def running(frame) -> Column:
-        rows = F.count(F.lit(1)).over(frame).alias("rows")
-        return F.struct(F.col("_block").alias("block"), rows, *[_part(c, p, frame) for c, p in parts])
+    def running(side: str, frame: str) -> list[str]:
+        return [f"count(1) {frame} AS _{side}_rows"] + [
+            f"{_AGGREGATES[p]}({c}) {frame} AS _{side}_{p}_{c}" for c, p in parts
+        ]
 
     df = df.withColumn("_block", floor_div(F.col(US), width))
-    df = df.select("*", running(head).alias("_head"), running(tail).alias("_tail0"))
-    df = df.withColumn("_tail", F.last("_tail0").over(entry))
+    df = df.selectExpr("*", *running("h", head), *running("s", tail))
+    tails = ", ".join(
+        ["'block', _block", "'rows', _s_rows"] + [f"'{p}_{c}', _s_{p}_{c}" for c, p in parts]
+    )
+    heads = [c for c in df.columns if not c.startswith("_s_")]
+    df = df.selectExpr(*heads, f"last(named_struct({tails})) {entry} AS _tail")
     # the first row inside the window may already lie in the row's own block
-    df = df.withColumn("_tail", F.when(F.col("_tail.block") < F.col("_block"), F.col("_tail")))
-    enough = F.col("_head.rows") + F.coalesce(F.col("_tail.rows"), F.lit(0)) >= 2
-    return df.select(
-        *base, *[F.when(enough, _merged(r.column, r.stat)).alias(r.name) for r in group]
+    cut = [f"CASE WHEN _tail.block < _block THEN _tail.rows ELSE 0 END AS _t_rows"] + [
+        f"CASE WHEN _tail.block < _block THEN _tail.{p}_{c} END AS _t_{p}_{c}" for c, p in parts
+    ]
+    df = df.selectExpr(*heads, *cut)
+    return df.selectExpr(
+        *base,
+        *[
+            f"CASE WHEN _h_rows + _t_rows >= 2 THEN {_merged(r.column, r.stat)} END AS {r.name}"
+            for r in group
+        ],
     )
 
 
-def _merged(column: str, stat: str) -> Column:
-    h = lambda p: F.col(f"_head.{p}_{column}")
-    t = lambda p: F.col(f"_tail.{p}_{column}")
+def _merged(c: str, stat: str) -> str:
     if stat == "min":
-        return F.least(h("lo"), t("lo"))
+        return f"least(_h_lo_{c}, _t_lo_{c})"
     if stat == "max":
-        return F.greatest(h("hi"), t("hi"))
-    zero = F.lit(0.0)
-    nh, nt = F.coalesce(h("n"), F.lit(0)), F.coalesce(t("n"), F.lit(0))
-    mh, mt = F.coalesce(h("m"), zero), F.coalesce(t("m"), zero)
-    n = nh + nt
+        return f"greatest(_h_hi_{c}, _t_hi_{c})"
+    nh, nt = f"_h_n_{c}", f"coalesce(_t_n_{c}, 0)"
+    mh, mt = f"coalesce(_h_m_{c}, 0D)", f"coalesce(_t_m_{c}, 0D)"
     if stat == "mean":
-        return F.when(n > 0, (mh * nh + mt * nt) / n)
-    gap = mh - mt
-    spread = (
-        F.coalesce(h("v"), zero) * nh
-        + F.coalesce(t("v"), zero) * nt
-        + F.when(n > 0, gap * gap * nh * nt / n)
-    )
-    return F.when(n > 1, F.sqrt(spread / (n - 1)))
+        return f"({mh} * {nh} + {mt} * {nt}) / nullif({nh} + {nt}, 0)"
+    between = f"({mh} - {mt}) * ({mh} - {mt}) * {nh} * {nt} / nullif({nh} + {nt}, 0)"
+    within = f"coalesce(_h_v_{c}, 0D) * {nh} + coalesce(_t_v_{c}, 0D) * {nt}"
+    return f"CASE WHEN {nh} + {nt} > 1 THEN sqrt(({within} + {between}) / ({nh} + {nt} - 1)) END"
 
 
 # --- row-to-row operators ------------------------------------------------------------

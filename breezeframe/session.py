@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# recording a Python call site per column expression costs seconds on wide plans
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def build_session(app: str = "breezeframe", master: str | None = None, **conf) -> SparkSession:
     """A session with UTC time and adaptive execution; ``conf`` overrides any setting."""
     settings = {
@@ -16,6 +20,7 @@ def build_session(app: str = "breezeframe", master: str | None = None, **conf) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        CALL_SITES: "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
