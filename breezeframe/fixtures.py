@@ -104,3 +104,113 @@ panel AS (
   LEFT JOIN hourly h USING (station, time)
 )"""
 )
+
+
+# --- payload documents ---------------------------------------------------------------
+
+
+def pollution_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per station and day; every seventh hour lacks ``main``."""
+    p = panel_hourly(spark, sf_dir)
+    names = {
+        "co": "carbon_monoxide", "no": "no", "no2": "nitrogen_dioxide", "o3": "ozone",
+        "so2": "sulphur_dioxide", "pm2_5": "pm2_5", "pm10": "pm10", "nh3": "nh3",
+    }
+    parts = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+    item = F.struct(
+        F.col("seq").alias("dt"),
+        F.when(F.hour("time") % 7 != 0, F.struct((F.hour("time") % 5 + 1).alias("aqi"))).alias("main"),
+        parts.alias("components"),
+    )
+    return _documents(p, item)
+
+
+def weather_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per station and day; some hours lack ``main`` or ``wind``."""
+    p = panel_hourly(spark, sf_dir)
+    item = F.struct(
+        F.col("seq").alias("dt"),
+        F.when(
+            F.hour("time") % 11 != 0,
+            F.struct(F.col("temperature").alias("temp"), "humidity", "pressure"),
+        ).alias("main"),
+        F.when(
+            F.hour("time") % 5 != 0,
+            F.struct(F.col("wind_speed").alias("speed"), F.col("wind_direction").alias("deg")),
+        ).alias("wind"),
+    )
+    return _documents(p, item)
+
+
+def _documents(p: DataFrame, item: Column) -> DataFrame:
+    # a day has at most 24 hours, so the list is bounded
+    docs = p.groupBy("station", F.to_date("time").alias("day")).agg(
+        F.sort_array(F.collect_list(item)).alias("list")
+    )
+    return docs.select("station", F.to_json(F.struct("list")).alias("payload"))
+
+
+def forecast_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 72 grid hours of each station as a weather forecast."""
+    return _last_hours(panel_hourly(spark, sf_dir)).select(
+        "station", "step_hour", F.col("time").alias("target_time"),
+        "temperature", "humidity", "pressure", "wind_speed", "wind_direction",
+    )
+
+
+def forecast_pollution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hours as a pollution forecast, one hour early at two stations."""
+    early = F.col("station").isin("click", "view").cast("int")
+    return _last_hours(panel_hourly(spark, sf_dir)).select(
+        "station", "step_hour",
+        (F.col("time") - F.make_interval(hours=early)).alias("target_time"),
+        "carbon_monoxide", "ozone", "sulphur_dioxide", "nh3",
+    )
+
+
+def _last_hours(p: DataFrame, n: int = 72) -> DataFrame:
+    end = p.groupBy("station").agg(F.max("time").alias("_end"))
+    step = n - (F.unix_seconds("_end") - F.unix_seconds("time")) / 3600
+    return p.join(end, "station").withColumn("step_hour", step.cast("int")).filter("step_hour >= 1")
+
+
+LAST_HOURS = """
+ends AS (SELECT station, max(time) AS hi FROM panel GROUP BY station),
+fc AS (SELECT p.*, CAST(72 - date_diff('hour', p.time, hi) AS INTEGER) AS step_hour
+       FROM panel p JOIN ends USING (station) WHERE date_diff('hour', p.time, hi) < 72)"""
+
+
+# --- forecasts to score --------------------------------------------------------------
+
+
+def predictions(spark: SparkSession, sf_dir: str, horizons=None) -> DataFrame:
+    """Persistence forecast: the value at the base hour predicts every horizon."""
+    from breezeframe.operators.frames import targets_long
+    from breezeframe.schema import REPORT_HORIZONS, TARGETS
+
+    long = targets_long(panel_hourly(spark, sf_dir), TARGETS, horizons or REPORT_HORIZONS)
+    return long.filter(F.col("y").isNotNull() & F.col("y_base").isNotNull()).select(
+        "station", F.col("time").alias("base_time"), "h", "target",
+        F.col("y").alias("y_true"), F.col("y_base").alias("y_pred"),
+    )
+
+
+PREDICTIONS = (
+    PANEL
+    + """,
+base AS (SELECT station, time, target, v FROM panel UNPIVOT INCLUDE NULLS (v FOR target IN (pm2_5, pm10))),
+predictions AS (
+  SELECT b.station, b.time AS base_time, CAST(h AS INTEGER) AS h, b.target, t.v AS y_true, b.v AS y_pred
+  FROM base b, (VALUES (1), (6), (12), (24), (48), (72)) hs(h)
+  JOIN base t ON t.station = b.station AND t.target = b.target AND t.time = b.time + to_hours(h)
+  WHERE t.v IS NOT NULL AND b.v IS NOT NULL
+)"""
+)
+
+
+def monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference-monitor readings: index of the hourly PM2.5 mean plus an hour offset."""
+    from breezeframe.functions.aqi import aqi_strict
+
+    value = aqi_strict(F.col("pm2_5"), "pm2_5") + F.hour("time") % 5
+    return panel_hourly(spark, sf_dir).select("station", "time", value.alias("iqair_aqi"))

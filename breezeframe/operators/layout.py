@@ -109,52 +109,40 @@ def carried(
     df: DataFrame,
     cols: Sequence[str],
     keys: Sequence[str] = KEYS,
-    inclusive: bool = True,
-    backward: bool = False,
-    prefix: str = "_known_",
+    ahead: bool = False,
     bucket_hours: float = CARRY_BUCKET_HOURS,
     time: str = TIME,
     seq: str = SEQ,
 ) -> DataFrame:
-    """Nearest non-null value of each column at or before (``backward``: after) each row.
+    """Add ``_prev_<col>``, the last non-null value strictly before each row, and with
+    ``ahead`` also ``_next_<col>``, the first one strictly after it.
 
-    Inside a bucket a running frame finds it. What reaches in from earlier buckets comes
+    Inside a bucket a running frame finds it. What reaches in from other buckets comes
     from a carry table with one row per station and bucket, which is the only thing ever
     ordered over a whole station.
     """
+    cols = list(cols)
     bucketed = df.withColumn("_bucket", floor_div(micros(time), round(bucket_hours * US_PER_HOUR)))
-    order = [F.col(time), F.col(seq)]
-    if backward:
-        order = [c.desc() for c in order]
-    local = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    edge = F.min_by if backward else F.max_by
-    edges = bucketed.groupBy(*keys, "_bucket").agg(
-        *[
-            edge(F.col(c), F.when(F.col(c).isNotNull(), F.struct(time, seq))).alias(f"_edge_{c}")
-            for c in cols
-        ]
-    )
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_bucket").desc() if backward else F.col("_bucket"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = edges.select(
-        *keys,
-        "_bucket",
-        *[F.last(f"_edge_{c}", ignorenulls=True).over(across).alias(f"_carry_{c}") for c in cols],
-    )
-    near = bucketed.select(
-        "*", *[F.last(c, ignorenulls=True).over(local).alias(f"_near_{c}") for c in cols]
-    )
-    joined = near.join(carry, [*keys, "_bucket"], "left")
+    sides = {"_prev_": False, "_next_": True} if ahead else {"_prev_": False}
+    place = F.struct(time, seq)
+    edges, carries, nears = [], [], []
+    for side, backward in sides.items():
+        edge = F.min_by if backward else F.max_by
+        up = (lambda c: F.col(c).desc()) if backward else F.col
+        across = Window.partitionBy(*keys).orderBy(up("_bucket"))
+        local = Window.partitionBy(*keys, "_bucket").orderBy(up(time), up(seq))
+        for c in cols:
+            at = F.when(F.col(c).isNotNull(), place)
+            edges.append(edge(F.col(c), at).alias(f"_edge{side}{c}"))
+            before = across.rowsBetween(Window.unboundedPreceding, -1)
+            carries.append(F.last(f"_edge{side}{c}", ignorenulls=True).over(before).alias(f"_carry{side}{c}"))
+            before = local.rowsBetween(Window.unboundedPreceding, -1)
+            nears.append(F.last(c, ignorenulls=True).over(before).alias(f"_near{side}{c}"))
+    carry = bucketed.groupBy(*keys, "_bucket").agg(*edges).select(*keys, "_bucket", *carries)
+    joined = bucketed.select("*", *nears).join(carry, [*keys, "_bucket"], "left")
     return joined.select(
         *df.columns,
-        *[F.coalesce(f"_near_{c}", f"_carry_{c}").alias(f"{prefix}{c}") for c in cols],
+        *[F.coalesce(f"_near{s}{c}", f"_carry{s}{c}").alias(f"{s}{c}") for s in sides for c in cols],
     )
 
 

@@ -271,20 +271,21 @@ def _merged(c: str, stat: str) -> str:
 # --- row-to-row operators ------------------------------------------------------------
 
 
+def padded_change(column: str) -> Column:
+    """Relative change against the last known value; infinities become null."""
+    prev = F.col(f"_prev_{column}")
+    return F.when(prev != 0, F.coalesce(F.col(column), prev) / prev - 1)
+
+
 def pct_change(df: DataFrame, cols: dict[str, str], keys: Sequence[str] = KEYS, **kw) -> DataFrame:
-    """Relative change against the previous row, gaps padded forward; infinities become null."""
-    src = list(dict.fromkeys(cols.values()))
-    known = carried(df, src, keys, inclusive=False, prefix="_prev_", **kw)
-    return known.select(
-        *df.columns,
-        *[
-            F.when(
-                F.col(f"_prev_{c}") != 0,
-                F.coalesce(F.col(c), F.col(f"_prev_{c}")) / F.col(f"_prev_{c}") - 1,
-            ).alias(name)
-            for name, c in cols.items()
-        ],
-    )
+    """Relative change against the previous row, gaps padded forward."""
+    known = carried(df, list(dict.fromkeys(cols.values())), keys, **kw)
+    return known.select(*df.columns, *[padded_change(c).alias(name) for name, c in cols.items()])
+
+
+def keeps_nulls(column: str) -> bool:
+    """Columns in which a null is information, never a gap to fill."""
+    return any(p in column for p in ("lag_", "rolling_", "change_rate"))
 
 
 def fill_gaps(
@@ -296,25 +297,16 @@ def fill_gaps(
     time: str = TIME,
     seq: str = SEQ,
 ) -> DataFrame:
-    """Forward fill, then backward fill, then a default.
+    """Forward fill, then backward fill, then a default; all but lag, rolling and change columns.
 
-    Lag, rolling and change-rate columns keep their nulls: there a null is information.
     ``backward`` looks into the future, so leave it off for anything incremental.
     """
-    keep = {*keys, time, seq}
     if cols is None:
-        cols = [
-            c
-            for c in df.columns
-            if c not in keep and not any(p in c for p in ("lag_", "rolling_", "change_rate"))
-        ]
-    cols = list(cols)
-    out = carried(df, cols, keys, prefix="_f_", time=time, seq=seq)
-    if backward:
-        out = carried(out, cols, keys, backward=True, prefix="_g_", time=time, seq=seq)
+        cols = [c for c in df.columns if c not in {*keys, time, seq} and not keeps_nulls(c)]
+    out = carried(df, cols, keys, ahead=backward, time=time, seq=seq)
 
     def filled(c: str) -> Column:
-        options = [F.col(f"_f_{c}")] + ([F.col(f"_g_{c}")] if backward else [])
+        options = [F.col(c), F.col(f"_prev_{c}")] + ([F.col(f"_next_{c}")] if backward else [])
         if default is not None:
             options.append(F.lit(default).cast(df.schema[c].dataType))
         return F.coalesce(*options).alias(c)
@@ -349,7 +341,7 @@ def time_gaps(
     df: DataFrame, min_hours: float = 2.0, keys: Sequence[str] = KEYS, time: str = TIME, **kw
 ) -> DataFrame:
     """Stretches of more than ``min_hours`` without a reading."""
-    prev = carried(df, [time], keys, inclusive=False, prefix="_prev_", time=time, **kw)
+    prev = carried(df, [time], keys, time=time, **kw)
     start, end = F.col(f"_prev_{time}"), F.col(time)
     hours = (F.unix_micros(end) - F.unix_micros(start)) / US_PER_HOUR
     return prev.filter(hours > min_hours).select(

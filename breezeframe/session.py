@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # recording a Python call site per column expression costs seconds on wide plans
@@ -60,4 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{os.urandom(6).hex()}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: a cut of lineage that outlives
+    any executor. Meant for parameter tables, or rows that several passes re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _LOCAL_DIR: str | None = None
