@@ -31,39 +31,38 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long table ``(keys, column, p, value)``, linear interpolation between ranks."""
     by = [*keys, "column"]
+    long = _long(df, cols, keys)
     # equal readings travel once
-    values = _long(df, cols, keys).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
+    values = long.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
     at = sorted({min(max(q, 0.0), 1.0) for p in probs for q in (p - MARGIN, p + MARGIN)})
-    raw = _long(df, cols, keys).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(q) for q in at]), ACCURACY).alias("edges"),
+    sketch = long.groupBy(*by).agg(
+        F.percentile_approx("v", F.array(*[F.lit(q) for q in at]), ACCURACY).alias("edges")
     )
     # bin = number of edges below the value: monotone in v whatever the edges are
-    binned = values.join(raw.select(*by, "edges"), by).select(
+    binned = values.join(sketch, by).select(
         *by, "v", "c",
         F.aggregate("edges", F.lit(0), lambda a, e: a + (e < F.col("v")).cast("int")).alias("bin"),
     )
-    bins = binned.groupBy(*by, "bin").agg(F.sum("c").alias("c"))
-    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    spans = bins.withColumn("hi", F.sum("c").over(order)).withColumn("lo", F.col("hi") - F.col("c"))
-    # zero-based ranks either side of the interpolated position
-    wanted = raw.select(*by, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    wanted = wanted.withColumn("at", F.col("p") * (F.col("n") - 1)).withColumn(
-        "rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
+    bins = range(len(at) + 1)
+    counts = binned.groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.when(F.col("bin") <= b, F.col("c"))), F.lit(0)).alias(f"upto{b}") for b in bins]
     )
-    held = wanted.join(spans.drop("c"), by).filter(
-        (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    # zero-based ranks either side of each interpolated position, and the bin holding them
+    n = F.col(f"upto{bins[-1]}")
+    wanted = (
+        counts.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumn("at", F.col("p") * (n - 1))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+        .withColumn("bin", F.coalesce(*[F.when(F.col("rank") < F.col(f"upto{b}"), F.lit(b)) for b in bins]))
+        .withColumn("lo", F.coalesce(*[F.when(F.col("bin") == b, F.col(f"upto{b - 1}")) for b in bins[1:]], F.lit(0)))
+        .select(*by, "p", "at", "rank", "bin", "lo")
     )
-    needed = held.select(*by, "bin", "lo").distinct()
     inside = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        binned.join(needed, [*by, "bin"])
-        .withColumn("vhi", F.col("lo") + F.sum("c").over(inside))
-        .withColumn("vlo", F.col("vhi") - F.col("c"))
-        .select(*by, "bin", "v", "vlo", "vhi")
+    ranked = binned.join(wanted.select(*by, "bin").distinct(), [*by, "bin"]).select(
+        *by, "bin", "v", "c", F.sum("c").over(inside).alias("hi")
     )
-    found = held.join(ranked, [*by, "bin"]).filter(
-        (F.col("rank") >= F.col("vlo")) & (F.col("rank") < F.col("vhi"))
+    found = ranked.join(wanted, [*by, "bin"]).filter(
+        (F.col("rank") < F.col("lo") + F.col("hi")) & (F.col("rank") >= F.col("lo") + F.col("hi") - F.col("c"))
     )
     low, high = F.min("v"), F.max("v")
     share = F.max(F.col("at") - F.floor("at"))
