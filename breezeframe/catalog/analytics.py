@@ -59,7 +59,7 @@ _EFF_L = (
     + " OR ".join(f"(x = '{n}' AND h > {k})" for n, (_, k) in LAGS.items()) + "))"
 )
 _EFF_R = f"{lead_corr_sql(ROLLS, ['pm2_5'], EHZ, 'feat')}, e AS (SELECT * FROM ll WHERE n > 10 AND r IS NOT NULL AND NOT isnan(r))"
-_TOP = "k AS (SELECT *, row_number() OVER (PARTITION BY station, target, h ORDER BY abs(r) DESC, x) AS rank FROM e)"
+_TOP = "k AS (SELECT *, row_number() OVER (PARTITION BY station, target, h ORDER BY round(abs(r), 12) DESC, x) AS rank FROM e)"
 _SUMMARY = (
     "SELECT *, " + case("avg_abs_r", [(0.6, "Excellent"), (0.4, "Good"), (0.2, "Moderate")], "Poor")
     + " AS quality FROM (SELECT station, target, h, max(x) FILTER (rank = 1) AS best, avg(abs(r)) AS avg_abs_r FROM k WHERE rank <= 3 GROUP BY ALL)"
@@ -244,8 +244,8 @@ _CATS = {"weather": FEATS[:4], "pollutants": FEATS[4:]}
 @query(
     "o3_top_features",
     f"""WITH {PANEL}, c AS ({" UNION ALL ".join(f"SELECT station, '{t}' AS target, '{x}' AS x, corr({x}, {t}) AS r, CASE WHEN '{x}' IN ('ozone', 'nh3') THEN 'pollutants' ELSE 'weather' END AS category FROM panel GROUP BY station" for x in FEATS for t in TG)})
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station, target ORDER BY abs(r) DESC, x) AS rank,
-x = first(x) OVER (PARTITION BY station, target, category ORDER BY abs(r) DESC, x) AS best_of_category FROM c) WHERE rank <= 4""",
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY station, target ORDER BY round(abs(r), 12) DESC, x) AS INTEGER) AS rank,
+x = first(x) OVER (PARTITION BY station, target, category ORDER BY round(abs(r), 12) DESC, x) AS best_of_category FROM c) WHERE rank <= 4""",
     dbl="r",
 )
 def o3(spark, sf):
@@ -255,7 +255,7 @@ def o3(spark, sf):
 
 @query(
     "w16_topk_by_abs",
-    f"WITH {PANEL}, {lead_corr_sql(FEATS, TG, HZ)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station, target, h ORDER BY abs(r) DESC, x) AS rank FROM ll) WHERE rank <= 3",
+    f"WITH {PANEL}, {lead_corr_sql(FEATS, TG, HZ)} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY station, target, h ORDER BY round(abs(r), 12) DESC, x) AS INTEGER) AS rank FROM ll) WHERE rank <= 3",
     dbl="r",
 )
 def w16(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from breezeframe.functions.features import predictability_label, tiered
 from breezeframe.operators.aggregates import corr_pairs
+from breezeframe.operators.layout import with_position
 from breezeframe.operators.windows import shift
 from breezeframe.schema import KEYS, REPORT_HORIZONS, SEQ, TARGETS, TIME
 
@@ -50,8 +51,11 @@ def persistence_corr(df: DataFrame, cols: Sequence[str] = TARGETS, horizons=REPO
 
 
 def topk_by_abs(df: DataFrame, k: int, by: Sequence[str], name: str, r: str = "r") -> DataFrame:
-    """The ``k`` largest absolute correlations of each group, ranked; names break ties."""
-    w = Window.partitionBy(*by).orderBy(F.abs(r).desc(), name)
+    """The ``k`` largest absolute correlations of each group, ranked.
+
+    Values equal to twelve digits tie; names break ties.
+    """
+    w = Window.partitionBy(*by).orderBy(F.round(F.abs(r), 12).desc(), name)
     return df.filter(F.col(r).isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -103,7 +107,7 @@ def best_predictor(ll: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Strongest predictor, mean absolute correlation and reading per lead."""
     by = [*keys, "target", "h"]
     out = ll.filter(F.col("r").isNotNull()).groupBy(*by).agg(
-        F.min_by("x", F.struct(-F.abs("r"), "x")).alias("best"),
+        F.min_by("x", F.struct(-F.round(F.abs("r"), 12), "x")).alias("best"),
         F.max(F.abs("r")).alias("best_abs_r"),
         F.avg(F.abs("r")).alias("avg_abs_r"),
     )
@@ -228,37 +232,54 @@ def erfc(x: Column) -> Column:
 def pacf(df: DataFrame, col: str, max_lag: int = 40, keys: Sequence[str] = KEYS) -> DataFrame:
     """Partial autocorrelation by least squares with intercept, lags 0..min(max_lag, n // 4).
 
-    Spark forms the Gram matrix of the lagged rows; what reaches Python per key is that one
-    row of (max_lag + 2)^2 / 2 sums, for whose leading blocks the normal equations are solved.
-    Lag k fits on rows from ``max_lag`` on, so that every fit sees the same rows.
+    The fit of lag k uses every row that has k predecessors. Spark forms the Gram matrix of
+    the rows that have all ``max_lag``; the few rows before them travel as values. What
+    reaches Python per key is that one row, whose leading blocks are solved there.
     """
     known = df.select(*keys, TIME, SEQ, col).filter(F.col(col).isNotNull())
-    stats = known.groupBy(*keys).agg(F.avg(col).alias("_mu"), F.count(F.lit(1)).alias("_n"))
-    x0 = known.join(stats, list(keys)).withColumn("_x0", F.col(col) - F.col("_mu"))
-    lagged = shift(x0.select(*keys, TIME, SEQ, "_x0", "_n"), {f"_x{k}": ("_x0", k) for k in range(1, max_lag + 1)}, keys)
-    full = lagged.filter(F.col(f"_x{max_lag}").isNotNull())
-    names = ["_x0", *[f"_x{k}" for k in range(1, max_lag + 1)]]
+    mean = known.groupBy(*keys).agg(F.avg(col).alias("_mu"))
+    x0 = known.join(mean, list(keys)).withColumn("_x0", F.col(col) - F.col("_mu"))
+    placed = with_position(x0, keys, "_pos").select(*keys, TIME, SEQ, "_x0", "_pos")
+    lagged = shift(placed, {f"_x{k}": ("_x0", k) for k in range(1, max_lag + 1)}, keys, pos="_pos")
+    names = [f"_x{k}" for k in range(max_lag + 1)]
     upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    gram = full.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("m"),
-        F.max("_n").alias("n"),
-        F.array(*[F.sum(c) for c in names]).alias("sums"),
-        F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in upper]).alias("products"),
+    full = F.col("_pos") > max_lag
+    early = F.when(~full, F.struct("_pos", "_x0"))
+    gram = lagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(full, F.col(c))), F.lit(0.0)) for c in names]).alias("sums"),
+        F.array(*[
+            F.coalesce(F.sum(F.when(full, F.col(names[i]) * F.col(names[j]))), F.lit(0.0)) for i, j in upper
+        ]).alias("products"),
+        # at most max_lag values
+        F.transform(F.sort_array(F.collect_list(early)), lambda e: e["_x0"]).alias("head"),
     )
 
     @F.pandas_udf("array<double>")
-    def solve(m: pd.Series, sums: pd.Series, products: pd.Series) -> pd.Series:
-        out = []
-        for count, s, p in zip(m, sums, products):
-            g = np.zeros((max_lag + 1, max_lag + 1))
-            for (i, j), v in zip(upper, p):
-                g[i, j] = g[j, i] = v
-            g -= np.outer(s, s) / count
-            out.append([1.0] + [float(np.linalg.lstsq(g[1 : k + 1, 1 : k + 1], g[1 : k + 1, 0], rcond=None)[0][-1]) for k in range(1, max_lag + 1)])
-        return pd.Series(out)
-
-    solved = gram.select(*keys, "n", F.posexplode(solve("m", "sums", "products")).alias("lag", "r"))
-    return solved.filter(F.col("lag") <= F.floor(F.col("n") / 4)).drop("n")
+    def solve(n: pd.Series, sums: pd.Series, products: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([_partials(*row, upper, max_lag) for row in zip(n, sums, products, head)])
+
+    solved = gram.select(*keys, F.col("n").alias("_n"), F.posexplode(solve("n", "sums", "products", "head")).alias("lag", "r"))
+    return solved.filter(F.col("lag") <= F.floor(F.col("_n") / 4)).drop("_n")
+
+
+def _partials(n, sums, products, head, upper, max_lag) -> list[float]:
+    """Last coefficient of each regression on k = 1..max_lag lags, from sums of products."""
+    g = np.zeros((max_lag + 2, max_lag + 2))  # last row and column: the intercept
+    for (i, j), v in zip(upper, products):
+        g[i, j] = g[j, i] = v
+    g[-1, :-1] = g[:-1, -1] = sums
+    g[-1, -1] = max(n - max_lag, 0)
+    out = [1.0]
+    for k in range(1, max_lag + 1):
+        use = [*range(k + 1), max_lag + 1]
+        block = g[np.ix_(use, use)].copy()
+        for t in range(k, len(head)):
+            row = np.append(head[t - k : t + 1][::-1], 1.0)
+            block += np.outer(row, row)
+        coef = np.linalg.lstsq(block[1:, 1:], block[1:, 0], rcond=None)[0]
+        out.append(float(coef[k - 1]))
+    return out
 
 
 # --- interactions --------------------------------------------------------------------
@@ -314,6 +335,6 @@ def top_features(corr: DataFrame, k: int, categories: Mapping[str, Sequence[str]
     cat = F.coalesce(*[F.when(F.col("x").isin(*cols), F.lit(n)) for n, cols in categories.items()], F.lit("other"))
     named = corr.filter(F.col("r").isNotNull()).withColumn("category", cat)
     by = [*keys, "target"]
-    best = named.groupBy(*by, "category").agg(F.min_by("x", F.struct(-F.abs("r"), "x")).alias("_best"))
+    best = named.groupBy(*by, "category").agg(F.min_by("x", F.struct(-F.round(F.abs("r"), 12), "x")).alias("_best"))
     marked = named.join(best, [*by, "category"]).withColumn("best_of_category", F.col("x") == F.col("_best")).drop("_best")
     return topk_by_abs(marked, k, by, "x")

@@ -41,7 +41,7 @@ def with_location(df: DataFrame, city: str, latitude: float, longitude: float) -
 def cast_schema(df: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
     """Flags to bigint, every other number to double."""
     kinds = {
-        f.name: "bigint" if f.name in FLAG_COLUMNS else "double"
+        f.name: "bigint" if f.name in FLAG_COLUMNS or f.name.startswith("is_") else "double"
         for f in df.schema
         if isinstance(f.dataType, T.NumericType) and f.name not in keep
     }
