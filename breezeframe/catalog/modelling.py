@@ -245,7 +245,8 @@ def m12(spark, sf):
     shifts = {f"{t}_lag_{k}h": (t, k - 1) for t in ("pm2_5", "pm10") for k in (1, 2, 3)}
     shifts |= {f"temperature_target_{h}h": ("temperature", -h) for h in range(1, steps + 1)}
     shifts |= {f"{t}_target_1h": (t, -1) for t in ("pm2_5", "pm10")}
-    frame = W.shift(p.select("station", "time", "seq", "pm2_5", "pm10", "temperature"), shifts)
+    filled = W.fill_gaps(p.select("station", "time", "seq", "pm2_5", "pm10", "temperature"))
+    frame = W.shift(filled, shifts)
     feats = [f"{t}_lag_{k}h" for t in ("pm2_5", "pm10") for k in (1, 2, 3)] + ["temperature_target_1h"]
     fitted = M.fit_trees(frame, feats, [1], maxDepth=4, numTrees=5, seed=7)
     whole = frame.na.drop(subset=[*feats, *[f"temperature_target_{h}h" for h in range(1, steps + 1)]])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from breezeframe import fixtures as X
 from breezeframe.catalog.registry import query
 from breezeframe.catalog.scalars import BP, category_sql, strict_sql
+from breezeframe.catalog.windows import lag_sql
 from breezeframe.fixtures import PANEL, panel_hourly
 from breezeframe.operators import windows as W
 from breezeframe.schema import AQI_CATEGORIES
@@ -41,10 +42,11 @@ _ROLLS = [W.Rolling("pm2_5_rolling_mean_3h", "pm2_5", 3, "mean")]
 
 @query(
     "x2_feature_updates",
-    f"""WITH {PANEL} SELECT station, time, strftime(time, '%Y-%m-%d %H:%M:%S') AS time_str, pm2_5, lag(pm2_5, 1) OVER w AS pm2_5_lag_1h,
-lag(pm2_5, 24) OVER w AS pm2_5_lag_24h, CASE WHEN count(*) OVER w3 >= 2 THEN avg(pm2_5) OVER w3 END AS pm2_5_rolling_mean_3h
-FROM panel WINDOW w AS (PARTITION BY station ORDER BY time),
-w3 AS (PARTITION BY station ORDER BY time RANGE BETWEEN INTERVAL 3 HOURS PRECEDING AND CURRENT ROW)""",
+    f"""WITH {PANEL}, a AS ({lag_sql('pm2_5', 1, 30, 'panel')}), b AS ({lag_sql('pm2_5', 24, 60, 'panel')})
+SELECT p.station, p.time, strftime(p.time, '%Y-%m-%d %H:%M:%S') AS time_str, p.pm2_5, a.v AS pm2_5_lag_1h, b.v AS pm2_5_lag_24h,
+CASE WHEN count(*) OVER w3 >= 2 THEN avg(p.pm2_5) OVER w3 END AS pm2_5_rolling_mean_3h
+FROM panel p LEFT JOIN a USING (station, seq) LEFT JOIN b USING (station, seq)
+WINDOW w3 AS (PARTITION BY p.station ORDER BY p.time RANGE BETWEEN INTERVAL 3 HOURS PRECEDING AND CURRENT ROW)""",
     dbl="pm2_5_rolling_mean_3h",
 )
 def x2(spark, sf):
