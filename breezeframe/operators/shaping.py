@@ -106,17 +106,25 @@ def iqr_filter_seq(
     """Interquartile filter, column after column: each column's quartiles come from the rows
     that survived the columns before it. Null readings fail.
 
-    The quartiles of each step are written out (one row per key) before the next step
-    needs them, so the plan grows by one small join per column instead of nesting.
+    The passes re-read only keys and checked columns, written out once. Each step's
+    quartiles (one row per key) are written before the next step needs them, so the plan
+    grows by one small join per column instead of nesting.
     """
-    for c in [c for c in cols if c in df.columns]:
-        q = wide_quantiles(exact_quantiles(df, [c], [0.25, 0.75], keys), [0.25, 0.75], ["_q1", "_q3"], keys)
-        df = beside(df, materialise(q.drop("column"), "quartiles"), keys, ["_q1", "_q3"])
-        width = (F.col("_q3") - F.col("_q1")) * k
-        df = df.filter(F.col(c).between(F.col("_q1") - width, F.col("_q3") + width)).drop("_q1", "_q3")
+    cols = [c for c in cols if c in df.columns]
+    slim = materialise(df.select(*keys, *cols), "iqr-columns")
+    for c in cols:
+        q = wide_quantiles(exact_quantiles(slim, [c], [0.25, 0.75], keys), [0.25, 0.75], ["_q1", "_q3"], keys)
+        fences = materialise(q.drop("column"), "quartiles")
+        slim, df = (_inside(d, fences, c, k, keys) for d in (slim, df))
     return df
 
 
+def _inside(df: DataFrame, fences: DataFrame, c: str, k: float, keys: Sequence[str]) -> DataFrame:
+    width = (F.col("_q3") - F.col("_q1")) * k
+    out = beside(df, fences, keys, ["_q1", "_q3"])
+    return out.filter(F.col(c).between(F.col("_q1") - width, F.col("_q3") + width)).drop("_q1", "_q3")
+
+
 def band_merge(short: DataFrame, mid: DataFrame, cut: int = 12, h: str = "h", prefer: str = "short") -> DataFrame:
     """Steps up to ``cut`` from one forecast, later ones from the other.
 

@@ -20,6 +20,7 @@ def build_session(app: str = "breezeframe", master: str | None = None, **conf) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         CALL_SITES: "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
