@@ -273,5 +273,5 @@ def w17(spark, sf):
 
 @query("w18_ar1_noise")
 def w18(spark, sf):
-    t = R.targets_long(panel_hourly(spark, sf), ["nh3"], list(range(1, 73))).filter("y IS NOT NULL")
-    return R.ar1_noise(t.select("station", "time", "h", F.col("y").alias("nh3")), ["nh3"], 0.05, 0.30, 72)
+    noisy = R.ar1_noise(R.horizon_arrays(panel_hourly(spark, sf), ["nh3"], 72), ["nh3"], 0.05, 0.30, 72)
+    return noisy.select("station", "time", F.posexplode("nh3").alias("h", "nh3")).withColumn("h", F.col("h") + 1)

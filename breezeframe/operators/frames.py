@@ -120,6 +120,20 @@ def horizon_tensor(
     )
 
 
+def horizon_arrays(
+    df: DataFrame, cols: Sequence[str], steps: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Each column's values at 1..``steps`` rows ahead, as one array per base row."""
+    wide = shift(
+        df.select(*dict.fromkeys([*keys, TIME, SEQ, *cols])),
+        {f"_y_{c}_{h}": (c, -h) for c in cols for h in range(1, steps + 1)},
+        keys,
+    )
+    return wide.select(
+        *keys, TIME, *[F.array(*[F.col(f"_y_{c}_{h}") for h in range(1, steps + 1)]).alias(c) for c in cols]
+    )
+
+
 def ar1_noise(
     df: DataFrame,
     cols: Sequence[str],
@@ -129,29 +143,32 @@ def ar1_noise(
     rho: float = 0.8,
     seed: int = 7,
     row: Sequence[str] = (*KEYS, TIME),
-    h: str = "h",
 ) -> DataFrame:
-    """Add AR(1) noise along the horizon to a long frame with rows ``h`` = 1..``steps``.
+    """Add AR(1) noise along the horizon to array columns of ``steps`` values.
 
-    Innovations grow linearly from ``lo`` to ``hi``. Each is a Box-Muller draw from hashes
-    of (row, column, step), so a retried task and any partitioning give the same noise, and
-    the noise of one cell needs no neighbour row: e_h = sum of rho^(h-s) * innovation_s.
+    The innovations' deviation grows linearly from ``lo`` to ``hi``. Each is a Box-Muller
+    draw from hashes of (row, column, step): a retried task or another partitioning gives
+    the same noise, and no row needs a neighbour.
     """
 
     def uniform(tag: str, c: str, s):
         bits = F.xxhash64(*row, F.lit(c), s, F.lit(f"{tag}{seed}"))
         return (F.pmod(bits, F.lit(2**40)) + 0.5) / F.lit(float(2**40))
 
+    def innovation(c: str, s):
+        normal = F.sqrt(F.log(uniform("u", c, s)) * -2.0) * F.cos(uniform("v", c, s) * TAU)
+        return (F.lit(lo) + (s - 1) * F.lit((hi - lo) / max(steps - 1, 1))) * normal
+
     def noise(c: str):
-        def term(s):
-            u, v = uniform("u", c, s), uniform("v", c, s)
-            normal = F.sqrt(F.log(u) * -2.0) * F.cos(v * TAU)
-            std = F.lit(lo) + (s - 1) * F.lit((hi - lo) / max(steps - 1, 1))
-            return F.pow(F.lit(rho), F.col(h) - s) * std * normal
+        start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
+
+        def step(acc, s):
+            e = acc["e"] * rho + innovation(c, s)
+            return F.struct(e.alias("e"), F.array_append(acc["all"], e).alias("all"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.col(h)), F.lit(0.0), lambda acc, s: acc + term(s))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["all"])
 
-    return df.withColumns({c: F.col(c) + noise(c) for c in cols})
+    return df.withColumns({c: F.zip_with(c, noise(c), lambda x, e: x + e) for c in cols})
 
 
 # --- splits --------------------------------------------------------------------------

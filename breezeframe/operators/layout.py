@@ -20,7 +20,7 @@ from breezeframe.schema import KEYS, SEQ, TIME
 
 US_PER_HOUR = 3_600_000_000
 CHUNK_HOURS = 168
-CARRY_BUCKET_HOURS = 24
+CARRY_BUCKET_HOURS = 6
 POSITION_WIDTH = 50_000
 
 PIECE = "_piece"

@@ -21,6 +21,7 @@ from breezeframe.operators.layout import (
     carried,
     core,
     floor_div,
+    pick_chunk_hours,
     piece_window,
     position_halo,
     time_halo,
@@ -185,12 +186,19 @@ def window_features(
     keys: Sequence[str] = KEYS,
     time: str = TIME,
     seq: str = SEQ,
-    chunk_hours: float = CHUNK_HOURS,
+    chunk_hours: float | str = CHUNK_HOURS,
 ) -> DataFrame:
-    """All lags, range statistics and change rates behind a single shuffle."""
+    """All lags, range statistics and change rates behind a single shuffle.
+
+    ``chunk_hours="auto"`` measures the densest station-day first and cuts accordingly.
+    """
     lags, rolls, changes = list(lags), list(rolls), list(changes)
     back, ahead = _reach(lags, rolls, changes)
-    cut = time_halo(df, back, ahead, chunk_hours, time)
+    if chunk_hours == "auto":
+        chunk_hours = pick_chunk_hours(df, back + ahead, keys, time)
+    # block windows cluster on more columns than piece windows: without this the planner
+    # would shuffle for each kind
+    cut = time_halo(df, back, ahead, chunk_hours, time).repartition(*keys, PIECE)
     return core(add_lags(add_rolling(cut, rolls, keys), lags, changes, keys, seq))
 
 

@@ -38,7 +38,7 @@ def engineer_features(
     df: DataFrame,
     keys: Sequence[str] = KEYS,
     only: Collection[str] | None = None,
-    chunk_hours: float = CHUNK_HOURS,
+    chunk_hours: float | str = CHUNK_HOURS,
 ) -> DataFrame:
     """All engineered columns, or just those named in ``only``.
 
