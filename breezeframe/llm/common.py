@@ -135,3 +135,26 @@ def word_hashes(buf, offsets, separators, seed: int = 11):
 
 def id_list(column) -> list:
     return column.to_pylist()
+
+
+def map_texts(docs: DataFrame, text_column: str, schema: str, fn, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the columns of ``schema`` that ``fn(bytes, offsets)`` finds per text.
+
+    ``keep`` are the columns that stay (all of them if not given); one of them that has the
+    name of a new column is replaced. The text always reaches ``fn`` whole.
+    """
+    new = [c.split()[0] for c in schema.split(", ")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    types = docs.select(*keep).schema
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in types] + [schema])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, j, buf, offsets in blocks(batch.column(0)):
+                part = batch.slice(i, j - i)
+                found = fn(buf, offsets)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], [*keep, *new])
+
+    return docs.select(F.col(text_column).alias("__text"), *keep).mapInArrow(run, fields)

@@ -24,3 +24,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from breezeframe.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from breezeframe.llm.common import crc_of_id
+    from breezeframe.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id() % 5 == 0
+    model = fit(docs, ~held_out)
+    return identify(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.decontaminate import find_overlaps
+
+    docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return find_overlaps(docs, tests, keep=["doc_id"])
