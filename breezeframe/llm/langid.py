@@ -29,7 +29,7 @@ from breezeframe.llm.common import blocks, map_texts
 BUCKETS = 4096
 SCHEMA = "lang_pred string, score double, margin double, ambiguous boolean"
 #: margin of loss per bit below which the two best languages are not told apart
-AMBIGUOUS = 0.12
+AMBIGUOUS = 0.05
 
 
 @dataclass

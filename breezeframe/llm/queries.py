@@ -45,3 +45,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return find_overlaps(docs, tests, keep=["doc_id"])
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from breezeframe.llm.secrets import scan, written
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), name="found")
+    base = F.filter("found", lambda s: s["rank"] < 3)
+
+    def count(rank):
+        return F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("found")).alias("spans"),
+    )
