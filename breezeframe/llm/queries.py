@@ -67,3 +67,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(F.col("found")).alias("spans"),
     )
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.licenses import rarity, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, rarity(docs))
