@@ -82,3 +82,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from breezeframe.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
