@@ -89,3 +89,10 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from breezeframe.llm.suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
+@query
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.lattice import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
