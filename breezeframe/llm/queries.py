@@ -96,3 +96,13 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from breezeframe.llm.lattice import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.common import crc_of_id
+    from breezeframe.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), lambda c: crc_of_id(c) % 4 != 2)
+    return score(docs.withColumn("held_out", crc_of_id() % 4 == 2), model, 0.3, keep=["doc_id", "held_out"])
