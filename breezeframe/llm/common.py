@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breezeframe.session import materialise, shared_dir  # noqa: F401
+from breezeframe.session import materialise, scratch_path  # noqa: F401
 
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
