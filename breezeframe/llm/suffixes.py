@@ -18,15 +18,17 @@ Refinement of the buckets:
    later and earlier offsets. Members of one refined bucket have the same windows, so all
    but the earliest are repeats as a whole; a gram bucket with one refined bucket is finished.
 3. *Recursion.* Only buckets that still hold different strings go on, with one
-   representative per refined bucket: here each single window gets its identifier (the
-   refinement carried to depth ``length``), and all but its earliest start are repeats.
+   representative per refined bucket and the bytes its windows reach: here each single window
+   gets its identifier (the refinement carried to depth ``length``), and all but its earliest
+   start are repeats. Small buckets are split inside a task, a large one sends its windows
+   through the shuffle one by one.
 
 Identifiers are 128 bits of two rolling hashes, computed from the running sums of one pass.
 
 Hot strings: a task first settles what repeats inside its own batch and sends one member per
-refined bucket and at most two refined buckets per gram bucket under the bucket's own key;
-further ones travel under a key of their own. A bucket therefore never receives more rows
-than there are batches. Texts travel compressed; tables between steps lie in the shared
+refined bucket and at most ``PER_BATCH`` refined buckets per gram bucket under the bucket's
+own key; further ones travel under a key of their own, and such a bucket counts as large, as
+does one of more than ``IN_MEMORY`` members. Texts travel compressed; tables between steps lie in the shared
 folder; each step is one shuffle.
 
 Defined results: null text is empty; rows without an id neither match nor lose anything;
@@ -48,7 +50,9 @@ GRAM = 24
 PIECE = 1 << 22
 HELD = 1 << 20
 ROWS = "key bigint, c bigint, doc_id bigint, start bigint, n bigint, kind int"
-NORMAL, SEVERAL, SPAN = 0, 1, 2
+#: plain; first of a bucket that had more; of the further ones; settled bytes; context to split
+NORMAL, MORE, SEVERAL, SPAN, CONTEXT = 0, 1, 2, 3, 4
+PER_BATCH, IN_MEMORY = 64, 8192
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -108,6 +112,13 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[heads], start[heads], np.maximum.reduceat(end, heads)
 
 
+def _reaches(which: np.ndarray, n: int) -> np.ndarray:
+    """For numbers counting up from 0 in each group: whether the group has over ``n`` members."""
+    heads = np.flatnonzero(which == 0)
+    sizes = np.diff(np.append(heads, len(which)))
+    return np.repeat(sizes > n, sizes)
+
+
 def settle(b, c, doc, start, n, length):
     """What one batch can decide: rows for the exchange, as columns of ``ROWS``."""
     order = np.lexsort((start, doc, c, b))
@@ -119,7 +130,9 @@ def settle(b, c, doc, start, n, length):
     spans = _spans(doc[repeat], start[repeat], start[repeat] + n[repeat] + length - 1)
     rep = np.flatnonzero(new_c)
     which = np.arange(len(rep)) - np.maximum.accumulate(np.where(new_b[rep], np.arange(len(rep)), 0))
-    extra = which >= 2
+    extra = which >= PER_BATCH
+    kind = np.where(extra, SEVERAL, NORMAL)
+    kind[(which == 0) & _reaches(which, PER_BATCH)] = MORE
     key = b[rep].copy()
     key[extra] = mix(key[extra] ^ c[rep][extra])
     return [
@@ -128,7 +141,7 @@ def settle(b, c, doc, start, n, length):
         np.concatenate([doc[rep], spans[0]]),
         np.concatenate([start[rep], spans[1]]),
         np.concatenate([n[rep], spans[2] - spans[1]]),
-        np.concatenate([np.where(extra, SEVERAL, NORMAL), np.full(len(spans[0]), SPAN)]).astype(np.int32),
+        np.concatenate([kind, np.full(len(spans[0]), SPAN)]).astype(np.int32),
     ]
 
 
@@ -190,38 +203,131 @@ def repeated_spans(
     rows = _gather(ids, from_texts, length).repartition("key")
     earliest = Window.partitionBy("key", "c").orderBy("doc_id", "start")
     bucket = Window.partitionBy("key")
+    several = F.max(F.col("kind").isin(MORE, SEVERAL).cast("int")).over(bucket) == 1
     rows = rows.withColumn("place", F.rank().over(earliest))
-    rows = rows.withColumn(
-        "open", (F.min("c").over(bucket) != F.max("c").over(bucket)) | (F.max("kind").over(bucket) == SEVERAL)
-    )
+    rows = rows.withColumn("open", (F.min("c").over(bucket) != F.max("c").over(bucket)) | several)
+    rows = rows.withColumn("large", several | (F.count("*").over(bucket) > IN_MEMORY))
     span = (F.col("kind") == SPAN) | (F.col("place") > 1)
     rows = rows.where(span | F.col("open")).select(
-        "doc_id", "start",
+        "key", "doc_id", "start",
         F.when((F.col("kind") != SPAN) & span, F.col("n") + (length - 1)).otherwise(F.col("n")).alias("n"),
-        span.alias("settled"),
+        "large", span.alias("settled"),
     )
     rows = materialise(rows, "suffix-buckets")
 
-    open_ = rows.where("NOT settled").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    open_ = rows.where("NOT settled").groupBy("doc_id").agg(
+        F.collect_list(F.struct("key", "start", "n", "large")).alias("ranges")
+    )
+    texts = zipped_texts(docs, id_column, text_column)
+    reached = open_.join(texts, "doc_id").select("doc_id", "ranges", "zipped")
+    reached = reached.mapInArrow(_reach(length), f"{ROWS}, bytes binary")
+    reached = reached.repartition("key").sortWithinPartitions("key", "c", "doc_id", "start")
+    split = reached.mapInArrow(_split(length), "doc_id bigint, start bigint, n bigint")
+    return rows.where("settled").select("doc_id", "start", "n").unionByName(split)
+
 
-    def from_ranges(batch):
+def _reach(length: int):
+    """Open anchors become their bytes, or one row per window where the bucket is large."""
+
+    def run(batches):
+        import pyarrow as pa
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
-        for doc, ranges, zipped in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            buf = np.frombuffer(unzip(zipped), np.uint8)
-            starts = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in ranges]))
-            starts = starts[starts + length <= len(buf)]
-            b, c = windows_of(buf, starts, length)
-            yield b, c, np.full(len(starts), doc), starts, np.ones(len(starts), np.int64)
+        names = [*(c.split()[0] for c in ROWS.split(", ")), "bytes"]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part, near, single = batch.slice(i, 512), [], []
+                for doc, ranges, zipped in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    data = unzip(zipped)
+                    buf, starts = np.frombuffer(data, np.uint8), []
+                    for r in ranges:
+                        a, n = r["start"], min(r["n"], len(data) - length + 1 - r["start"])
+                        if n <= 0:
+                            continue
+                        if r["large"]:
+                            starts.append(np.arange(a, a + n))
+                        else:
+                            near.append((r["key"], 0, doc, a, n, CONTEXT, data[a : a + n + length - 1]))
+                    if starts:
+                        starts = np.unique(np.concatenate(starts))
+                        h = windows_of(buf, starts, length)
+                        single.append((*h, np.full(len(starts), doc), starts, np.ones(len(starts), np.int64)))
+                if near:
+                    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*near, strict=True), kinds, strict=True)], names
+                    )
+                if single:
+                    columns = settle(*(np.concatenate(x) for x in zip(*single, strict=True)), length)
+                    for k in range(0, len(columns[0]), 1 << 16):
+                        cut = [pa.array(x[k : k + (1 << 16)]) for x in columns]
+                        yield pa.RecordBatch.from_arrays([*cut, pa.nulls(len(cut[0]), pa.binary())], names)
+
+    return run
+
+
+def _repeats(h1, h2, doc, start, length: int):
+    order = np.lexsort((start, doc, h2, h1))
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    again = (doc != doc[head]) | (start != start[head])
+    return _spans(doc[again], start[again], start[again] + length)
+
+
+def _split(length: int):
+    """Rows come ordered by key: contexts of one bucket, or windows of one identifier."""
 
-    texts = zipped_texts(docs, id_column, text_column)
-    windows = _gather(open_.join(texts, "doc_id").select("doc_id", "ranges", "zipped"), from_ranges, length)
-    windows = windows.repartition("key").withColumn("place", F.rank().over(earliest))
-    windows = windows.where((F.col("kind") == SPAN) | (F.col("place") > 1)).select(
-        "doc_id", "start", F.when(F.col("kind") == SPAN, F.col("n")).otherwise(F.lit(length)).alias("n")
-    )
-    return rows.where("settled").drop("settled").unionByName(windows)
+    def run(batches):
+        import pyarrow as pa
+
+        def spans(doc, start, end):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (doc, start, end - start)], ["doc_id", "start", "n"]
+            )
+
+        def contexts(rows):
+            doc, start, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            buf = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+            first = np.cumsum(n + length - 1) - (n + length - 1)
+            ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h = windows_of(buf, np.repeat(first, n) + ramp, length)
+            return spans(*_repeats(*h, np.repeat(doc, n), np.repeat(start, n) + ramp, length))
+
+        held: list[tuple] = []
+        last = (None, None, None, None)  # key, c, id and start that the current window began with
+        for batch in batches:
+            key, c, doc, start, n, kind = (np.asarray(batch.column(k)) for k in range(6))
+            done = kind == SPAN
+            if done.any():
+                yield spans(doc[done], start[done], start[done] + n[done])
+            plain = np.flatnonzero((kind != SPAN) & (kind != CONTEXT))
+            if len(plain):
+                k, g, d, a = key[plain], c[plain], doc[plain], start[plain]
+                new = np.concatenate([[(k[0], g[0]) != last[:2]], (k[1:] != k[:-1]) | (g[1:] != g[:-1])])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+                head_doc = np.where(head >= 0, d[head], last[2] if last[2] is not None else 0)
+                head_start = np.where(head >= 0, a[head], last[3] if last[3] is not None else 0)
+                again = (d != head_doc) | (a != head_start)
+                last = (k[-1], g[-1], head_doc[-1], head_start[-1])
+                if again.any():
+                    yield spans(*_spans(d[again], a[again], a[again] + length))
+            near = np.flatnonzero(kind == CONTEXT)
+            if len(near):
+                texts = batch.column(6)
+                held += [(key[r], doc[r], start[r], n[r], texts[int(r)].as_py()) for r in near]
+                if len(held) >= 4096:  # all buckets but the last are complete
+                    end = len(held)
+                    while end and held[end - 1][0] == held[-1][0]:
+                        end -= 1
+                    if end:
+                        yield contexts(held[:end])
+                        held = held[end:]
+        if held:
+            yield contexts(held)
+
+    return run
 
 
 def remove_repeats(
