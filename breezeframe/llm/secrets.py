@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 ASSIGN = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+#: a run that fails its least length cannot hold a match that begins later in it, so for
+#: these two kinds the length may stand in the pattern, and short runs are never marked
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: cheap tests that hold for every text with a match
 GUARDS = (
