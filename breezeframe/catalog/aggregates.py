@@ -49,7 +49,7 @@ def a1(spark, sf):
 
 @query(
     "a2_group_stats",
-    f"""WITH {READINGS}, g AS (SELECT station, wind_cardinal, avg(pm2_5) AS mean, stddev_samp(pm2_5) AS std,
+    f"""WITH {READINGS}, g AS (SELECT station, wind_cardinal, round_even(avg(pm2_5), 2) AS mean, round_even(stddev_samp(pm2_5), 2) AS std,
 count(pm2_5) AS "count" FROM (SELECT *, {CARDINAL_SQL} AS wind_cardinal FROM readings) GROUP BY ALL)
 SELECT *, first(wind_cardinal) OVER (PARTITION BY station ORDER BY mean DESC NULLS LAST, wind_cardinal) AS highest,
 first(wind_cardinal) OVER (PARTITION BY station ORDER BY mean NULLS LAST, wind_cardinal) AS lowest FROM g""",
@@ -57,7 +57,7 @@ first(wind_cardinal) OVER (PARTITION BY station ORDER BY mean NULLS LAST, wind_c
 )
 def a2(spark, sf):
     r = readings(spark, sf).withColumn("wind_cardinal", G.cardinal(F.col("wind_direction")))
-    return A.group_stats(r, "wind_cardinal", "pm2_5", digits=None)
+    return A.group_stats(r, "wind_cardinal", "pm2_5")
 
 
 @query(

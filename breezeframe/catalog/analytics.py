@@ -153,17 +153,39 @@ def chi2_sql(q: str, k: int) -> str:
     return f"exp(-({q}) / 2) * (" + " + ".join(f"pow(({q}) / 2, {i}) / {math.factorial(i)}" for i in range(k // 2)) + ")"
 
 
-_TAILS = " ".join(f"WHEN {k} THEN {chi2_sql('q', k)}" for k in range(2, 25, 2))
+def erfc_sql(x: str) -> str:
+    """1 - erf by the series exp(-x^2) * sum 2^(i+1) x^(2i+1) / (2i+1)!! / sqrt(pi); nil beyond 6."""
+    term = f"exp((i + 1) * ln(2) + (2 * i + 1) * ln({x}) - ln(2) * -(i + 1) - lgamma(2 * i + 3) + lgamma(i + 2) - {x} * {x})"
+    return f"(CASE WHEN {x} > 6 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 250), lambda i: {term})) / sqrt(pi()) END)"
+
+
+def chi2_odd_sql(q: str, k: int) -> str:
+    """Tail for an odd number of degrees: erfc(sqrt(q/2)) + exp(-q/2) * sum (q/2)^(i-1/2) / gamma(i+1/2)."""
+    more = [f"exp(({i} - 0.5) * ln(({q}) / 2) - lgamma({i} + 0.5) - ({q}) / 2)" for i in range(1, (k - 1) // 2 + 1)]
+    return " + ".join([erfc_sql(f"sqrt(({q}) / 2)"), *more])
+
+
+_TAILS = " ".join(f"WHEN {k} THEN {chi2_odd_sql('q', k) if k % 2 else chi2_sql('q', k)}" for k in range(1, 25))
 
 
 @query(
     "t9_ljung_box",
     f"""WITH {PANEL}, {acf_sql(24)}, lb AS (SELECT station, lag, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY station ORDER BY lag) AS q
-FROM ac WHERE lag > 0) SELECT station, lag, q, p_value, p_value < 0.05 AS significant FROM (SELECT *, CASE lag {_TAILS} END AS p_value FROM lb) WHERE lag % 2 = 0""",
+FROM ac WHERE lag > 0) SELECT station, lag, q, p_value, p_value < 0.05 AS significant FROM (SELECT *, CASE lag {_TAILS} END AS p_value FROM lb)""",
     dbl="q p_value",
 )
 def t9(spark, sf):
-    return T.ljung_box(panel_hourly(spark, sf), "pm2_5").filter(F.col("lag") % 2 == 0)
+    return T.ljung_box(panel_hourly(spark, sf), "pm2_5")
+
+
+@query(
+    "t9b_ljung_box_verdict",
+    f"""WITH {PANEL}, {acf_sql(24)}, lb AS (SELECT station, lag, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY station ORDER BY lag) AS q
+FROM ac WHERE lag > 0) SELECT station, count(*) AS lags, count(*) FILTER (p_value < 0.05) AS significant_lags
+FROM (SELECT *, CASE lag {_TAILS} END AS p_value FROM lb) GROUP BY station""",
+)
+def t9b(spark, sf):
+    return T.ljung_box_verdict(T.ljung_box(panel_hourly(spark, sf), "pm2_5"))
 
 
 PAIRS = pm_weather_pairs(TG, ["temperature", "humidity"])

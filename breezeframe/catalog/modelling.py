@@ -30,6 +30,7 @@ from breezeframe.operators import windows as W
 from breezeframe.operators.aggregates import corr_pairs
 from breezeframe.plans import features as PF
 from breezeframe.plans import forecasts as PC
+from breezeframe.plans import training as E4
 from breezeframe.schema import (
     BASE_INTERACTIONS,
     CLEAN_FEATURES,
@@ -436,3 +437,32 @@ def e3(spark, sf):
         "station", "h", X.round6(F.col("pm2_5")).alias("pm2_5"), X.round6(F.col("pm10")).alias("pm10")
     )
     return M.forecast_report(pred, pred)
+
+
+# --- training and evaluation ---------------------------------------------------------
+
+
+@query("e4_train_evaluate")
+def e4(spark, sf):
+    p = panel_hourly(spark, sf)
+    short = E4.train_and_evaluate(p, _FEATURES, [1, 6], maxDepth=4, numTrees=8, seed=7)[1]
+    long = E4.train_and_evaluate(p, _FEATURES, [6, 24], maxDepth=4, numTrees=8, seed=7)[1]
+    return E4.banded(short, long)
+
+
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in _FEATURES)
+
+
+@query(
+    "e4b_split_sizes",
+    f"""WITH {PANEL}, w AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY time, seq) AS i, count(*) OVER (PARTITION BY station) AS m
+FROM panel WHERE {_WHOLE}), t AS (SELECT station, i <= floor(0.8::DOUBLE * m) AS is_train, unnest([1, 24]) AS h,
+unnest([lead(pm2_5, 1) OVER s, lead(pm2_5, 24) OVER s]) AS y FROM w WINDOW s AS (PARTITION BY station ORDER BY time, seq))
+SELECT station, h, is_train, count(y) AS n, avg(y) AS mean FROM t GROUP BY ALL""",
+    dbl="mean",
+)
+def e4b(spark, sf):
+    rows = E4.supervised(panel_hourly(spark, sf), _FEATURES, [1, 24], ["pm2_5"])
+    cells = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"pm2_5_target_{h}h").alias("y")) for h in (1, 24)]))
+    long = rows.select("station", "is_train", cells.alias("c"))
+    return long.groupBy("station", "c.h", "is_train").agg(F.count("c.y").alias("n"), F.avg("c.y").alias("mean"))

@@ -356,19 +356,6 @@ _TEMPLATES = ["temperature_scaled_target_{h}h", "hour_sin_target_hh", "nh3_scale
 _TEMPLATE_BASES = ["temperature_scaled", "hour_sin", "nh3_scaled", "pm2_5"]
 
 
-@query(
-    "f22_base_from_template",
-    f"""WITH {READINGS} SELECT station, template, base, count(*) AS n FROM readings,
-(VALUES {", ".join(f"('{t}', '{b}')" for t, b in zip(_TEMPLATES, _TEMPLATE_BASES))}) t(template, base) GROUP BY ALL""",
-)
-def f22(spark, sf):
-    names = F.explode(
-        F.array(*[F.struct(F.lit(t).alias("template"), F.lit(X.base_from_template(t)).alias("base")) for t in _TEMPLATES])
-    )
-    counts = readings(spark, sf).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("t", names).select("station", "t.template", "t.base", "n")
-
-
 @query(
     "f23_local_label",
     f"WITH {READINGS} SELECT station, seq, strftime(time + INTERVAL 5 HOUR, '%b %d, %H:%M') AS local_time FROM readings",
@@ -415,20 +402,3 @@ SELECT station, seq, wind_cardinal, code FROM r JOIN codes USING (wind_cardinal)
 def f26(spark, sf):
     d = readings(spark, sf).select(*KEY, "time", X.cardinal(F.col("wind_direction")).alias("wind_cardinal"))
     return X.label_encode(d, "wind_cardinal", "code").drop("time")
-
-
-_SPLITS = {"temp_humidity_interaction": "temperature,humidity", "wind_pm2_5_interaction": "wind_speed,pm2_5",
-           "pm10_wind_speed_interaction": "pm10,wind_speed", "unheard_of": ""}
-
-
-@query(
-    "f27_split_interaction",
-    f"""WITH {READINGS} SELECT station, interaction, parts, count(*) AS n FROM readings,
-(VALUES {", ".join(f"('{k}', '{v}')" for k, v in _SPLITS.items())}) t(interaction, parts) GROUP BY ALL""",
-)
-def f27(spark, sf):
-    names = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("interaction"), F.lit(",".join(X.split_interaction(k))).alias("parts")) for k in _SPLITS
-    ]))
-    counts = readings(spark, sf).groupBy("station").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("t", names).select("station", "t.interaction", "t.parts", "n")

@@ -28,6 +28,17 @@ def s1(spark, sf):
     return P.flatten_pollution(X.pollution_json(spark, sf))
 
 
+@query(
+    "s1b_dynamic_components",
+    f"""WITH {PANEL} SELECT station, time, carbon_monoxide AS co, no, nitrogen_dioxide AS no2, ozone AS o3,
+sulphur_dioxide AS so2, pm2_5, pm10, nh3, CASE WHEN carbon_monoxide IS NOT NULL THEN 1.5::DOUBLE END AS xyz,
+CASE WHEN hour(time) % 7 <> 0 THEN CAST(hour(time) % 5 + 1 AS INTEGER) END AS openweather_aqi FROM panel""",
+)
+def s1b(spark, sf):
+    docs = X.pollution_json(spark, sf).withColumn("payload", F.replace("payload", F.lit('"co":'), F.lit('"xyz":1.5,"co":')))
+    return P.flatten_pollution(docs, components="all")
+
+
 _WX_SQL = """CASE WHEN hour(time) % 11 <> 0 THEN temperature END AS temperature,
 CASE WHEN hour(time) % 11 <> 0 THEN humidity END AS humidity, CASE WHEN hour(time) % 11 <> 0 THEN pressure END AS pressure,
 CASE WHEN hour(time) % 5 <> 0 THEN wind_speed END AS wind_speed,

@@ -15,12 +15,14 @@ from breezeframe.session import scratch_path
 from breezeframe.streaming import jobs
 
 
-def _documents(spark, sf, copies: int) -> str:
-    """Folder with the same payload documents ``copies`` times, as replays would leave it."""
+def _documents(spark, sf) -> str:
+    """Folder with the payload documents dealt over files without regard to time, and half of
+    them once more, as late deliveries and replays would leave it."""
     path = scratch_path(spark, "documents")
     docs = X.pollution_json(spark, sf)
-    for _ in range(copies):
-        docs.coalesce(1).write.mode("append").parquet(path)
+    docs.repartition(6, F.xxhash64("payload")).write.parquet(path)
+    again = docs.where(F.pmod(F.xxhash64("payload"), F.lit(2)) == 0)
+    again.repartition(2, F.xxhash64("payload")).write.mode("append").parquet(path)
     return path
 
 
@@ -31,9 +33,9 @@ ozone, sulphur_dioxide, pm2_5, pm10, nh3 FROM panel""",
 )
 def x1(spark, sf):
     out = scratch_path(spark, "ingested")
-    stream = jobs.hourly_ingest(jobs.read_documents(spark, _documents(spark, sf, 2), files_per_batch=1))
-    jobs.run_available(stream.drop("openweather_aqi"), out, scratch_path(spark, "ckpt"))
-    return spark.read.parquet(out)
+    stream = jobs.read_documents(spark, _documents(spark, sf), files_per_batch=2)
+    jobs.run_updates(stream, jobs.hourly_ingest(out), scratch_path(spark, "ckpt"))
+    return spark.read.parquet(out).drop("date", "openweather_aqi")
 
 
 _LAGS = [W.Lag("pm2_5_lag_1h", "pm2_5", 1), W.Lag("pm2_5_lag_24h", "pm2_5", 24)]
@@ -54,9 +56,9 @@ def x2(spark, sf):
     p = panel_hourly(spark, sf).select("station", "time", "pm2_5")
     # two arrivals: every third hour comes late
     late = F.pmod(F.unix_seconds("time") / 3600, F.lit(3)) == 0
-    p.filter(~late).coalesce(1).write.parquet(rows)
-    p.filter(late).coalesce(1).write.mode("append").parquet(rows)
-    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(rows)
+    p.filter(~late).repartition(2, "station").write.parquet(rows)
+    p.filter(late).repartition(2, "station").write.mode("append").parquet(rows)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(rows)
     handler = jobs.feature_updates(raw, feats, _LAGS, _ROLLS, columns=["pm2_5"])
     jobs.run_updates(stream, handler, scratch_path(spark, "ckpt"))
     return spark.read.parquet(feats).drop("date")
@@ -72,14 +74,13 @@ _COUNTS = ", ".join(
     f"""WITH {PANEL}, {BP}, c AS (SELECT station, time, pm2_5, {category_sql('us')} AS cat FROM (SELECT *,
 CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) END AS us FROM (SELECT *, {strict_sql('pm2_5', 'pm2_5')} AS a, {strict_sql('pm10', 'pm10')} AS b FROM panel)))
 SELECT station, ws AS window_start, ws + INTERVAL 24 HOUR AS window_end, avg(pm2_5) AS pm2_5_mean, min(pm2_5) AS pm2_5_min, max(pm2_5) AS pm2_5_max,
-count(pm2_5) AS n, {_COUNTS} FROM (SELECT *, time - to_hours(k) AS ws FROM (SELECT *, unnest(range(0, 24)) AS k FROM c))
-WHERE ws + INTERVAL 24 HOUR <= (SELECT max(time) - INTERVAL 2 HOUR FROM panel) GROUP BY station, ws""",
+count(pm2_5) AS n, {_COUNTS} FROM (SELECT *, time - to_hours(k) AS ws FROM (SELECT *, unnest(range(0, 24)) AS k FROM c)) GROUP BY station, ws""",
     dbl="pm2_5_mean",
 )
 def x3(spark, sf):
     rows, out = scratch_path(spark, "rows"), scratch_path(spark, "stats")
     p = panel_hourly(spark, sf).select("station", "time", "pm2_5", "pm10")
-    p.coalesce(1).write.parquet(rows)
+    p.write.parquet(rows)
     stream = spark.readStream.schema(p.schema).parquet(rows)
-    jobs.run_available(jobs.sliding_stats(stream), out, scratch_path(spark, "ckpt"))
-    return spark.read.parquet(out)
+    jobs.run_updates(jobs.sliding_stats(stream), jobs.keep_windows(out), scratch_path(spark, "ckpt"), "update")
+    return spark.read.parquet(out).drop("date")

@@ -219,12 +219,18 @@ def horizon_label(h: Column) -> Column:
 def label_encode(df: DataFrame, column: str, out: str, time: str = TIME, seq: str = SEQ) -> DataFrame:
     """Integer codes in first-seen order.
 
-    The distinct labels are aggregated first; only that small table is ranked.
+    The distinct labels are aggregated first. They may be many, so they are numbered within
+    days of their first sight; only the number of new labels per day is summed up over all.
     """
     first = df.groupBy(column).agg(F.min(F.struct(time, seq)).alias("_first"))
-    codes = first.withColumn(
-        out, (F.row_number().over(Window.orderBy("_first")) - 1).cast("int")
-    ).drop("_first")
+    first = first.withColumn("_day", F.to_date(f"_first.{time}"))
+    days = first.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("_day", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_day").orderBy("_first", column))
+    codes = first.withColumn("_within", within).join(days, first["_day"].eqNullSafe(days["_day"])).select(
+        column, (F.col("_before") + F.col("_within") - 1).cast("int").alias(out)
+    )
     return df.join(codes, df[column].eqNullSafe(codes[column]), "left").drop(codes[column])
 
 

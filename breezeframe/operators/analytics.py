@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from breezeframe.operators.layout import with_position
 from breezeframe.operators.windows import shift
 from breezeframe.schema import KEYS, REPORT_HORIZONS, SEQ, TARGETS, TIME
 
+# the solver of ``pacf`` travels by value: workers need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def lead_lag_corr(
     df: DataFrame,
@@ -187,6 +192,13 @@ def ljung_box(df: DataFrame, col: str, lags: int = 24, keys: Sequence[str] = KEY
     )
 
 
+def ljung_box_verdict(table: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """How many of the tested lags are significant, per key."""
+    return table.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lags"), F.count(F.when(F.col("significant"), 1)).alias("significant_lags")
+    )
+
+
 def chi2_tail(q: Column, dof: Column) -> Column:
     """P(chi-square with ``dof`` degrees > q), by the finite series for whole degrees."""
     half = q / 2.0

@@ -34,7 +34,9 @@ def merge_metrics(short: DataFrame, mid: DataFrame, cut: int = 12, prefer: str =
     short one has none."""
     from breezeframe.operators.shaping import band_merge
 
-    return band_merge(short, mid, cut, prefer=prefer)
+    merged = band_merge(short, mid, cut, prefer=prefer)
+    by = [c for c in (*KEYS, "h", "target") if c in short.columns and c in mid.columns]
+    return merged.unionByName(mid.join(merged.select(*by), by, "left_anti"))
 
 
 def fold_average(metrics: DataFrame, by: Sequence[str] = (*KEYS, "h", "target")) -> DataFrame:

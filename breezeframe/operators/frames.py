@@ -21,10 +21,12 @@ def targets(
 
 
 def targets_long(
-    df: DataFrame, cols: Sequence[str], horizons: Sequence[int], keys: Sequence[str] = KEYS, time: str = TIME
+    df: DataFrame, cols: Sequence[str], horizons: Sequence[int], keys: Sequence[str] = KEYS, time: str = TIME,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Future values one per row ``(keys, time, target, h, y_base, y)``; no shuffle beyond the shift's."""
-    slim = df.select(*dict.fromkeys([*keys, time, SEQ, *cols]))
+    """Future values one per row ``(keys, time, carry, target, h, y_base, y)``; no shuffle
+    beyond the shift's."""
+    slim = df.select(*dict.fromkeys([*keys, time, SEQ, *carry, *cols]))
     wide = shift(slim, {f"_y_{c}_{h}": (c, -h) for c in cols for h in horizons}, keys)
     cells = F.array(*[
         F.struct(
@@ -33,7 +35,8 @@ def targets_long(
         for c in cols
         for h in horizons
     ])
-    return wide.select(*keys, time, F.explode(cells).alias("_c")).select(*keys, time, "_c.*")
+    kept = [*keys, time, *carry]
+    return wide.select(*kept, F.explode(cells).alias("_c")).select(*kept, "_c.*")
 
 
 def exogenous_columns(df: DataFrame) -> list[str]:

@@ -106,23 +106,35 @@ def iqr_filter_seq(
     """Interquartile filter, column after column: each column's quartiles come from the rows
     that survived the columns before it. Null readings fail.
 
-    The passes re-read only keys and checked columns, written out once. Each step's
-    quartiles (one row per key) are written before the next step needs them, so the plan
-    grows by one small join per column instead of nesting.
+    Runs its jobs when called. A round reads only the keys and unchecked columns of the rows
+    that survived the rounds before, as written by the round before. ``df`` itself is joined
+    once, with one row of all fences per key: the filters are a conjunction.
     """
     cols = [c for c in cols if c in df.columns]
-    slim = materialise(df.select(*keys, *cols), "iqr-columns")
-    for c in cols:
-        q = wide_quantiles(exact_quantiles(slim, [c], [0.25, 0.75], keys), [0.25, 0.75], ["_q1", "_q3"], keys)
-        fences = materialise(q.drop("column"), "quartiles")
-        slim, df = (_inside(d, fences, c, k, keys) for d in (slim, df))
-    return df
-
-
-def _inside(df: DataFrame, fences: DataFrame, c: str, k: float, keys: Sequence[str]) -> DataFrame:
-    width = (F.col("_q3") - F.col("_q1")) * k
-    out = beside(df, fences, keys, ["_q1", "_q3"])
-    return out.filter(F.col(c).between(F.col("_q1") - width, F.col("_q3") + width)).drop("_q1", "_q3")
+    if not cols:
+        return df
+    slim, fences = materialise(df.select(*keys, *cols), "iqr-columns"), []
+    for i, c in enumerate(cols):
+        q = exact_quantiles(slim, [c], [0.25, 0.75], keys)
+        q = wide_quantiles(q, [0.25, 0.75], ["_q1", "_q3"], keys)
+        width = (F.col("_q3") - F.col("_q1")) * k
+        fence = q.select(*keys, (F.col("_q1") - width).alias(f"_lo{i}"), (F.col("_q3") + width).alias(f"_hi{i}"))
+        fences.append(materialise(fence, "quartiles"))
+        if i + 1 < len(cols):
+            slim = materialise(_inside(slim, fences[-1], c, i, keys).drop(c), "iqr-columns")
+    names = [f"_{side}{i}" for i in range(len(cols)) for side in ("lo", "hi")]
+    row = fences[0]
+    for fence in fences[1:]:
+        row = row.join(fence, list(keys)) if keys else row.crossJoin(fence)
+    out = beside(df, row, keys, names)
+    for i, c in enumerate(cols):
+        out = out.filter(F.col(c).between(F.col(f"_lo{i}"), F.col(f"_hi{i}")))
+    return out.drop(*names)
+
+
+def _inside(df: DataFrame, fence: DataFrame, c: str, i: int, keys: Sequence[str]) -> DataFrame:
+    names = [f"_lo{i}", f"_hi{i}"]
+    return beside(df, fence, keys, names).filter(F.col(c).between(*map(F.col, names))).drop(*names)
 
 
 def band_merge(short: DataFrame, mid: DataFrame, cut: int = 12, h: str = "h", prefer: str = "short") -> DataFrame:

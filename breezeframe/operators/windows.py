@@ -171,7 +171,7 @@ def relative_change(now: Column, before: Column) -> Column:
     return F.when(before != 0, (now - before) / before)
 
 
-def _reach(lags: Iterable[Lag], rolls: Iterable[Rolling], changes: Iterable[Change]):
+def reach_of(lags: Iterable[Lag], rolls: Iterable[Rolling], changes: Iterable[Change]):
     probes = [*lags, *[Lag(c.name, c.column, c.hours) for c in changes]]
     back = max([p.hours + p.tolerance / 60 for p in probes] + [r.hours for r in rolls] + [0])
     ahead = max([p.tolerance / 60 - p.hours for p in probes] + [0])
@@ -193,7 +193,7 @@ def window_features(
     ``chunk_hours="auto"`` measures the densest station-day first and cuts accordingly.
     """
     lags, rolls, changes = list(lags), list(rolls), list(changes)
-    back, ahead = _reach(lags, rolls, changes)
+    back, ahead = reach_of(lags, rolls, changes)
     if chunk_hours == "auto":
         chunk_hours = pick_chunk_hours(df, back + ahead, keys, time)
     # block windows cluster on more columns than piece windows: without this the planner

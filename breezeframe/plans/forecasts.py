@@ -60,14 +60,13 @@ def training_frame(df: DataFrame, horizons: Sequence[int], test: float = 0.2, ke
     """
     flagged = chrono_split(df, test, keys=keys)
     params = materialise(fit_scaler(flagged, {"pm": list(TARGETS)}, "is_train", keys), "scaler")
-    long = targets_long(flagged.select(*keys, TIME, SEQ, "is_train", *TARGETS), TARGETS, horizons, keys)
-    flags = flagged.select(*keys, TIME, "is_train")
+    long = targets_long(flagged, TARGETS, horizons, keys, carry=["is_train"])
     scale = params.select(*keys, F.col("feature").alias("target"), "mean", "scale")
     scaled = long.join(scale, [*keys, "target"]).withColumns({
         "y_scaled": (F.col("y") - F.col("mean")) / F.col("scale"),
         "base_scaled": (F.col("y_base") - F.col("mean")) / F.col("scale"),
     })
-    return scaled.join(flags, [*keys, TIME]).select(
+    return scaled.select(
         *keys, TIME, "h", "target", "is_train", "y", "y_scaled", "base_scaled",
         (F.col("y_scaled") - F.col("base_scaled")).alias("y_delta"),
     )

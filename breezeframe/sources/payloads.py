@@ -43,8 +43,26 @@ def _weather(units: str = "metric") -> list[Column]:
     ]
 
 
+def component_names(df: DataFrame, payload: str = "payload") -> list[str]:
+    """Every component key that occurs; runs a job whose result is the distinct keys."""
+    items = _items(df.select(payload), payload, POLLUTION_PAYLOAD)
+    keys = items.select(F.explode(F.map_keys("_item.components")).alias("key")).distinct()
+    return sorted(r["key"] for r in keys.collect())
+
+
+def rejected_documents(df: DataFrame, schema=POLLUTION_PAYLOAD, payload: str = "payload") -> DataFrame:
+    """The documents that flattening cannot use: not parsable, or without a list of entries."""
+    return df.where(F.from_json(payload, schema)["list"].isNull())
+
+
 def flatten_pollution(df: DataFrame, payload: str = "payload", components=COMPONENTS) -> DataFrame:
-    """One row per list entry; the component map becomes one column per key."""
+    """One row per list entry; the component map becomes one column per key.
+
+    ``components="all"`` takes the keys that occur, by :func:`component_names`. Documents
+    that do not parse give no row; :func:`rejected_documents` has them.
+    """
+    if components == "all":
+        components = component_names(df, payload)
     items = _items(df, payload, POLLUTION_PAYLOAD)
     rest = [c for c in items.columns if c != "_item"]
     return items.select(

@@ -1,8 +1,10 @@
 """Keyed Parquet tables: upsert, monthly files, snapshots, parameters, versions.
 
-Parquet has no MERGE. A keyed table is partitioned by date; an upsert rewrites just the
-dates it touches. New data goes to a staging folder first, so the table is never read
-and overwritten in one job, and a lost executor or a retried task repeats safely.
+Parquet has no MERGE. A keyed table is partitioned by date; an upsert reads the stored
+partitions between the first and last date it touches and rewrites just those it touches.
+New data goes to a staging folder first, so the table is never read and overwritten in one
+job, and a lost executor or a retried task repeats safely; the staging is removed at the end.
+Ties are broken by content, so a repeated upsert chooses the same rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from breezeframe.functions.features import time_key
 from breezeframe.operators.windows import dedupe_last
 from breezeframe.schema import SEQ, TIME
-from breezeframe.session import scratch_path
+from breezeframe.session import discard, scratch_path
 
 DAY = "date"
 MONTH = "month"
@@ -25,28 +27,35 @@ MONTH = "month"
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if is_missing(e):
+            return None
+        raise
 
 
-def _rewrite_parts(new: DataFrame, path: str, part: str, keys: Sequence[str], order: Sequence[str]):
+def is_missing(e: AnalysisException) -> bool:
+    """Whether the path does not exist; any other fault of a table must not pass for that."""
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
+def upsert_rows(new: DataFrame, path: str, part: str, keys: Sequence[str], order: Sequence[str]):
     """Merge ``new`` into the partitions it touches, last row per key winning."""
     spark = new.sparkSession
-    incoming = scratch_path(spark, "incoming")
+    old = _existing(spark, path)
+    if old is None:
+        first = dedupe_last(_tied(new), [part, *keys], [*order, "_tie"]).drop("_tie")
+        first.repartition(part).write.partitionBy(part).parquet(path)
+        return
+    incoming, outgoing = scratch_path(spark, "incoming"), scratch_path(spark, "outgoing")
     new.write.partitionBy(part).parquet(incoming)
     # read back with the declared types: a partition column would be guessed otherwise
     staged = spark.read.schema(new.schema).parquet(incoming)
-    old = _existing(spark, path)
-    merged = staged.withColumn("_gen", F.lit(1))
-    if old is not None:
-        touched = staged.select(part).distinct()
-        kept = old.withColumn(part, F.col(part).cast(new.schema[part].dataType)).join(
-            touched, part, "left_semi"
-        )
-        merged = kept.withColumn("_gen", F.lit(0)).unionByName(merged, allowMissingColumns=True)
-    last = dedupe_last(merged, [part, *keys], ["_gen", *order]).drop("_gen")
-    outgoing = scratch_path(spark, "outgoing")
-    last.write.partitionBy(part).parquet(outgoing)
+    lo, hi = staged.agg(F.min(part), F.max(part)).first()
+    kept = stored_range(old, part, lo, hi).withColumn(part, F.col(part).cast(new.schema[part].dataType))
+    kept = kept.join(staged.select(part).distinct(), part, "left_semi")
+    merged = kept.withColumn("_gen", F.lit(0)).unionByName(staged.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
+    last = dedupe_last(_tied(merged), [part, *keys], ["_gen", *order, "_tie"]).drop("_gen", "_tie")
+    last.repartition(part).write.partitionBy(part).parquet(outgoing)
     (
         spark.read.schema(last.schema).parquet(outgoing)
         .write.mode("overwrite")
@@ -54,6 +63,18 @@ def _rewrite_parts(new: DataFrame, path: str, part: str, keys: Sequence[str], or
         .partitionBy(part)
         .parquet(path)
     )
+    for folder in (incoming, outgoing):
+        discard(spark, folder)
+
+
+def stored_range(table: DataFrame, part: str, lo, hi) -> DataFrame:
+    """Partitions between two values; the bounds reach the scan as partition filters."""
+    kind = table.schema[part].dataType
+    return table.where(F.col(part).between(F.lit(str(lo)).cast(kind), F.lit(str(hi)).cast(kind)))
+
+
+def _tied(df: DataFrame) -> DataFrame:
+    return df.withColumn("_tie", F.xxhash64(*[F.col(c) for c in sorted(df.columns)]))
 
 
 def upsert_features(
@@ -65,7 +86,7 @@ def upsert_features(
     if df.isEmpty():
         return True
     keyed = df.withColumn("time_str", time_key()).withColumn(DAY, F.to_date(TIME))
-    _rewrite_parts(keyed, path, DAY, keys, order)
+    upsert_rows(keyed, path, DAY, keys, order)
     return True
 
 
@@ -73,7 +94,7 @@ def append_monthly(
     df: DataFrame, path: str, keys: Sequence[str] = ("station", TIME), order: Sequence[str] = (SEQ,)
 ) -> None:
     """Append to the month's file, keeping the last row per key."""
-    _rewrite_parts(df.withColumn(MONTH, F.date_format(TIME, "yyyyMM")), path, MONTH, keys, order)
+    upsert_rows(df.withColumn(MONTH, F.date_format(TIME, "yyyyMM")), path, MONTH, keys, order)
 
 
 def write_training_set(df: DataFrame, path: str, version: int) -> str:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from breezeframe.functions.features import hour_keys, time_key
 from breezeframe.schema import KEYS, TIME
+from breezeframe.sources.store import is_missing
 
 
 def read_csv_series(spark: SparkSession, path: str, schema: T.StructType, time: str = TIME) -> DataFrame:
@@ -33,8 +34,8 @@ def read_features(spark: SparkSession, path: str, schema: T.StructType | None =
     """
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as e:
+        if schema is None or not is_missing(e):
             raise
         df = spark.createDataFrame([], schema)
     if TIME in df.columns:
@@ -50,18 +51,28 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def require_rows(df: DataFrame, expected: int | str, by: Sequence[str] = KEYS) -> DataFrame:
+def require_rows(
+    df: DataFrame, expected: int | str, by: Sequence[str] = KEYS, known: DataFrame | None = None
+) -> DataFrame:
     """Row count per key against an expected number or column; a mismatch fails the job.
 
-    The counts are one row per key; they join back only to carry the check along.
+    The counts are one row per key; they join back only to carry the check along. ``known``
+    names the keys that must be there: one without any row fails too.
     """
     want = F.lit(expected) if isinstance(expected, int) else F.max(expected)
     n = F.count(F.lit(1))
     checked = df.groupBy(*by).agg(n.alias("_n"), want.alias("_want"))
+    if known is not None:
+        checked = known.select(*by).distinct().join(checked, list(by), "left").fillna(0, ["_n"])
+        if isinstance(expected, int):
+            checked = checked.withColumn("_want", F.lit(expected))
     verdict = F.when(F.col("_n") == F.col("_want"), F.lit(True)).otherwise(
         F.raise_error(F.concat_ws(" ", F.lit("rows:"), "_n", F.lit("expected:"), "_want"))
     )
-    return df.join(checked.filter(verdict).select(*by), list(by))
+    if known is None:
+        return df.join(checked.filter(verdict).select(*by), list(by))
+    # the keys are the preserved side: an absent one is seen even when ``df`` is empty
+    return checked.join(df, list(by), "left").filter(verdict).select(*df.columns)
 
 
 def lookup_hours(
@@ -75,7 +86,8 @@ def lookup_hours(
 ) -> DataFrame:
     """The ``n`` hourly rows after or up to each anchor, found by key string.
 
-    ``strict`` fails the job for a station that does not have every requested hour.
+    ``strict`` fails the job for a station that does not have every requested hour exactly
+    once: a doubled hour would give more than ``n`` rows.
     """
     wanted = hour_keys(anchors.select(*keys, anchor), anchor, n, forward).select(
         *keys, "time_str", "key_time"
@@ -83,9 +95,14 @@ def lookup_hours(
     keyed = df if "time_str" in df.columns else df.withColumn("time_str", time_key())
     if not strict:
         return wanted.join(keyed, [*keys, "time_str"])
-    found = wanted.join(keyed.withColumn("_hit", F.lit(1)), [*keys, "time_str"], "left")
+    same = Window.partitionBy(*keys, "time_str")
+    asked = keyed.join(wanted.select(*keys, "time_str").distinct(), [*keys, "time_str"], "left_semi")
+    counted = asked.withColumn("_hit", F.count(F.lit(1)).over(same))
+    found = wanted.join(counted, [*keys, "time_str"], "left")
     present = F.when(F.col("_hit") == 1, F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("no row for hour "), F.col("time_str")))
+        F.raise_error(F.concat(
+            F.when(F.col("_hit") > 1, "several rows for hour ").otherwise("no row for hour "), F.col("time_str")
+        ))
     )
     return found.filter(present).drop("_hit")
 

@@ -12,14 +12,12 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from breezeframe.functions.aqi import aqi_category, with_aqi
 from breezeframe.functions.features import time_key
 from breezeframe.operators.shaping import normalise_names
-from breezeframe.operators.windows import Change, Lag, Rolling, window_features
+from breezeframe.operators.windows import Change, Lag, Rolling, reach_of, window_features
 from breezeframe.schema import AQI_CATEGORIES, KEYS, TIME
 from breezeframe.sources.payloads import flatten_pollution
-from breezeframe.sources.store import DAY, upsert_features
+from breezeframe.sources.store import DAY, upsert_features, upsert_rows
 
 WATERMARK = "2 hours"
-# longest lag plus its tolerance
-HALO_HOURS = 73
 
 
 def read_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -28,13 +26,18 @@ def read_documents(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def hourly_ingest(docs: DataFrame, watermark: str = WATERMARK, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Flattened readings, one per station and hour; replays inside the watermark are dropped.
+def hourly_ingest(path: str, keys: Sequence[str] = KEYS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` handler: flatten the documents and upsert one row per station and hour.
 
-    State holds the keys of the watermark span only.
+    The table keeps what has arrived, so no delivery is too late and a replay changes
+    nothing; of an hour's rows the last one wins, later deliveries before earlier ones.
     """
-    rows = normalise_names(flatten_pollution(docs)).withColumn("time_str", time_key())
-    return rows.withWatermark(TIME, watermark).dropDuplicatesWithinWatermark([*keys, "time_str"])
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        rows = normalise_names(flatten_pollution(batch))
+        upsert_features(rows.withColumn("time_str", time_key()), path, [*keys, "time_str"])
+
+    return handle
 
 
 def sliding_stats(
@@ -57,6 +60,18 @@ def sliding_stats(
     )
 
 
+def keep_windows(path: str, keys: Sequence[str] = KEYS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` handler for :func:`sliding_stats` in update mode: the latest figures of
+    every window, also of those that the watermark has not closed yet."""
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            dated = batch.withColumn(DAY, F.to_date("window_start"))
+            upsert_rows(dated, path, DAY, [*keys, "window_start"], ["window_start"])
+
+    return handle
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what is there, append to a Parquet folder and stop."""
     query = (
@@ -74,15 +89,16 @@ def feature_updates(
     lags: Sequence[Lag] = (),
     rolls: Sequence[Rolling] = (),
     changes: Sequence[Change] = (),
-    halo_hours: int = HALO_HOURS,
     columns: Sequence[str] = ("pm2_5", "pm10"),
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler: store the batch, then recompute the rows it can affect.
 
-    A row changes features up to ``halo_hours`` later (a late reading may be a nearer lag),
-    and those look back as far again, so only the days within that reach are read. Both
-    writes are keyed upserts: a batch that is replayed after a failure changes nothing.
+    How far a row reaches follows from the features asked for: it changes those of rows up to
+    the longest lag or window later, and those look back as far again, so only the days
+    within that reach are read. Both writes are keyed upserts: a batch that is replayed after
+    a failure changes nothing.
     """
+    back, ahead = (timedelta(hours=h) for h in reach_of(lags, rolls, changes))
     names = [s.name for s in [*lags, *rolls, *changes]]
 
     def handle(batch: DataFrame, epoch: int) -> None:
@@ -92,22 +108,24 @@ def feature_updates(
         upsert_features(batch, raw_path)
         # three bounds, one row
         span = batch.agg(F.min(TIME).alias("lo"), F.max(TIME).alias("hi"))
-        reach = F.make_interval(hours=F.lit(halo_hours))
-        lo, first, last = span.select("lo", F.col("lo") - reach, F.col("hi") + reach).first()
+        lo, hi = span.select("lo", "hi").first()
+        first, last = lo - ahead - back, hi + back + ahead
         day = timedelta(days=1)  # the bounds arrive in the driver's zone
         raw = spark.read.parquet(raw_path).filter(
             F.col(DAY).between(first.date() - day, last.date() + day) & F.col(TIME).between(first, last)
         )
         fresh = window_features(raw.withColumn("seq", F.unix_seconds(TIME)), lags, rolls, changes)
-        touched = fresh.filter(F.col(TIME) >= F.lit(lo)).select(*KEYS, TIME, *columns, *names)
+        touched = fresh.filter(F.col(TIME).between(lo - ahead, hi + back)).select(*KEYS, TIME, *columns, *names)
         upsert_features(touched, feature_path)
 
     return handle
 
 
-def run_updates(rows: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def run_updates(
+    rows: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
     query = (
-        rows.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+        rows.writeStream.foreachBatch(handler).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

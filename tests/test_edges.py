@@ -270,3 +270,122 @@ def test_all_windows_share_one_exchange(spark, series):
     plan = out._jdf.queryExecution().sparkPlan().toString()
     full = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and full.count("Exchange hashpartitioning") == 1
+
+
+# --- late, doubled and absent rows ---------------------------------------------------
+
+
+def test_ingest_keeps_late_deliveries_and_the_last_row(spark, tmp_path):
+    from breezeframe.streaming import jobs
+
+    doc = lambda dt, v: f'{{"list":[{{"dt":{dt},"components":{{"pm2_5":{v}}}}}]}}'
+    hours = [100, 0, 50, 100, 3]
+    for n, h in enumerate(hours):
+        rows = [("s", doc(1704067200 + 3600 * h, float(n)))]
+        spark.createDataFrame(rows, "station string, payload string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for run in ("a", "b"):  # a new checkpoint replays everything
+        stream = jobs.read_documents(spark, f"{tmp_path}/in", files_per_batch=1)
+        jobs.run_updates(stream, jobs.hourly_ingest(f"{tmp_path}/out"), f"{tmp_path}/ckpt-{run}")
+        got = {r["time"].isoformat(): r["pm2_5"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        assert len(got) == 4 and sorted(got.values()) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_updates_reach_as_far_as_the_features(spark, series, tmp_path):
+    from breezeframe.operators.windows import Lag, window_features
+    from breezeframe.streaming import jobs
+
+    rows = [("s", f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00", h, float(h)) for h in range(0, 400, 4)]
+    df = series(rows, "pm2_5").drop("seq")
+    lags = [Lag("week", "pm2_5", 168)]
+    for flag in (False, True):
+        part = df.where(F.pmod(F.col("pm2_5"), F.lit(12)) == 0) if flag else df.where(F.pmod(F.col("pm2_5"), F.lit(12)) != 0)
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    handler = jobs.feature_updates(f"{tmp_path}/raw", f"{tmp_path}/out", lags, columns=["pm2_5"])
+    jobs.run_updates(stream, handler, f"{tmp_path}/ckpt")
+    want = window_features(df.withColumn("seq", F.unix_seconds("time")), lags)
+    key = lambda d: sorted((r["time"], r["week"]) for r in d.collect() if r["week"] is not None)
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(want) and len(key(want)) > 30
+
+
+def test_long_model_fills_missing_short_steps(spark):
+    from breezeframe.operators.evaluate import merge_metrics
+
+    make = lambda hs: spark.createDataFrame([("s", h, "t", float(h)) for h in hs], "station string, h int, target string, rmse double")
+    assert sorted(r["h"] for r in merge_metrics(make([1]), make([1, 6, 24])).collect()) == [1, 6, 24]
+
+
+def test_equal_times_do_not_multiply_training_rows(spark, series):
+    from breezeframe.plans.forecasts import training_frame
+
+    rows = [("s", f"{h // 2:02d}:00", h, float(h % 7)) for h in range(10)]
+    df = series(rows, "pm2_5").withColumn("pm10", F.col("pm2_5") * 2)
+    assert training_frame(df, [1]).count() == 20
+
+
+def test_strict_lookup_rejects_doubled_hours(spark, series):
+    from breezeframe.sources import tables
+
+    df = series([("s", "00:00", 0, 1.0), ("s", "01:00", 1, 2.0), ("s", "01:00", 2, 3.0)])
+    anchors = spark.sql("SELECT 's' AS station, timestamp'2024-01-01 00:00:00' AS anchor")
+    with pytest.raises(Exception, match="several rows"):
+        tables.lookup_hours(df, anchors, 1, forward=True).collect()
+
+
+def test_require_rows_sees_absent_keys(spark):
+    from breezeframe.sources import tables
+
+    known = spark.sql("SELECT 's' AS station")
+    none = spark.createDataFrame([], "station string, v int")
+    with pytest.raises(Exception, match="rows: 0 expected: 3"):
+        tables.require_rows(none, 3, known=known).collect()
+    three = spark.range(3).selectExpr("'s' AS station", "int(id) AS v")
+    assert tables.require_rows(three, 3, known=known).count() == 3
+
+
+def test_upsert_reads_only_the_touched_range(spark, series, tmp_path):
+    from breezeframe.sources import store
+
+    path = f"{tmp_path}/t"
+    assert store.upsert_features(series([("s", f"2024-01-{d:02d} 00:00:00", d, 1.0) for d in range(1, 20)]), path)
+    plan = store.stored_range(spark.read.parquet(path), "date", "2024-01-05", "2024-01-06")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and ">= 2024-01-05" in plan or "19727" in plan
+    twice = series([("s", "2024-01-05 00:00:00", 1, 7.0), ("s", "2024-01-05 00:00:00", 2, 8.0)]).drop("seq")
+    store.upsert_features(twice, path)
+    first = spark.read.parquet(path).where("date = '2024-01-05'").first()["v"]
+    store.upsert_features(twice.orderBy(F.desc("v")), path)
+    again = spark.read.parquet(path).where("date = '2024-01-05'").collect()
+    assert [r["v"] for r in again] == [first] and spark.read.parquet(path).count() == 19
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        store.upsert_features(twice, f"{tmp_path}/bad")
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from breezeframe import session
+
+    spark = lambda master: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: None),
+        sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *a: None)),
+    )
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(spark(master))
+    assert session.shared_dir(spark("local[2]"))
+
+
+def test_rejected_documents_are_listed(spark):
+    from breezeframe.sources import payloads
+
+    docs = spark.createDataFrame(
+        [("a", '{"list":[{"dt":1,"components":{"co":1.0}}]}'), ("b", '{"list":[{"d'), ("c", "{}")], "station string, payload string")
+    assert sorted(r["station"] for r in payloads.rejected_documents(docs).collect()) == ["b", "c"]
+
+
+def test_quartile_filter_without_keys(spark):
+    from breezeframe.operators.shaping import iqr_filter_seq
+
+    df = spark.range(100).selectExpr("double(id) AS pm2_5", "double(if(id = 3, 1e6, id)) AS pm10")
+    assert iqr_filter_seq(df, ["pm2_5", "pm10"], keys=()).count() == 99
