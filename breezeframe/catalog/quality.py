@@ -104,14 +104,18 @@ d AS (SELECT station, sum(c - 1) * 100.0::DOUBLE / sum(c) AS duplicate_percent F
 p AS (SELECT m.*, duplicate_percent, (SELECT count(*) FILTER (violations > 0) FROM r WHERE r.station = m.station) AS range_columns,
  (SELECT count(*) FILTER (outliers > 0) FROM z WHERE z.station = m.station) AS z_columns,
  (SELECT count(*) FILTER (outliers > 0) FROM q WHERE q.station = m.station) AS iqr_columns, o.percent AS order_percent,
- 0::BIGINT AS cyclic_columns, 0::BIGINT AS flag_columns FROM m JOIN d USING (station) JOIN o USING (station))
+ (SELECT CAST(count(*) FILTER (seq % 97 = 0) > 0 AS BIGINT) FROM readings r WHERE r.station = m.station) AS cyclic_columns,
+ (SELECT CAST(count(*) FILTER (seq % 89 = 0) > 0 AS BIGINT) FROM readings r WHERE r.station = m.station) AS flag_columns FROM m JOIN d USING (station) JOIN o USING (station))
 SELECT *, CASE WHEN score >= 90 THEN 'EXCELLENT' WHEN score >= 75 THEN 'GOOD' WHEN score >= 60 THEN 'ACCEPTABLE' ELSE 'POOR' END AS status
-FROM (SELECT *, greatest(0, 100 - least(20, missing_percent * 4) - least(10, duplicate_percent * 2) - range_columns * 2
+FROM (SELECT *, greatest(0, 100 - least(20, missing_percent * 4) - least(10, duplicate_percent * 2) - range_columns * 2 - cyclic_columns * 3 - flag_columns * 2
  - least(15, order_percent * 3) - least(5, (z_columns + iqr_columns) * 0.5::DOUBLE)) AS score FROM p)""",
     dbl="missing_percent duplicate_percent order_percent score",
 )
 def d7(spark, sf):
     x = G.threshold_flags(G.cyclic_time(readings(spark, sf)))
+    # some rows break a cyclic column and a flag
+    spoilt = lambda c, n, v: F.when(F.col("seq") % n == 0, F.lit(v).cast(x.schema[c].dataType)).otherwise(F.col(c))
+    x = x.withColumns({"hour_sin": spoilt("hour_sin", 97, 2), "is_hot": spoilt("is_hot", 89, 3)})
     return Q.quality_score(x, MEASURES, ZCOLS, duplicate_cols=["temperature", "wind_speed"])
 
 

@@ -123,42 +123,54 @@ def quality_score(
 ) -> DataFrame:
     """100 minus weighted deductions for gaps, copies, range, domain, order and outliers.
 
-    Every input is a report of one row per key and column, so the joins are small.
+    Two aggregate passes besides the quartiles and the copies: one counts what each row shows
+    by itself, the second what lies outside the limits that follow from it.
     """
-    cols = list(cols)
-    by = list(keys)
-    missing = df.groupBy(*by).agg(
-        *[count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in cols], rows().alias("_rows")
+    cols, by = list(cols), list(keys)
+    rules = {c: r for c, r in RANGE_RULES.items() if c in df.columns}
+    cyclic = [c for c in CYCLIC_COLUMNS if c in df.columns]
+    flags = [c for c in FLAG_COLUMNS if c in df.columns]
+    bad = {
+        "range_columns": [(F.col(c) < lo) | (F.col(c) > hi) for c, (lo, hi) in rules.items()],
+        "cyclic_columns": [F.abs(c) > 1.01 for c in cyclic],
+        "flag_columns": [~F.coalesce(F.col(c).isin(0, 1), F.lit(False)) for c in flags],
+    }
+    crossed = F.col("pm2_5") > F.col("pm10")
+    one = df.groupBy(*by).agg(
+        rows().alias("_rows"),
+        *[count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in cols],
+        *[F.max(F.coalesce(x, F.lit(False)).cast("int")).alias(f"_{name}_{i}") for name, xs in bad.items() for i, x in enumerate(xs)],
+        percent(count_if(crossed), rows()).alias("order_percent"),
+        *[f(c).alias(f"{p}_{c}") for c in outlier_cols for p, f in (("_m", F.avg), ("_s", F.stddev_samp))],
+    )
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0).cast("bigint"))
+    missing = percent(total([f"_n_{c}" for c in cols]), F.col("_rows") * len(cols))
+    report = one.select(
+        *by, missing.alias("missing_percent"), "order_percent",
+        *[total([f"_{name}_{i}" for i in range(len(xs))]).alias(name) for name, xs in bad.items()],
+    )
+    q = wide_quantiles(exact_quantiles(df, outlier_cols, [0.25, 0.75], keys), [0.25, 0.75], ["q1", "q3"], keys)
+    limits = q.groupBy(*by).agg(*[
+        F.max(F.when(F.col("column") == c, F.struct("q1", "q3"))).alias(f"_q_{c}") for c in outlier_cols
+    ]).join(one.select(*by, *[f"{p}_{c}" for c in outlier_cols for p in ("_m", "_s")]), by)
+    names = [c for c in limits.columns if c not in by]
+    beyond = beside(df.select(*by, *outlier_cols), limits, keys, names)
+
+    def outside(c: str) -> tuple[Column, Column]:
+        q1, q3 = F.col(f"_q_{c}.q1"), F.col(f"_q_{c}.q3")
+        far = F.abs(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))) > 3.0
+        return far, (F.col(c) < q1 - (q3 - q1) * 1.5) | (F.col(c) > q3 + (q3 - q1) * 1.5)
+
+    seen = beyond.groupBy(*by).agg(*[
+        (count_if(x) > 0).cast("bigint").alias(f"{p}_{c}") for c in outlier_cols for p, x in zip("zq", outside(c))
+    ])
+    seen = seen.select(
+        *by, total([f"z_{c}" for c in outlier_cols]).alias("z_columns"), total([f"q_{c}" for c in outlier_cols]).alias("iqr_columns")
     )
-    total = F.lit(0)
-    for c in cols:
-        total = total + F.col(f"_n_{c}")
-    missing = missing.select(*by, percent(total, F.col("_rows") * len(cols)).alias("missing_percent"))
     dup = duplicate_count(df, duplicate_cols or cols, keys).select(
         *by, percent(F.col("duplicates"), F.col("rows")).alias("duplicate_percent")
     )
-
-    def hits(report: DataFrame, cond: Column, name: str) -> DataFrame:
-        return report.groupBy(*by).agg(count_if(cond).alias(name))
-
-    bad = F.col("violations") > 0
-    parts = [
-        dup,
-        hits(range_check(df, keys=keys), bad, "range_columns"),
-        hits(zscore_report(df, outlier_cols, keys=keys), F.col("outliers") > 0, "z_columns"),
-        hits(iqr_report(df, outlier_cols, keys=keys), F.col("outliers") > 0, "iqr_columns"),
-        order_check(df, keys=keys).select(*by, F.col("percent").alias("order_percent")),
-    ]
-    if any(c in df.columns for c in CYCLIC_COLUMNS):
-        parts.append(hits(bounds_check(df, keys=keys), bad, "cyclic_columns"))
-    if any(c in df.columns for c in FLAG_COLUMNS):
-        parts.append(hits(domain_check(df, keys=keys), F.col("unexpected") > 0, "flag_columns"))
-    out = missing
-    for p in parts:
-        out = out.join(p, by)
-    for c in ("cyclic_columns", "flag_columns"):
-        if c not in out.columns:
-            out = out.withColumn(c, F.lit(0).cast("bigint"))
+    out = report.join(dup, by).join(seen, by)
     cap = lambda limit, c: F.least(F.lit(float(limit)), c)
     score = (
         F.lit(100.0)

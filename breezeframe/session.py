@@ -23,6 +23,8 @@ def build_session(app: str = "breezeframe", master: str | None = None, **conf) -
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         CALL_SITES: "false",
+        # wide aggregates (correlations, lag products) stay in generated code
+        "spark.sql.codegen.maxFields": "1000",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
