@@ -12,10 +12,16 @@ Links are confirmed on full sets, recomputed from whole texts:
 1. Equal sets are one class; from here on only class representatives are looked at, so copies
    cost nothing however many there are.
 2. Star round: each bucket (table key) with two members or more proposes links to its hub,
-   the member of least hash. Proposals are made distinct over all tables and confirmed.
-3. A second round takes another hub per bucket, where the bucket still spans two components.
-4. What remains, pairs of different components within a bucket that were never compared,
-   is compared without a cap. Pairs inside one component are not needed and never made.
+   the member that meets most others over all tables. Proposals are made distinct over all
+   tables and confirmed.
+3. Further rounds: where a bucket still spans several components, each document outside its
+   largest one is compared with one random member of it.
+4. What is left in such buckets is settled exactly by prefix filtering: with all shingles in
+   the order of their frequency, two sets of similarity t share one of their
+   ``n - ceil(t * n) + 1`` rarest, and what follows their first common one must be long
+   enough in both (positional filter). Candidates are pairs of different components that meet
+   both and were not compared before; there is no cap. Pairs inside one component are never
+   made.
 
 Buckets are aggregated before they are shuffled and joined back by plain equi-joins, whose
 hot keys adaptive execution splits. A hub's partners are confirmed in chunks of ``CHUNK``.
@@ -31,7 +37,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breezeframe.llm.common import SPACES, U64, blocks, map_texts, materialise, mix, random_words, word_hashes
@@ -39,6 +45,8 @@ from breezeframe.llm.graph import components
 
 COLLECTIONS, PER_COLLECTION = 12, 2
 CHUNK = 64
+#: confirming rounds before the exact one
+ROUNDS = 3
 FACTORS = random_words(71, 64) | U64(1)
 SHIFTS = random_words(72, 64)
 
@@ -159,6 +167,46 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.mapInArrow(run, "hub bigint, doc bigint")
 
 
+def _rare_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (hub, doc) of different components with a rare shingle in common, the hub being
+    outside the main component of some bucket."""
+    docs = open_.groupBy("doc").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"),
+        F.max(F.col("component") != F.col("main")).alias("outside"),
+    )
+
+    def run(buf, offsets):
+        import pyarrow as pa
+
+        return [pa.array([s.view(np.int64) for s in shingle_sets(buf, offsets, size)], pa.list_(pa.int64()))]
+
+    def unzipped(batches):
+        import pyarrow as pa
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                text = pa.array([open_(z) for z in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), text], ["doc", "text"])
+
+    found = texts.join(docs.select("doc"), F.col("id") == F.col("doc")).select("doc", "zipped")
+    sets = map_texts(found.mapInArrow(unzipped, "doc bigint, text binary"), "text", "s array<bigint>", run, ["doc"])
+    each = materialise(sets.select("doc", F.explode("s").alias("s")), "minhash-residue")
+    often = each.groupBy("s").count()
+    rank = Window.partitionBy("doc").orderBy("count", "s")
+    rare = each.join(often, "s").join(docs, "doc").withColumn("place", F.row_number().over(rank))
+    rare = rare.where(f"place <= n - ceil(n * {percent} / 100) + 1 AND count > 1")
+    rare = materialise(rare.select("s", "doc", "n", "component", "outside", "place"), "minhash-rare")
+    hubs = rare.where("outside").select(
+        "s", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("c"), F.col("place").alias("hub_place")
+    )
+    # an overlap of o in sets of n and m is similar enough from (100 + p) * o >= p * (n + m)
+    reach = f"{100 + percent} * (least(n - place, hub_n - hub_place) + 1) >= {percent} * (n + hub_n)"
+    return rare.join(hubs, "s").where("component != c").where(reach).select("hub", "hub_n", "doc", "n")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -176,16 +224,15 @@ def near_duplicates(
     tables = list(combinations(range(COLLECTIONS), 2))
     keys = F.array(*[F.xxhash64(F.col("keys")[i], F.col("keys")[j], F.lit(t)) for t, (i, j) in enumerate(tables)])
     entries = reps.select(F.col("doc_id").alias("doc"), "n", F.explode(keys).alias("key"))
-    order = F.xxhash64("doc")
-    buckets = entries.groupBy("key").agg(
-        F.count("*").alias("members"), F.min_by("doc", order).alias("hub"), F.min_by("n", order).alias("hub_n")
-    )
-    met = materialise(
-        entries.join(buckets.where("members > 1").drop("members"), "key").select("key", "doc", "n", "hub", "hub_n"),
-        "minhash-buckets",
-    )
+    several = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialise(entries.join(several, "key").select("key", "doc", "n", "members"), "minhash-buckets")
+    degree = met.groupBy("doc").agg(F.sum("members").alias("degree"))
+    order = F.struct("degree", F.xxhash64("doc"))
+    ranked = met.join(degree, "doc")
+    hubs = ranked.groupBy("key").agg(F.max_by("doc", order).alias("hub"), F.max_by("n", order).alias("hub_n"))
     texts = _squeezed(docs, id_column, text_column)
     close = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) AND doc != hub"
+    low, high = F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc")
 
     def confirmed(pairs: DataFrame, number: int):
         pairs = materialise(pairs, f"minhash-pairs-{number}")
@@ -193,9 +240,9 @@ def near_duplicates(
             return pairs, None
         return pairs, materialise(_confirm(pairs, texts, size, percent), f"minhash-links-{number}")
 
-    tested, links = confirmed(met.where(close).select("hub", "doc").distinct(), 1)
+    tested, links = confirmed(met.join(hubs, "key").where(close).select(low, high).distinct(), 1)
     linked = components(links, "hub", "doc") if links is not None else None
-    for number in (2, 3):
+    for number in range(2, ROUNDS + 2):
         if linked is None:
             break
         placed = met.select("key", "doc", "n").join(linked, F.col("doc") == F.col("node"), "left")
@@ -203,25 +250,23 @@ def near_duplicates(
         spread = placed.groupBy("key", "component").count().groupBy("key").agg(
             F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main")
         ).where("parts > 1")
-        open_ = placed.join(spread.select("key", "main"), "key")
-        if number == 2:
-            hubs = open_.groupBy("key").agg(
-                F.min_by("doc", F.xxhash64("doc", "key")).alias("hub"),
-                F.min_by("n", F.xxhash64("doc", "key")).alias("hub_n"),
-                F.min_by("component", F.xxhash64("doc", "key")).alias("hub_component"),
+        open_ = materialise(placed.join(spread.select("key", "main"), "key"), f"minhash-open-{number}")
+        if number <= ROUNDS:
+            order = F.xxhash64("doc", "key", F.lit(number))
+            hubs = open_.where("component = main").groupBy("key").agg(
+                F.min_by("doc", order).alias("hub"), F.min_by("n", order).alias("hub_n")
             )
-            new = open_.join(hubs, "key").where("component != hub_component")
+            new = open_.where("component != main").join(hubs, "key").where(close)
+            new = new.groupBy("doc", "main").agg(F.min_by("hub", F.xxhash64("hub", "doc", F.lit(number))).alias("hub"))
+            new = new.select(low, high).distinct()
         else:
-            rest = open_.select("key", F.col("doc").alias("hub"), F.col("n").alias("hub_n"),
-                                F.col("component").alias("hub_component"))
-            new = open_.where("component != main").join(rest, "key").where("component != hub_component")
-        new = new.where(close).select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc")).distinct()
-        seen = tested.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc"))
-        pairs, more = confirmed(new.join(seen, ["hub", "doc"], "left_anti"), number)
+            new = _rare_pairs(open_, texts, size, percent).where(close).select(low, high).distinct()
+        pairs, more = confirmed(new.join(tested, ["hub", "doc"], "left_anti"), number)
         if more is None:
-            break
-        tested, links = seen.unionByName(pairs), links.unionByName(more)
-        linked = components(links, "hub", "doc")
+            continue
+        tested = tested.unionByName(pairs)
+        known = linked.select(F.col("component").alias("hub"), F.col("node").alias("doc"))
+        linked = components(known.unionByName(more), "hub", "doc")
 
     placed = classes.select("doc_id", "rep")
     if linked is not None:
