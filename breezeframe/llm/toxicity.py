@@ -200,7 +200,8 @@ def fit(
         return Model({}, {})
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1))
     counts = materialise(_word_counts(sample).withColumn("odds", odds), "toxicity-words")
-    chosen = counts.where("bad >= 6 AND odds > 2.5").orderBy(F.desc("odds"), "word").limit(max_terms)
+    # a word of a few copied documents is no evidence: a term must occur in 1 % of toxic rows
+    chosen = counts.where(f"bad >= {max(3, sizes[1] // 100)} AND odds > 2.5").orderBy(F.desc("odds"), "word").limit(max_terms)
     terms = {r["word"]: r["odds"] for r in chosen.collect()}
     stems: dict[str, float] = {}
     for size in (4, 5, 6):
