@@ -1,8 +1,9 @@
 """Shared helpers: text blocks as byte arrays, word hashes, staged tables.
 
 The array code works on a *block*: the UTF-8 bytes of some documents end to end, and the
-offsets where each begins. Blocks hold about a megabyte, so memory does not grow with the
-size of an Arrow batch; a single longer text forms a block of its own.
+offsets where each begins. Blocks hold about a quarter of a megabyte, so memory does not grow
+with the size of an Arrow batch, and at most 512 texts; a single longer text forms a block of
+its own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from breezeframe.session import materialise, scratch_path  # noqa: F401
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 18, 512
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -33,6 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """Whole texts are long rows: where the session has the default of 10,000 rows per Arrow
+    batch, take 1,000. Changes no result, only what a worker holds at a time."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "1000")
+    return df
+
+
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -109,7 +120,7 @@ def blocks(column, limit: int = BLOCK_BYTES):
     buf, offsets = column_bytes(column)
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = max(i + 1, min(i + BLOCK_ROWS, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
@@ -157,4 +168,4 @@ def map_texts(docs: DataFrame, text_column: str, schema: str, fn, keep: list[str
                 found = fn(buf, offsets)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], [*keep, *new])
 
-    return docs.select(F.col(text_column).alias("__text"), *keep).mapInArrow(run, fields)
+    return short_batches(docs.select(F.col(text_column).alias("__text"), *keep)).mapInArrow(run, fields)

@@ -36,14 +36,14 @@ from collections import deque
 import numpy as np
 from pyspark.sql import DataFrame
 
-from breezeframe.llm.common import worker_cache
+from breezeframe.llm.common import short_batches, worker_cache
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
 )
 END_ID = 2
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 400_000
 #: the tokenizer's own split, for ASCII
 ASCII_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: split a Python string, but are no white space to the tokenizer
@@ -233,4 +233,4 @@ def pack(
         if held and (out := solve(True)) is not None:
             yield out
 
-    return docs.mapInArrow(run, SCHEMA)
+    return short_batches(docs).mapInArrow(run, SCHEMA)

@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breezeframe.llm.common import U64, Rolling, blocks, byte_values, map_texts, materialise, mix
+from breezeframe.llm.common import U64, Rolling, blocks, byte_values, map_texts, materialise, mix, short_batches
 
 GRAM = 24
 PIECE = 1 << 22
@@ -171,7 +171,7 @@ def _gather(docs: DataFrame, make, length: int) -> DataFrame:
         if held:
             yield from out()
 
-    return docs.mapInArrow(run, ROWS)
+    return short_batches(docs).mapInArrow(run, ROWS)
 
 
 def zipped_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
