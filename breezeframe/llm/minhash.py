@@ -20,8 +20,9 @@ Links are confirmed on full sets, recomputed from whole texts:
    the order of their frequency, two sets of similarity t share one of their
    ``n - ceil(t * n) + 1`` rarest, and what follows their first common one must be long
    enough in both (positional filter). Candidates are pairs of different components that meet
-   both and were not compared before; there is no cap. Pairs inside one component are never
-   made.
+   both and were not compared before: first one per document and foreign component, which
+   joins most components that belong together, then all that are left. There is no cap, and
+   pairs inside one component are never made.
 
 Buckets are aggregated before they are shuffled and joined back by plain equi-joins, whose
 hot keys adaptive execution splits. A hub's partners are confirmed in chunks of ``CHUNK``.
@@ -204,7 +205,7 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) ->
     )
     # an overlap of o in sets of n and m is similar enough from (100 + p) * o >= p * (n + m)
     reach = f"{100 + percent} * (least(n - place, hub_n - hub_place) + 1) >= {percent} * (n + hub_n)"
-    return rare.join(hubs, "s").where("component != c").where(reach).select("hub", "hub_n", "doc", "n")
+    return rare.join(hubs, "s").where("component != c").where(reach).select("hub", "hub_n", "doc", "n", "component")
 
 
 def near_duplicates(
@@ -242,7 +243,7 @@ def near_duplicates(
 
     tested, links = confirmed(met.join(hubs, "key").where(close).select(low, high).distinct(), 1)
     linked = components(links, "hub", "doc") if links is not None else None
-    for number in range(2, ROUNDS + 2):
+    for number in range(2, ROUNDS + 3):
         if linked is None:
             break
         placed = met.select("key", "doc", "n").join(linked, F.col("doc") == F.col("node"), "left")
@@ -260,7 +261,11 @@ def near_duplicates(
             new = new.groupBy("doc", "main").agg(F.min_by("hub", F.xxhash64("hub", "doc", F.lit(number))).alias("hub"))
             new = new.select(low, high).distinct()
         else:
-            new = _rare_pairs(open_, texts, size, percent).where(close).select(low, high).distinct()
+            new = _rare_pairs(open_, texts, size, percent).where(close)
+            if number == ROUNDS + 1:
+                some = F.min_by("doc", F.xxhash64("hub", "doc"))
+                new = new.groupBy("hub", "component").agg(some.alias("doc"))
+            new = new.select(low, high).distinct()
         pairs, more = confirmed(new.join(tested, ["hub", "doc"], "left_anti"), number)
         if more is None:
             continue
