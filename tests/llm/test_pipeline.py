@@ -7,8 +7,9 @@ import pytest
 def corpus(spark, texts, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("corpus"))
     rows = [(i, t, ("aa", "bb")[i % 2], "s", len(t) if t else None) for i, t in enumerate(texts)]
-    rows += [rows[0], (900, "key token=abcdefghijklmnop0123 end of " + texts[20], "aa", "s", 0)]
-    rows += [(901, "intro " + " ".join(texts[25].split()[:25]) + " outro " + texts[30][:60], "bb", None, 0)]
+    turned = [" ".join(reversed(texts[i].split())) for i in range(20, 25)]
+    rows += [rows[0], *((900 + i, "key token=abcdefghijklmnop0123 end of " + t, "ab"[i % 2] * 2, "s", 0) for i, t in enumerate(turned))]
+    rows += [(950, "intro " + " ".join(texts[25].split()[:25]) + " outro " + texts[30][:60], "bb", None, 0)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
     item = " ".join(texts[25].split()[3:22])
@@ -36,11 +37,11 @@ def test_stages(spark, corpus):
     assert set(kept["language"]) <= spoken and len(kept["language"]) > 0.8 * len(spoken)
     groups = near_duplicates(spark.read.parquet(f"{corpus}/language")).select("doc_id", "component_id").distinct().collect()
     assert set(kept["near_dedup"]) == {r["component_id"] for r in groups}
-    assert set(kept["near_dedup"]) - set(kept["decontaminate"]) == {25, 901}
+    assert set(kept["near_dedup"]) - set(kept["decontaminate"]) == {25, 950}
     assert set(kept["secrets"]) == set(kept["decontaminate"])
-    assert kept["secrets"][900].startswith("key [SECRET] end of")
     changed = {i for i, t in kept["secrets"].items() if t != kept["decontaminate"][i]}
-    assert changed == {900}
+    assert changed and changed == {i for i in kept["secrets"] if 900 <= i < 905}
+    assert all(kept["secrets"][i].startswith("key [SECRET] end of") for i in changed)
     pieces = pipeline.STAGES[-1][1](spark, docs, corpus).collect()
     assert {r["doc_id"] for r in pieces} == set(kept["secrets"])
     whole = pipeline.run(spark, corpus).collect()
