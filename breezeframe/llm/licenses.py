@@ -5,9 +5,11 @@ are short notices. How rare a licence word is comes from all documents: one pass
 how many of them each template word occurs. Every template is then indexed by its
 ``anchors`` rarest words and where they stand in it. A document's occurrences of anchor words
 vote for ``(template, document position - template position)``; votes that agree put the
-template at one place, and the rarity they add up to, as a share of the template's total, is
-its score there. A template counts if its best place reaches ``LEAST`` and its mandatory
-phrase occurs in the document.
+template at one place, and the rarity they add up to is their share of the anchors' total.
+The place is then verified on the document's words: the mandatory phrase, which holds what
+tells the notice from others (the version, the grant), must stand where the template has it,
+up to ``SLACK`` words put in before it, and the score is the smaller of the anchors' share and
+the share of all the notice's words that stand there. A template counts from ``LEAST`` on.
 
 The index and the word counts have the size of the templates, so they are written into the
 plan; a document is judged within its own row, with nothing shuffled but the word counts.
@@ -27,30 +29,50 @@ from pyspark.sql import functions as F
 #: fixed values: base phrases and their labels
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: fixed values: public licence notices, their label and the phrase they must contain
+_MIT = ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files {}to deal in the software without restriction")
+_APACHE = ("licensed under the apache license version 2 0 {}you may not use this file except in compliance with the "
+           "license")
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the "
+_BY_FSF = "as published by the free software foundation"
+_CC = "this work is licensed under a creative commons attribution {} license"
+
+
+def _gpl(n: int) -> tuple:
+    """The notices of one version of the GNU GPL: short, "or any later", and of that version only."""
+    name = "gnu general public license"
+    return tuple((f"gpl-{n}", before + phrase, phrase) for before, phrase in (
+        ("this work is licensed under the ", f"{name} version {n}"),
+        (_GPL, f"{name} {_BY_FSF} either version {n}"),
+        (_GPL, f"{name} {_BY_FSF} version {n}"),
+        (_GPL, f"{name} version {n} {_BY_FSF}"),
+    ))
+
+
+def _cc(label: str, kind: str) -> tuple:
+    return tuple((label, _CC.format(kind + v), f"creative commons attribution {kind}{v.rsplit(' ', 1)[0]}")
+                 for v in ("4 0 international", "3 0 unported"))
+
+
+#: public licence notices, their label and the phrase that tells them from any other notice;
+#: the words in brackets of the printed notices (the "Software", the "License") may be absent
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
-     "software and associated documentation files to deal in the software without restriction",
-     "permission is hereby granted free of charge"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in "
-     "compliance with the license", "apache license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of "
-     "the gnu general public license as published by the free software foundation either version 2",
-     "gnu general public license"),
+    *[("mit", _MIT.format(x), "to deal in the software without restriction") for x in ("", "the software ")],
+    *[("apache-2", _APACHE.format(x), "apache license version 2 0") for x in ("", "the license ")],
+    *_gpl(3),
+    *_gpl(2),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
      "provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0",
-     "mozilla public license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license",
-     "creative commons attribution"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international "
-     "license", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international "
-     "license", "creative commons attribution sharealike"),
+     "mozilla public license v 2 0"),
+    *_cc("cc-by", ""),
+    *_cc("cc-by-nc", "noncommercial "),
+    *_cc("cc-by-sa", "sharealike "),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
 LEAST = 0.75
+#: so many words may be put into a notice between its place and the phrase
+SLACK = 6
 
 
 def normal(text: Column) -> Column:
@@ -101,8 +123,24 @@ def index(idf: dict[str, float], templates=TEMPLATES, anchors: int = 6) -> list[
     return out
 
 
-def _template_score(hits: Column, postings: list[tuple[str, int, float]]) -> Column:
-    """Largest share of the template's rarity that falls on one relative position."""
+def _stands_at(words: Column, place: Column, template: str, phrase: str) -> Column:
+    """Share of the template's words around ``place`` (of its first word); 0 without the phrase."""
+    all_words = template.split()
+    before = len(f" {template} ".split(f" {phrase} ")[0].split())
+
+    def part(first, last):
+        start = F.greatest(place + first, F.lit(0))
+        return F.slice(words, start + 1, F.greatest(place + last - start, F.lit(0)))
+
+    held = F.array_join(part(before, before + len(phrase.split()) + SLACK), " ")
+    there = F.contains(F.concat(F.lit(" "), held, F.lit(" ")), F.lit(f" {phrase} "))
+    known = sorted(set(all_words))
+    shared = F.array_intersect(part(0, len(all_words) + SLACK), F.array(*map(F.lit, known)))
+    return F.when(there, F.size(shared) / F.lit(float(len(known)))).otherwise(0.0)
+
+
+def _template_score(hits: Column, words: Column, postings: list[tuple[str, int, float]], template: str, phrase: str) -> Column:
+    """Largest verified share of the anchors' rarity that falls on one relative position."""
     whole = sum(r for _, _, r in postings)
     post = F.array(*[
         F.struct(F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(r / whole).alias("r")) for w, i, r in postings
@@ -114,15 +152,22 @@ def _template_score(hits: Column, postings: list[tuple[str, int, float]]) -> Col
             lambda p: F.struct((h["i"] - p["i"]).alias("place"), p["r"].alias("r")),
         ),
     )))
-    # equal places stand together after the sort: add them up in one pass
+
+    # equal places stand together after the sort: add them up in one pass, and look at the
+    # words only where the sum would be the best so far
+    def step(s, v):
+        total = F.when(s["place"] == v["place"], s["sum"] + v["r"]).otherwise(v["r"])
+        verified = F.least(total, _stands_at(words, v["place"], template, phrase))
+        return F.struct(
+            v["place"].alias("place"),
+            total.alias("sum"),
+            F.when(total > s["best"], F.greatest(s["best"], verified)).otherwise(s["best"]).alias("best"),
+        )
+
     return F.aggregate(
         votes,
         F.struct(F.lit(None).cast("int").alias("place"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")),
-        lambda s, v: F.struct(
-            v["place"].alias("place"),
-            F.when(s["place"] == v["place"], s["sum"] + v["r"]).otherwise(v["r"]).alias("sum"),
-            F.greatest(s["best"], F.when(s["place"] == v["place"], s["sum"] + v["r"]).otherwise(v["r"])).alias("best"),
-        ),
+        step,
         lambda s: s["best"],
     )
 
@@ -132,21 +177,23 @@ def scan(docs: DataFrame, idf: dict[str, float], templates=TEMPLATES, text_colum
     postings = index(idf, templates)
     anchors = sorted({w for p in postings for w, _, _ in p})
     words = docs.select(*keep, normal(F.col(text_column)).alias("__words"))
-    any_anchor = F.col("__words").rlike(f"(?<= )(?:{'|'.join(anchors)})(?= )")
+    any_phrase = F.lit(False)
+    for phrase in sorted({phrase for _, _, phrase in templates}):
+        any_phrase = any_phrase | F.contains("__words", F.lit(f" {phrase} "))
     # element 1 of the split is the first word: the text begins with a space
-    numbered = F.transform(F.split("__words", " "), lambda w, i: F.struct(w.alias("w"), (i - 1).alias("i")))
-    hits = F.filter(numbered, lambda h: h["w"].isin(anchors))
-    none = F.array().cast("array<struct<w:string,i:int>>")
+    listed = F.slice(F.split("__words", " "), 2, F.length("__words"))
     found = words.select(
         *keep,
         "__words",
         F.array(*[_places(F.col("__words"), phrase) for phrase, _ in BASE]).alias("__places"),
-        F.when(any_anchor, hits).otherwise(none).alias("__hits"),
+        F.when(any_phrase, listed).otherwise(F.array().cast("array<string>")).alias("__list"),
     )
+    numbered = F.transform("__list", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    found = found.withColumn("__hits", F.filter(numbered, lambda h: h["w"].isin(anchors)))
     scores = F.array(*[
         F.when((F.size("__hits") > 0) & F.contains("__words", F.lit(f" {phrase} ")),
-               F.least(_template_score(F.col("__hits"), posting), F.lit(1.0))).otherwise(0.0)
-        for (_, _, phrase), posting in zip(templates, postings, strict=True)
+               F.least(_template_score(F.col("__hits"), F.col("__list"), posting, text, phrase), F.lit(1.0))).otherwise(0.0)
+        for (_, text, phrase), posting in zip(templates, postings, strict=True)
     ])
     found = found.select(*keep, _count_words(F.col("__words")).alias("__n"), "__places", scores.alias("__scores"))
     places = F.flatten("__places")

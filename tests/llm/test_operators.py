@@ -448,6 +448,46 @@ def test_licences(spark, docs, empty):
     assert scan(docs, rarity(docs)).count() == docs.count() and scan(empty, rarity(empty)).count() == 0
 
 
+NOTICES = [  # as printed; the last column is the label they must get
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation, either version 3 of the License, or any later", "gpl-3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation; either version 2 of the License, or any later", "gpl-2"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License version 2 as published by the Free Software Foundation.", "gpl-2"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation; either version 1, or any later", ""),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+     "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display", ""),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including", "mit"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal with the Software without restriction, including", ""),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+     "with the License.", "apache-2"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ""),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    # the phrase stands elsewhere than the notice
+    ("to deal in the software without restriction x " + "word " * 30 + "permission is hereby granted free of charge to "
+     "any person obtaining a copy of this software and associated documentation files", ""),
+]
+
+
+@pytest.mark.parametrize("used", [True, False])
+def test_licence_notices_as_printed(spark, used):
+    """Also where the corpus of the word counts does not use the words."""
+    from breezeframe.llm.licenses import rarity, scan
+
+    rows = [(i, f"lorem ipsum\n{t} dolor") for i, (t, _) in enumerate(NOTICES)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    idf = rarity(df if used else df.where("doc_id < 0"))
+    got = {r["doc_id"]: r for r in scan(df, idf).collect()}
+    for i, (t, want) in enumerate(NOTICES):
+        assert got[i]["labels"] == want, t
+        assert got[i]["score"] >= 0.75 if want else got[i]["score"] < 0.75, t
+
+
 # 10 -----------------------------------------------------------------------------------------
 def test_masks_leave_no_overlap_out():
     from breezeframe.llm.decontaminate import MASKS, MISSES, WINDOW
