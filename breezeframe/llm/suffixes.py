@@ -1,25 +1,26 @@
-"""Removal of repeated passages by a sampled suffix array with bucket-pointer refinement.
+"""Removal of repeated passages by fingerprints of windows anchored at minimisers.
 
 Every byte covered by a string of ``length`` bytes that also starts earlier (smaller id, or
 same document and earlier start) is removed. Strings are judged on the input; they do not
 cross documents.
 
-A suffix array of all positions would be some ten times the corpus. Only *anchors* enter the
-array: positions whose ``gram`` is the least (by hash) among all grams of some window of
+The dealt method, a suffix array refined by bucket pointers, was swapped for this: an array of
+all positions would be some ten times the corpus, and its refinement a join of all entries per
+round. Only *anchors* are entered: positions whose ``gram`` is the least (by hash) among all grams of some window of
 ``length`` bytes. Which gram that is depends on the window's bytes alone, so equal strings
 have their anchors in the same place, and about one position in ``(length - gram + 2) / 2``
 is one. An anchor stands for all windows that chose it.
 
-Refinement of the buckets:
+Buckets (nothing is sorted, and no identifier of another anchor's bucket is used):
 
 1. *Gram buckets.* Anchors are bucketed by their gram. Bucket identifiers are made from the
    bytes, so all tasks agree on them without a sort; a bucket with one member is finished.
 2. *Refined buckets.* A bucket is split by the identifier of everything its windows reach, at
    later and earlier offsets. Members of one refined bucket have the same windows, so all
    but the earliest are repeats as a whole; a gram bucket with one refined bucket is finished.
-3. *Recursion.* Only buckets that still hold different strings go on, with one
+3. *Single windows.* Only buckets that still hold different strings go on, with one
    representative per refined bucket and the bytes its windows reach: here each single window
-   gets its identifier (the refinement carried to depth ``length``), and all but its earliest
+   gets its identifier, and all but its earliest
    start are repeats. Small buckets are split inside a task, a large one sends its windows
    through the shuffle one by one.
 
