@@ -3,8 +3,8 @@
 Words are runs of digits, letters and non-ASCII characters, A-Z in lower case. Two texts
 *overlap* where, laid side by side at a fixed distance, some ``WINDOW`` consecutive words
 agree in all but ``MISSES`` places: substitutions are tolerated, and every window that agrees
-belongs to the overlap. A benchmark item shorter than the window must occur whole and
-unchanged; items below five words are not searched.
+belongs to the overlap. A benchmark item shorter than the window must occur whole, with at
+most one word changed. Items of one to four words are not searched; a warning gives their count.
 
 Search: a mask names the word positions that are hashed together and skips the others. The
 three masks are chosen such that any two substitutions within thirteen words leave at least
@@ -12,24 +12,27 @@ one mask, at some shift, untouched, so no overlap escapes (checked in the tests)
 the benchmark are joined with those of the documents, and each hit's alignment is verified
 word by word.
 
-Scale: the benchmark is a stated query set. It is split by a hash of its ids into blocks of
+Scale: the benchmark is a stated query set. It is split by a hash of its items into blocks of
 at most about ``block_words`` words; each block's seed table has that bound and goes to the
 tasks, which pass over the documents without any shuffle.
 
 Defined results: null or empty text has no words and is clean; null or empty items match
-nothing; repeated rows are judged alike; an empty benchmark leaves every document clean;
+nothing; items without id are searched under keys of their own, below all ids and below 0;
+repeated rows are judged alike; an empty benchmark leaves every document clean;
 columns of clashing names are replaced by the new ones.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breezeframe.llm.common import NON_ALNUM, U64, map_texts, mix, random_words, word_hashes
 
-WINDOW, MISSES, SHORTEST = 13, 2, 5
+WINDOW, MISSES, SHORTEST, SHORT_MISSES = 13, 2, 5, 1
 MASKS = ((0, 1, 2, 4, 5, 8, 9), (0, 1, 2, 3, 4, 6, 7), (0, 1, 3, 6, 8, 9, 10))
 SCHEMA = (
     "n_words bigint, contaminated boolean, item_ids array<bigint>, matched_words bigint, "
@@ -38,6 +41,16 @@ SCHEMA = (
 FACTORS = random_words(31, 64) | U64(1)
 
 
+def short_masks(size: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Masks of an item of ``size`` words, numbered: one changed word leaves one of them. All
+    words but one where halves would be too common, else the two halves."""
+    if size < 8:
+        masks = [tuple(k for k in range(size) if k != gone) for gone in range(size)]
+    else:
+        masks = [tuple(range(size // 2)), tuple(range(size // 2, size))]
+    return [(16 * size + k, mask) for k, mask in enumerate(masks)]
+
+
 def seeds(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     """Hash of the masked words at every start where the mask fits."""
     n = len(h) - mask[-1]
@@ -59,11 +72,13 @@ class Index:
             if len(h) >= WINDOW:
                 masks = enumerate(MASKS)
             elif len(h) >= SHORTEST:
-                masks = [(len(h) + 10, tuple(range(len(h))))]
+                masks = short_masks(len(h))
             else:
                 continue
             for number, mask in masks:
                 s = seeds(h, mask, number)
+                if len(h) < WINDOW:
+                    s = s[:1]  # a short item counts as a whole only
                 lists.setdefault((number, mask), []).append((s, np.full(len(s), n), np.arange(len(s))))
         self.tables = []
         for (number, mask), parts in lists.items():
@@ -94,7 +109,7 @@ class Index:
         for n, shift in self.alignments(h).tolist():
             key, item = self.items[n]
             size = min(WINDOW, len(item))
-            need = size - (MISSES if size == WINDOW else 0)
+            need = size - (MISSES if size == WINDOW else SHORT_MISSES)
             lo, hi = max(0, shift), min(len(h), shift + len(item))
             texts = range(int(np.searchsorted(first, lo, "right")) - 1, int(np.searchsorted(first, hi, "left")))
             for t in texts:  # an alignment may reach over several short texts
@@ -108,15 +123,18 @@ class Index:
                     yield t, key, a - int(first[t]) + s, a - int(first[t]) + e, int(same[e] - same[s])
 
 
-def _items(tests: DataFrame, id_column: str, text_column: str) -> list[tuple[int, np.ndarray]]:
+def _items(tests: DataFrame, id_column: str, text_column: str, lowest: int) -> list[tuple[int, np.ndarray]]:
     def hashes(buf, offsets):
         import pyarrow as pa
 
         h, _, _, first = word_hashes(buf, offsets, NON_ALNUM)
         return [pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())]
 
-    rows = map_texts(tests, text_column, "h binary", hashes, [id_column]).where(F.col(id_column).isNotNull()).collect()
-    return sorted(((r[0], np.frombuffer(r[1], U64)) for r in rows), key=lambda r: (r[0], r[1].tobytes()))
+    rows = [(r[0], r[1]) for r in map_texts(tests, text_column, "h binary", hashes, [id_column]).collect()]
+    nameless = sorted(h for key, h in rows if key is None and h)
+    keyed = [(key, h) for key, h in rows if key is not None]
+    keyed += [(lowest - 1 - k, h) for k, h in enumerate(nameless)]
+    return sorted(((key, np.frombuffer(h, U64)) for key, h in keyed), key=lambda r: (r[0], r[1].tobytes()))
 
 
 def find_overlaps(
@@ -130,14 +148,20 @@ def find_overlaps(
 ) -> DataFrame:
     """``docs`` (its ``keep`` columns, or all) with the overlaps of every text added."""
     tests = tests.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("item_text"))
-    chars = tests.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    chars, lowest = tests.agg(F.sum(F.length("item_text")), F.min("item_id")).first()
+    chars, lowest, unsearched = chars or 0, min(lowest or 0, 0), 0
     n = 1 + int(chars // (2 * block_words))  # a word and its separator are two characters at least
     new = [c.split()[0] for c in SCHEMA.split(", ", 4)]
     keep = [c for c in (keep or docs.columns) if c not in new]
     out = docs.select(*keep, *([] if text_column in keep else [text_column]))
     for k in range(n):
-        block = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else tests
-        out = _search(out, Index(_items(block, "item_id", "item_text")), text_column, k)
+        block = tests.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n)) == k) if n > 1 else tests
+        items = _items(block, "item_id", "item_text", lowest)
+        lowest = min([lowest, *[key for key, _ in items]])
+        unsearched += sum(0 < len(h) < SHORTEST for _, h in items)
+        out = _search(out, Index(items), text_column, k)
+    if unsearched:
+        warnings.warn(f"{unsearched} benchmark items of fewer than {SHORTEST} words are not searched", stacklevel=2)
     if n > 1:
         names = [f"__found_{k}" for k in range(n)]
         out = out.withColumn("__found_0", F.array_sort(F.flatten(F.array(*names))))

@@ -529,6 +529,37 @@ def test_overlaps(spark, docs, texts, empty, block_words):
     assert find_overlaps(empty, tests).count() == 0
 
 
+def test_short_masks_leave_no_change_out():
+    from breezeframe.llm.decontaminate import SHORTEST, WINDOW, short_masks
+
+    for size in range(SHORTEST, WINDOW):
+        assert all(any(bad not in mask for _, mask in short_masks(size)) for bad in range(size))
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 8])
+def test_short_items_with_a_change_and_items_without_id(spark, block_words):
+    from breezeframe.llm.decontaminate import find_overlaps
+
+    items = [[f"{chr(97 + n)}{k}" for k in range(n)] for n in range(5, 13)]
+    rows = [(n, " ".join(w)) for n, w in enumerate(items)] + [(None, "p q r s t u"), (None, "v w x y z vv"), (50, "so short")]
+    tests = spark.createDataFrame(rows, "item_id bigint, text string")
+    texts, want = [], []
+    for n, w in enumerate(items):
+        for bad in ([k] for k in range(len(w))):
+            texts.append("so short " + " ".join("other" if k in bad else x for k, x in enumerate(w)) + " end")
+            want.append([n])
+        texts.append("so short " + " ".join(["other", "other", *w[2:]]))
+        want.append([])
+    texts += ["p q r s t u", "v w x y z other"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    with pytest.warns(UserWarning, match="1 benchmark items"):
+        found = find_overlaps(docs, tests, block_words=block_words)
+    got = {r["doc_id"]: r["item_ids"] for r in found.collect()}
+    assert [got[i] for i in range(len(want))] == want
+    nameless = got[len(want)] + got[len(want) + 1]
+    assert len(set(nameless)) == 2 and max(nameless) < 0
+
+
 # all ----------------------------------------------------------------------------------------
 def test_empty_tables(spark, empty, tokenizer):
     from breezeframe.llm import lattice, minhash, packing, secrets, suffixes, warc
