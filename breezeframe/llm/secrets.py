@@ -3,7 +3,7 @@
 Base kinds are regular expressions whose matches are located by marking them inside the text
 and measuring the pieces between the marks, so every position comes from native string
 functions. The entropy kind looks at *candidates*: runs of ``CANDIDATE`` characters that mix
-letters and digits. A window of ``width`` characters slides over a candidate; its Shannon
+letters and digits, or upper and lower case. A window of ``width`` characters slides over a candidate; its Shannon
 entropy is kept up to date by the two counts that change per step (the character that enters
 and the one that leaves)::
 
@@ -40,14 +40,18 @@ GUARDS = (
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: per class: pattern of the whole candidate, window width, least entropy in bits
-CLASSES = ((r"^[0-9A-Fa-f]+$", 16, 2.9), (r"^[A-Z0-9]+$", 16, 3.2), (r"^[a-z0-9]+$", 20, 3.6), (r"", 20, 3.75))
-#: UUIDs, repeated characters, plain words joined by separators, documented sample keys
+CLASSES = ((r"^[0-9A-Fa-f]+$", 16, 2.9), (r"^[A-Z0-9]+$", 16, 3.2), (r"^[a-z0-9]+$", 20, 3.6), (r"^[^0-9]+$", 20, 3.5),
+           (r"", 20, 3.75))
+#: a part that looks like words: one lower or upper run, or capitalised words of three letters up
+_WORDS = r"[a-z]*(?:[A-Z]+[a-z]{2,})*[A-Z]*"
+#: UUIDs, repeated characters, plain words joined by separators
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.)\1+$",
-    r"^[A-Za-z]*([-_/=+][A-Za-z]*)*[0-9]{0,4}$",
-    r"(?i)example",
+    rf"^{_WORDS}([-_/=+]{_WORDS})*[0-9]{{0,4}}$",
 )
+#: documented sample keys say so in the span itself; names before and after the key do not count
+AROUND, SAMPLE = r"^(?:[A-Z]?[a-z_-]*[/=])+|(?:[/=][A-Z]?[a-z_-]*)+$", r"(?i)example"
 MARK, STAND_IN = "\x00", "\x01"
 
 
@@ -122,7 +126,8 @@ def _hot_part(m: Column, width: int, least: float) -> Column:
 
 def _entropy_spans(text: Column) -> Column:
     def mixed(m):
-        return m["text"].rlike("[0-9]") & m["text"].rlike("[A-Za-z]") & ~_any(m["text"], ALLOW)
+        mix = m["text"].rlike("[A-Za-z]") & m["text"].rlike("[0-9]") | m["text"].rlike("[a-z]") & m["text"].rlike("[A-Z]")
+        return mix & ~_any(m["text"], ALLOW)
 
     found = F.filter(_matches(text, CANDIDATE, 20), mixed)
 
@@ -131,9 +136,13 @@ def _entropy_spans(text: Column) -> Column:
         for pattern, width, least in reversed(CLASSES):
             part = _hot_part(m, width, least)
             out = part if out is None else F.when(m["text"].rlike(pattern), part).otherwise(out)
-        return out
+        return F.struct(out.alias("span"), m["start"].alias("from"), m["text"].alias("text"))
 
-    return F.filter(F.transform(found, scan), lambda m: m["start"].isNotNull())
+    def kept(m):
+        span = F.substring(m["text"], m["span"]["start"] - m["from"] + 1, m["span"]["end"] - m["span"]["start"])
+        return m["span"]["start"].isNotNull() & ~F.regexp_replace(span, AROUND, "").rlike(SAMPLE)
+
+    return F.transform(F.filter(F.transform(found, scan), kept), lambda m: m["span"])
 
 
 def _any(text: Column, patterns) -> Column:

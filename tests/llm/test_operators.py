@@ -235,6 +235,21 @@ def test_secrets(spark, docs):
     assert scan(docs).count() == docs.count()
 
 
+def test_keys_of_letters_and_beside_examples(spark):
+    from breezeframe.llm.secrets import scan
+
+    rows = [
+        ("a kXbQzRmWvTyLpNcHdJsF b", 1), ("a kXbQzRmWvTyLpNcHdJsF2024 b", 1),
+        ("see docs/example/q7Zp2Lx9Vb4Nm6Kt1Rw8Ys3H", 1), ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 0),
+        ("getUserAccountSettingsManager", 0), ("some/longer/path/InsideTheRepository2024", 0),
+        ("ABSTRACT-OF-THE-WHOLE-REPORT", 0), ("donaudampfschifffahrtsgesellschaft", 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: [s for s in r["secret_spans"] if s["rank"] == 3] for r in scan(df).collect()}
+    for i, (t, n) in enumerate(rows):
+        assert len(got[i]) == n, t
+
+
 # 5 ------------------------------------------------------------------------------------------
 def test_vectors(spark, monkeypatch):
     from breezeframe.llm import lattice
