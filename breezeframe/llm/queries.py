@@ -116,6 +116,87 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.repair import COUNTS, all_conversations, damage, digests, find_edits
+
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damage(conversations)
+    found = digests(rows, all_conversations(conversations, find_edits(rows)))
+    return found.withColumnRenamed("conv", "conv_id").select("conv_id", *COUNTS, "audit", "repaired_sha256")
+
+
+ORACLES["op13_conversation_repair"] = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) t(i)
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS key
+  FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, key),
+    lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) % 20 AS kind FROM raw, crc
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut
+  FROM hurt
+), rows_ AS (
+  SELECT *, NOT blank AND again AS dup, NOT blank AND NOT again AND cut AS trunc, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM rows_ GROUP BY conv_id
+), moves(p, q, edit, initial, price) AS (
+  SELECT * FROM (VALUES (0,0,'D','',3), (1,1,'D','',3), (2,2,'D','',3), (3,3,'D','',3),
+    (0,1,'K','s',0), (0,2,'K','u',0), (1,2,'K','u',0), (3,2,'K','u',0), (2,3,'K','a',0),
+    (0,2,'R','',2), (1,2,'R','',2), (3,2,'R','',2), (2,3,'R','',2))
+), inserts(p, q, more, price) AS (
+  SELECT * FROM (VALUES (0,0,'',0), (1,1,'',0), (2,2,'',0), (3,3,'',0), (0,2,'I',2), (0,3,'II',4), (1,2,'I',2), (1,3,'II',4), (2,3,'I',2), (3,2,'I',2))
+), search AS (
+  SELECT conv_id, 0::BIGINT AS i, q AS state, price::BIGINT AS cost, more AS audit FROM counts, inserts WHERE p = 0
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit FROM (
+    SELECT s.conv_id, r.i, x.q AS state, min({'cost': s.cost + m.price + x.price + CASE WHEN m.edit <> 'D' AND r.trunc THEN 1 ELSE 0 END,
+      'audit': s.audit || m.edit || x.more}) AS best
+    FROM search s JOIN rows_ r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = s.i + 1
+    JOIN moves m ON m.p = s.state AND (m.edit <> 'K' OR m.initial = r.initial) AND (m.edit = 'D' OR NOT (r.blank OR r.dup))
+    JOIN inserts x ON x.p = m.q
+    GROUP BY s.conv_id, r.i, x.q)
+), won AS (
+  SELECT c.conv_id, min({'cost': s.cost, 'audit': s.audit}) AS best
+  FROM counts c JOIN search s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n AND s.state IN (0, 3) GROUP BY c.conv_id
+), edits AS (
+  SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, unnest(range(1, length(best.audit) + 1)) AS k FROM won WHERE best.audit <> ''
+), matched AS (
+  SELECT *, sum(CASE WHEN edit = 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN edit = 'D' THEN 0 ELSE 1 END) OVER w AS place
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), kept AS (
+  SELECT m.conv_id, m.k, m.edit, m.place, r.role, r.text,
+    max(CASE WHEN m.place = 1 AND m.edit = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS led
+  FROM matched m LEFT JOIN rows_ r ON m.edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i WHERE m.edit <> 'D'
+), written AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS sha FROM kept GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+  coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(w.best.cost, 0)::BIGINT AS cost,
+  coalesce(w.best.audit, '') AS audit, coalesce(t.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN written t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLES["op7_warc"] = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
