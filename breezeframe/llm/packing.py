@@ -27,95 +27,30 @@ input are ignored.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from breezeframe.llm.common import short_batches, worker_cache
+from breezeframe.llm.tokens import Encoder, Files
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
 )
 END_ID = 2
-CACHED_WORDS = 400_000
-#: the tokenizer's own split, for ASCII
-ASCII_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: split a Python string, but are no white space to the tokenizer
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-class Known(dict):
-    """Chunk to packed ids; what is missing is encoded. Two generations bound the size."""
-
-    def __init__(self, encode, limit: int):
-        self.encode, self.limit, self.older = encode, limit, {}
-
-    def __missing__(self, chunk):
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(chunk)
-        self[chunk] = found = self.encode(chunk) if found is None else found
-        return found
-
-
-class Encoder:
-    """Token ids of whole texts, remembered by white-space-free chunk.
-
-    The tokenizer drops white space and merges nothing across it, so a text's ids are the ids
-    of its chunks one after the other. Plain words skip the tokenizer's text clean-up and go
-    to its merge model directly; every other chunk takes the full way.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are plain text
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 65536 else np.dtype("<u4")
-        shape = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letter = {
-            ord(c): shape.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA1, 0x250)) if c.isalpha()
-        }
-        self.model = self.tokenizer.model
-        self.tokens = Known(self._model, CACHED_WORDS // 2)
-        self.known = Known(self._chunk, CACHED_WORDS // 2)
-
-    def _model(self, token: str) -> bytes:
-        shaped = token if token.isascii() else token.translate(self.letter)
-        return array(self.kind.char, [t.id for t in self.model.tokenize(shaped)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        core = chunk.rstrip(".,")
-        # Latin letters only: composed already, and lower-cased one by one
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250" and min(core.lower()) >= "a" and "\u0130" not in core):
-            ids = self.tokens[core.lower()]
-            return ids + self.tokens[chunk[len(core) :]] if len(core) < len(chunk) else ids
-        if chunk.isascii() and chunk.isprintable():
-            return b"".join(map(self.tokens.__getitem__, ASCII_TOKENS.findall(chunk.lower())))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), self.kind)
-
-    def sentence_ends(self) -> np.ndarray:
-        ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for mark in (".", "!", "?", ".\"", "!\"", "?\"", "…", "。"):
-            ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
-            if len(ids) == 1:
-                ends[ids[0]] = True
-        return ends
+def sentence_ends(files: Files) -> np.ndarray:
+    """Whether an id closes a sentence."""
+    ends = np.zeros(files.size + 1, bool)
+    for mark in (".", "!", "?", ".\"", "!\"", "?\"", "…", "。"):
+        ids = files.tokenizer.encode(mark, add_special_tokens=False).ids
+        if len(ids) == 1:
+            ends[ids[0]] = True
+    return ends
 
 
 def choose_cuts(positions: np.ndarray, penalties: np.ndarray, length: int) -> list[int]:
@@ -176,7 +111,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
-    ``tokenizer`` is the path of a tokenizer file that every executor can open.
+    ``tokenizer`` is the path of a tokenizer file that every executor can open; ids are those of
+    its plain call without special tokens added (the text of a special token is that token).
     """
     docs = docs.select(id_column, text_column)
 
@@ -184,8 +120,8 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = worker_cache(f"encoder_{tokenizer}", lambda: Encoder(tokenizer))
-        ends = worker_cache(f"ends_{tokenizer}", encoder.sentence_ends)
+        files = worker_cache(f"files_{tokenizer}", lambda: Files(tokenizer))
+        encoder, ends = Encoder(files), sentence_ends(files)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -224,8 +160,7 @@ def pack(
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text)
+                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     held.append((key, np.append(ids, ids.dtype.type(end_id)), 0))
                     size += len(ids) + 1
                 if size >= segment and (out := solve(False)) is not None:

@@ -135,7 +135,6 @@ def test_packing_is_a_partition_of_all_tokens(docs, texts, tokenizer):
     from breezeframe.llm.packing import pack
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     want = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
     for segment in (1 << 21, 300):
         rows = pack(docs, tokenizer, length=64, segment=segment).collect()
