@@ -116,6 +116,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from breezeframe.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -136,6 +143,44 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("conv", "conv_id").select("conv_id", *COUNTS, "audit", "repaired_sha256")
 
 
+ORACLES["op11_source_divergence"] = """
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), w AS (SELECT lang, source, doc, unnest(w) AS term FROM d),
+per_doc AS (SELECT lang, source, doc, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term FROM per_doc GROUP BY ALL HAVING count(*) >= 10),
+cells AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM per_doc JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(t.n, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM cells GROUP BY ALL) t USING (lang, source)
+), filled AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT t.lang, t.term, 1 + (1000000000::HUGEINT * (t.n + 2)) // (a.n + 2 * v.v) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL) t
+  JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL) a USING (lang) JOIN v USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source AS s, y.source AS t, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM filled x JOIN filled y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.s = a.source AND s.t = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM filled JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES["op13_conversation_repair"] = """
 WITH RECURSIVE crc AS (
   SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab
