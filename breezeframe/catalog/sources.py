@@ -207,7 +207,7 @@ def s12(spark, sf):
     store.append_monthly(m.withColumn("seq", F.lit(1)), path)
     again = m.filter(F.hour("time") % 3 == 0).withColumn("iqair_aqi", F.col("iqair_aqi") + 1)
     store.append_monthly(again.withColumn("seq", F.lit(2)), path)
-    return spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    return store.read_table(spark, path).withColumn("month", F.col("month").cast("string"))
 
 
 @query("s13_write_training_set", f"WITH {PANEL} SELECT station, time, pm2_5 + 1 AS pm2_5, 2 AS version FROM panel", dbl="pm2_5")
@@ -232,7 +232,7 @@ def s14(spark, sf):
     changed = p.filter(F.dayofmonth("time") >= 28).withColumn("pm2_5", F.col("pm2_5") + 100)
     store.upsert_features(changed, path)
     store.upsert_features(changed, path)
-    return spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
+    return store.read_table(spark, path).withColumn("date", F.col("date").cast("string"))
 
 
 @query("s15_register_view", f"WITH {PANEL} SELECT station, time, pm2_5 FROM panel WHERE pm2_5 > 20")

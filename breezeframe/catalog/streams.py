@@ -12,15 +12,20 @@ from breezeframe.fixtures import PANEL, panel_hourly
 from breezeframe.operators import windows as W
 from breezeframe.schema import AQI_CATEGORIES
 from breezeframe.session import scratch_path
+from breezeframe.sources import store
 from breezeframe.streaming import jobs
 
 
 def _documents(spark, sf) -> str:
-    """Folder with the payload documents dealt over files without regard to time, and half of
-    them once more, as late deliveries and replays would leave it."""
+    """Folder with the payload documents dealt over files without regard to time: a ninth
+    component in one station's, one document in ten cut off and delivered whole later, and half
+    of all once more, as late deliveries and replays would leave it."""
     path = scratch_path(spark, "documents")
     docs = X.pollution_json(spark, sf)
-    docs.repartition(6, F.xxhash64("payload")).write.parquet(path)
+    ninth = F.replace("payload", F.lit('"co":'), F.lit('"xyz":1.5,"co":'))
+    docs = docs.withColumn("payload", F.when(F.col("station") == "view", ninth).otherwise(F.col("payload")))
+    broken = docs.where(F.pmod(F.xxhash64("payload"), F.lit(10)) == 0).select("station", F.expr("left(payload, 40)").alias("payload"))
+    docs.unionByName(broken).repartition(6, F.xxhash64("payload")).write.parquet(path)
     again = docs.where(F.pmod(F.xxhash64("payload"), F.lit(2)) == 0)
     again.repartition(2, F.xxhash64("payload")).write.mode("append").parquet(path)
     return path
@@ -29,13 +34,13 @@ def _documents(spark, sf) -> str:
 @query(
     "x1_hourly_ingest",
     f"""WITH {PANEL} SELECT station, time, strftime(time, '%Y-%m-%d %H:%M:%S') AS time_str, carbon_monoxide, no, nitrogen_dioxide,
-ozone, sulphur_dioxide, pm2_5, pm10, nh3 FROM panel""",
+ozone, sulphur_dioxide, pm2_5, pm10, nh3, CASE WHEN station = 'view' AND carbon_monoxide IS NOT NULL THEN 1.5::DOUBLE END AS xyz FROM panel""",
 )
 def x1(spark, sf):
-    out = scratch_path(spark, "ingested")
+    out, rejects = scratch_path(spark, "ingested"), scratch_path(spark, "rejects")
     stream = jobs.read_documents(spark, _documents(spark, sf), files_per_batch=2)
-    jobs.run_updates(stream, jobs.hourly_ingest(out), scratch_path(spark, "ckpt"))
-    return spark.read.parquet(out).drop("date", "openweather_aqi")
+    jobs.run_updates(stream, jobs.hourly_ingest(out, rejects), scratch_path(spark, "ckpt"))
+    return store.read_table(spark, out).drop("date", "openweather_aqi")
 
 
 _LAGS = [W.Lag("pm2_5_lag_1h", "pm2_5", 1), W.Lag("pm2_5_lag_24h", "pm2_5", 24)]
@@ -61,7 +66,7 @@ def x2(spark, sf):
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(rows)
     handler = jobs.feature_updates(raw, feats, _LAGS, _ROLLS, columns=["pm2_5"])
     jobs.run_updates(stream, handler, scratch_path(spark, "ckpt"))
-    return spark.read.parquet(feats).drop("date")
+    return store.read_table(spark, feats).drop("date")
 
 
 _COUNTS = ", ".join(
@@ -78,9 +83,9 @@ count(pm2_5) AS n, {_COUNTS} FROM (SELECT *, time - to_hours(k) AS ws FROM (SELE
     dbl="pm2_5_mean",
 )
 def x3(spark, sf):
-    rows, out = scratch_path(spark, "rows"), scratch_path(spark, "stats")
+    rows, hours, out = (scratch_path(spark, n) for n in ("rows", "hours", "stats"))
     p = panel_hourly(spark, sf).select("station", "time", "pm2_5", "pm10")
     p.write.parquet(rows)
     stream = spark.readStream.schema(p.schema).parquet(rows)
-    jobs.run_updates(jobs.sliding_stats(stream), jobs.keep_windows(out), scratch_path(spark, "ckpt"), "update")
-    return spark.read.parquet(out).drop("date")
+    jobs.run_updates(jobs.bucket_stats(stream), jobs.keep_windows(hours, out), scratch_path(spark, "ckpt"), "update")
+    return store.read_table(spark, out).drop("date")

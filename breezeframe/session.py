@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, name: str):
+    """:func:`materialise` for the length of a ``with`` block: the files go at its end."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        discard(df.sparkSession, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of :func:`scratch_path` that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

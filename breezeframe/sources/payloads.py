@@ -6,10 +6,13 @@ ingest id) pass through.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breezeframe.schema import MONITOR_PAYLOAD, POLLUTANT_NAMES, POLLUTION_PAYLOAD, WEATHER_ITEM, WEATHER_PAYLOAD
+from breezeframe.session import materialise
 
 COMPONENTS = ["co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3"]
 
@@ -43,34 +46,75 @@ def _weather(units: str = "metric") -> list[Column]:
     ]
 
 
-def component_names(df: DataFrame, payload: str = "payload") -> list[str]:
-    """Every component key that occurs; runs a job whose result is the distinct keys."""
-    items = _items(df.select(payload), payload, POLLUTION_PAYLOAD)
-    keys = items.select(F.explode(F.map_keys("_item.components")).alias("key")).distinct()
+def entries(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """The pollution documents in one parse: a row per list entry with ``time``,
+    ``openweather_aqi`` and the map ``components``, whatever its keys, and a row with a
+    ``reason`` for what cannot be used: ``malformed`` (no JSON), ``no list``, ``no time``. Such
+    rows keep their payload, the others have null there. An empty list gives no row, a value
+    that is no number is null under its key.
+    """
+    rest = [c for c in df.columns if c != payload]
+    parsed = df.withColumn("_doc", F.try_parse_json(payload))
+    listed = parsed.withColumn("_list", F.try_variant_get("_doc", "$.list", "array<variant>"))
+    held = F.when(F.col("_list").isNotNull(), F.col("_list")).otherwise(F.array(F.lit(None).cast("variant")))
+    each = listed.select(*rest, payload, "_doc", F.col("_list").isNull().alias("_bad"), F.explode(held).alias("_e"))
+    dt = F.try_variant_get("_e", "$.dt", "bigint")
+    reason = (
+        F.when(F.col("_doc").isNull(), "malformed").when(F.col("_bad"), "no list").when(dt.isNull(), "no time")
+    )
+    found = F.try_variant_get("_e", "$.components", "map<string,variant>")
+    numbers = F.transform_values(found, lambda k, v: F.try_variant_get(v, "$", "double"))
+    return each.select(
+        *rest,
+        F.timestamp_seconds(dt).alias("time"),
+        F.try_variant_get("_e", "$.main.aqi", "int").alias("openweather_aqi"),
+        numbers.alias("components"),
+        reason.alias("reason"),
+        F.when(reason.isNotNull(), F.col(payload)).alias(payload),
+    )
+
+
+def rejected_documents(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """What flattening cannot use, with the ``reason``; an entry without time gives its document."""
+    kept = [c for c in df.columns if c != payload]
+    return entries(df, payload).where("reason IS NOT NULL").select(*kept, payload, "reason")
+
+
+def component_names(parsed: DataFrame) -> list[str]:
+    """Every component key in the rows of :func:`entries`; runs a job whose result is the
+    distinct keys."""
+    keys = parsed.select(F.explode(F.map_keys("components")).alias("key")).distinct()
     return sorted(r["key"] for r in keys.collect())
 
 
-def rejected_documents(df: DataFrame, schema=POLLUTION_PAYLOAD, payload: str = "payload") -> DataFrame:
-    """The documents that flattening cannot use: not parsable, or without a list of entries."""
-    return df.where(F.from_json(payload, schema)["list"].isNull())
+def widened(parsed: DataFrame, components: Sequence[str] | dict[str, str], others: str | None = None) -> DataFrame:
+    """Usable rows of :func:`entries` with one column per component, under its own name or the
+    one it maps to; ``others`` names a map column for what is left, null if nothing is."""
+    names = components if isinstance(components, dict) else {c: c for c in components}
+    rest = [c for c in parsed.columns if c not in ("time", "openweather_aqi", "components", "reason", "payload")]
+    left = F.map_filter("components", lambda k, v: ~k.isin(*names)) if names else F.col("components")
+    extra = [F.when(F.size(left) > 0, left).alias(others)] if others else []
+    return parsed.where("reason IS NULL").select(
+        *rest, "time", *[F.try_element_at("components", F.lit(c)).alias(n) for c, n in names.items()], "openweather_aqi", *extra
+    )
 
 
-def flatten_pollution(df: DataFrame, payload: str = "payload", components=COMPONENTS) -> DataFrame:
+def flatten_pollution(
+    df: DataFrame, payload: str = "payload", components: Sequence[str] | str = COMPONENTS, others: str | None = None
+) -> DataFrame:
     """One row per list entry; the component map becomes one column per key.
 
-    ``components="all"`` takes the keys that occur, by :func:`component_names`. Documents
-    that do not parse give no row; :func:`rejected_documents` has them.
+    Keys outside ``components`` go to the map column ``others`` names, and are left out without
+    one. ``components="all"`` takes every key that occurs: the parsed rows are then staged in
+    the shared folder, so that the documents are scanned and parsed once; jobs run when this is
+    called. Documents that cannot be used give no row; :func:`rejected_documents` has them, and
+    :func:`entries` has both at once.
     """
+    parsed = entries(df.withColumnRenamed(payload, "payload"))
     if components == "all":
-        components = component_names(df, payload)
-    items = _items(df, payload, POLLUTION_PAYLOAD)
-    rest = [c for c in items.columns if c != "_item"]
-    return items.select(
-        *rest,
-        _at(),
-        *[_component(c).alias(c) for c in components],
-        F.col("_item.main.aqi").alias("openweather_aqi"),
-    )
+        parsed = materialise(parsed.where("reason IS NULL"), "payloads")
+        components = component_names(parsed)
+    return widened(parsed, components, others)
 
 
 def flatten_weather(df: DataFrame, payload: str = "payload", units: str = "metric") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from breezeframe.functions.features import hour_keys, time_key
 from breezeframe.schema import KEYS, TIME
-from breezeframe.sources.store import is_missing
+from breezeframe.sources.store import is_missing, is_table, read_table
 
 
 def read_csv_series(spark: SparkSession, path: str, schema: T.StructType, time: str = TIME) -> DataFrame:
@@ -30,10 +30,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def read_features(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Stored table without its key string and without rows lacking a time.
 
-    A missing table reads as an empty one when ``schema`` says what it would hold.
+    ``path`` is a plain Parquet folder or a keyed table. A missing table reads as an empty one
+    when ``schema`` says what it would hold.
     """
     try:
-        df = spark.read.parquet(path)
+        df = read_table(spark, path) if is_table(spark, path) else spark.read.parquet(path)
     except AnalysisException as e:
         if schema is None or not is_missing(e):
             raise
