@@ -182,10 +182,11 @@ def _pair_sums(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
         def given():
             for (lang, block, other), out in sums.items():
-                g, h = np.nonzero(out)
+                rows = np.flatnonzero(out.any(1))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(g), pa.string()), pa.array(g + block * SIDE), pa.array(h + other * SIDE), pa.array(out[g, h]),
-                ], ["lang", "g", "h", "sum"])
+                    pa.array([lang] * len(rows), pa.string()), pa.array(rows + block * SIDE),
+                    pa.array([other] * len(rows), pa.int64()), pa.array(list(out[rows]), pa.list_(pa.int64())),
+                ], ["lang", "g", "other", "sums"])
 
         for batch in batches:
             for r in range(batch.num_rows):
@@ -206,7 +207,13 @@ def _pair_sums(cells: DataFrame, groups: DataFrame) -> DataFrame:
                     sums.clear()
         yield from given()
 
-    return met.mapInArrow(run, "lang string, g bigint, h bigint, sum bigint")
+    # a group's sums against a block stay one row until all tasks' are added up
+    found = met.mapInArrow(run, "lang string, g bigint, other bigint, sums array<bigint>")
+    added = found.groupBy("lang", "g", "other").agg(
+        F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(SIDE)]).alias("sums")
+    )
+    each = added.select("lang", "g", "other", F.posexplode("sums").alias("h", "sum")).where("sum IS NOT NULL")
+    return each.select("lang", "g", (F.col("other") * SIDE + F.col("h")).alias("h"), "sum")
 
 
 def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
@@ -246,6 +253,8 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     spread = kept.where("first").withColumn("level", level).join(strips, ["lang", "level"]).select(
         "lang", "term", "level", F.pmod(F.xxhash64("term"), "strips").alias("strip")
     )
+    # dealt by strip: the join above leaves all terms of a level together
+    spread = spread.repartition("lang", "level", "strip")
     place = F.row_number().over(Window.partitionBy("lang", "level", "strip").orderBy("term")) - 1
     columns = spread.withColumn("place", place).select(
         "lang", "term", (F.col("place") % SIDE).alias("col"),
