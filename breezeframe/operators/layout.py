@@ -78,7 +78,7 @@ def time_halo(
 
 def core(df: DataFrame) -> DataFrame:
     """Drop halo copies and the helper columns."""
-    return df.filter(F.col(CORE)).drop(PIECE, CORE, US)
+    return df.filter(F.col(CORE)).drop(PIECE, CORE, US, "_nus")
 
 
 def piece_window(keys: Sequence[str] = KEYS) -> Window:

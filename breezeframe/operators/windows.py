@@ -104,11 +104,20 @@ def target_changes(targets: Sequence[str] = TARGETS) -> list[Change]:
 # --- tolerant as-of lag --------------------------------------------------------------
 
 
-def _spec(keys: Sequence[str], order: str, frame: str, block: bool = False) -> str:
-    part = ", ".join([*keys, PIECE] + (["_block"] if block else []))
+#: negated microseconds: frames that grow against time are frames of this column, and all of
+#: them, lags and range statistics alike, share its sort
+AGAINST = "_nus"
+
+
+def _spec(keys: Sequence[str], order: str, frame: str) -> str:
+    part = ", ".join([*keys, PIECE])
     return f"OVER (PARTITION BY {part} ORDER BY {order} RANGE BETWEEN UNBOUNDED PRECEDING AND {frame})"
 
 
+def _against(df: DataFrame) -> DataFrame:
+    return df if AGAINST in df.columns else df.withColumn(AGAINST, -F.col(US))
+
+
 def _nearest(df: DataFrame, pairs: dict[tuple[int, int], list[str]], keys, seq) -> DataFrame:
     """Add ``_at_<h>_<tol>``: struct of the row nearest to ``hours`` ago, null if none is close.
 
@@ -124,7 +133,7 @@ def _nearest(df: DataFrame, pairs: dict[tuple[int, int], list[str]], keys, seq)
             f"max(named_struct('us', {US}, 's', -{seq}, {payload})) "
             f"{_spec(keys, US, f'{lag} PRECEDING')} AS {b}",
             f"min(named_struct('us', {US}, 's', {seq}, {payload})) "
-            f"{_spec(keys, f'{US} DESC', f'{lag} FOLLOWING')} AS {a}",
+            f"{_spec(keys, AGAINST, f'{lag} FOLLOWING')} AS {a}",
         ]
         behind, ahead = f"{US} - {lag} - {b}.us", f"{a}.us - ({US} - {lag})"
         side = lambda x: "named_struct(" + ", ".join(f"'{c}', {x}.{c}" for c in cols) + ")"
@@ -153,8 +162,8 @@ def add_lags(
             cols.append(spec.column)
     if not pairs:
         return df
-    base = df.columns
-    near = _nearest(df, pairs, keys, seq)
+    base = [c for c in df.columns if c != AGAINST]
+    near = _nearest(_against(df), pairs, keys, seq)
 
     def at(spec: Lag) -> Column:
         return F.col(f"_at_{spec.hours}_{spec.tolerance}.{spec.column}")
@@ -219,60 +228,87 @@ def add_rolling(df: DataFrame, rolls: Iterable[Rolling], keys: Sequence[str] = K
     row covers the head of the row's own block and the tail of the block before it. Head
     and tail are running aggregates, the tail being read at the first row inside the
     window; the two are then merged. Null below two rows (null readings count as rows).
+
+    Blocks whose widths divide one another nest, and rows in the order of all their numbers
+    are in the order every one of them needs. So however many widths a chain of divisors has,
+    it takes three sorts: heads along time, tails against it, and the readings of the tails.
     """
     by_hours: dict[int, list[Rolling]] = {}
     for r in rolls:
         by_hours.setdefault(r.hours, []).append(r)
-    for hours, group in by_hours.items():
-        df = _one_window(df, hours, group, keys)
+    for chain in _chains(by_hours):
+        df = _nested_windows(df, chain, by_hours, keys)
     return df
 
 
-def _one_window(df: DataFrame, hours: int, group: list[Rolling], keys) -> DataFrame:
-    base = df.columns
-    width = hours * US_PER_HOUR
-    parts = list(dict.fromkeys((r.column, p) for r in group for p in _PARTS[r.stat]))
-    head = _spec(keys, US, "CURRENT ROW", block=True)
-    tail = _spec(keys, f"{US} DESC", "CURRENT ROW", block=True)
-    entry = _spec(keys, f"{US} DESC", f"{width} FOLLOWING")
-
-    def running(side: str, frame: str) -> list[str]:
-        return [f"count(1) {frame} AS _{side}_rows"] + [
-            f"{_AGGREGATES[p]}({c}) {frame} AS _{side}_{p}_{c}" for c, p in parts
-        ]
+def _chains(hours: Iterable[int]) -> list[list[int]]:
+    """Widths, wide to narrow, in as few lists as a greedy pass finds in which each divides the
+    one before it."""
+    chains: list[list[int]] = []
+    for h in sorted(hours, reverse=True):
+        home = next((c for c in chains if c[-1] % h == 0), None)
+        if home is None:
+            chains.append([h])
+        else:
+            home.append(h)
+    return chains
 
-    df = df.withColumn("_block", floor_div(F.col(US), width))
-    df = df.selectExpr("*", *running("h", head), *running("s", tail))
-    tails = ", ".join(
-        ["'block', _block", "'rows', _s_rows"] + [f"'{p}_{c}', _s_{p}_{c}" for c, p in parts]
-    )
-    heads = [c for c in df.columns if not c.startswith("_s_")]
-    df = df.selectExpr(*heads, f"last(named_struct({tails})) {entry} AS _tail")
+
+def _nested_windows(df: DataFrame, chain: list[int], by_hours: dict[int, list[Rolling]], keys) -> DataFrame:
+    base = df.columns
+    parts = {h: list(dict.fromkeys((r.column, p) for r in by_hours[h] for p in _PARTS[r.stat])) for h in chain}
+    blocks = {h: floor_div(F.col(US), h * US_PER_HOUR) for h in chain}
+    df = _against(df).withColumns({f"_b{h}": b for h, b in blocks.items()})
+    df = df.withColumns({f"_n{h}": -F.col(f"_b{h}") for h in chain})
+
+    def running(side: str, mark: str, axis: str) -> list[str]:
+        out = []
+        for i, h in enumerate(chain):
+            outer = ", ".join([*keys, PIECE, *(f"{mark}{x}" for x in chain[: i + 1])])
+            inner = ", ".join([*(f"{mark}{x}" for x in chain[i + 1 :]), axis])
+            frame = f"OVER (PARTITION BY {outer} ORDER BY {inner} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            out.append(f"count(1) {frame} AS _{side}{h}_rows")
+            out += [f"{_AGGREGATES[p]}({c}) {frame} AS _{side}{h}_{p}_{c}" for c, p in parts[h]]
+        return out
+
+    df = df.selectExpr("*", *running("h", "_b", US))
+    df = df.selectExpr("*", *running("s", "_n", AGAINST))
+    heads = [c for c in df.columns if not any(c.startswith(f"_s{h}_") for h in chain)]
+    tails = []
+    for h in chain:
+        held = ", ".join(
+            [f"'block', _b{h}", f"'rows', _s{h}_rows"] + [f"'{p}_{c}', _s{h}_{p}_{c}" for c, p in parts[h]]
+        )
+        tails.append(f"last(named_struct({held})) {_spec(keys, AGAINST, f'{h * US_PER_HOUR} FOLLOWING')} AS _tail{h}")
+    df = df.selectExpr(*heads, *tails)
     # the first row inside the window may already lie in the row's own block
-    cut = [f"CASE WHEN _tail.block < _block THEN _tail.rows ELSE 0 END AS _t_rows"] + [
-        f"CASE WHEN _tail.block < _block THEN _tail.{p}_{c} END AS _t_{p}_{c}" for c, p in parts
-    ]
+    cut = []
+    for h in chain:
+        before = f"_tail{h}.block < _b{h}"
+        cut.append(f"CASE WHEN {before} THEN _tail{h}.rows ELSE 0 END AS _t{h}_rows")
+        cut += [f"CASE WHEN {before} THEN _tail{h}.{p}_{c} END AS _t{h}_{p}_{c}" for c, p in parts[h]]
     df = df.selectExpr(*heads, *cut)
     return df.selectExpr(
         *base,
+        *([AGAINST] if AGAINST not in base else []),
         *[
-            f"CASE WHEN _h_rows + _t_rows >= 2 THEN {_merged(r.column, r.stat)} END AS {r.name}"
-            for r in group
+            f"CASE WHEN _h{h}_rows + _t{h}_rows >= 2 THEN {_merged(r.column, r.stat, h)} END AS {r.name}"
+            for h in chain for r in by_hours[h]
         ],
     )
 
 
-def _merged(c: str, stat: str) -> str:
+def _merged(c: str, stat: str, h: int) -> str:
     if stat == "min":
-        return f"least(_h_lo_{c}, _t_lo_{c})"
+        return f"least(_h{h}_lo_{c}, _t{h}_lo_{c})"
     if stat == "max":
-        return f"greatest(_h_hi_{c}, _t_hi_{c})"
-    nh, nt = f"_h_n_{c}", f"coalesce(_t_n_{c}, 0)"
-    mh, mt = f"coalesce(_h_m_{c}, 0D)", f"coalesce(_t_m_{c}, 0D)"
+        return f"greatest(_h{h}_hi_{c}, _t{h}_hi_{c})"
+    nh, nt = f"_h{h}_n_{c}", f"coalesce(_t{h}_n_{c}, 0)"
+    mh, mt = f"coalesce(_h{h}_m_{c}, 0D)", f"coalesce(_t{h}_m_{c}, 0D)"
     if stat == "mean":
         return f"({mh} * {nh} + {mt} * {nt}) / nullif({nh} + {nt}, 0)"
     between = f"({mh} - {mt}) * ({mh} - {mt}) * {nh} * {nt} / nullif({nh} + {nt}, 0)"
-    within = f"coalesce(_h_v_{c}, 0D) * {nh} + coalesce(_t_v_{c}, 0D) * {nt}"
+    within = f"coalesce(_h{h}_v_{c}, 0D) * {nh} + coalesce(_t{h}_v_{c}, 0D) * {nt}"
     return f"CASE WHEN {nh} + {nt} > 1 THEN sqrt(({within} + {between}) / ({nh} + {nt} - 1)) END"
 
 
