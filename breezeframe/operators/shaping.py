@@ -106,37 +106,37 @@ def iqr_filter_seq(
     """Interquartile filter, column after column: each column's quartiles come from the rows
     that survived the columns before it. Null readings fail.
 
-    Runs its jobs when called. A round reads only the keys and unchecked columns of the rows
-    that survived the rounds before, as written by the round before. ``df`` itself is joined
-    once, with one row of all fences per key: the filters are a conjunction.
+    Runs its jobs when called. Keys and checked columns are written once; a round reads them past
+    the fences found so far, one row of fences per key, and adds its own to that row. Groups that
+    turned out small are sorted as arrays. ``df`` itself is joined once, with all fences: the
+    filters are a conjunction.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    slim, fences = materialise(df.select(*keys, *cols), "iqr-columns"), []
+    slim = materialise(df.select(*keys, *cols), "iqr-columns")
+    most = slim.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    fences, names, left = None, [], slim
     for i, c in enumerate(cols):
-        q = exact_quantiles(slim, [c], [0.25, 0.75], keys)
+        q = exact_quantiles(left, [c], [0.25, 0.75], keys, most)
         q = wide_quantiles(q, [0.25, 0.75], ["_q1", "_q3"], keys)
         width = (F.col("_q3") - F.col("_q1")) * k
         fence = q.select(*keys, (F.col("_q1") - width).alias(f"_lo{i}"), (F.col("_q3") + width).alias(f"_hi{i}"))
-        fences.append(materialise(fence, "quartiles"))
-        if i + 1 < len(cols):
-            slim = materialise(_inside(slim, fences[-1], c, i, keys).drop(c), "iqr-columns")
-    names = [f"_{side}{i}" for i in range(len(cols)) for side in ("lo", "hi")]
-    row = fences[0]
-    for fence in fences[1:]:
-        row = row.join(fence, list(keys)) if keys else row.crossJoin(fence)
-    out = beside(df, row, keys, names)
+        if fences is not None:
+            fence = fences.join(fence, list(keys)) if keys else fences.crossJoin(fence)
+        fences = materialise(fence, "quartiles")
+        names += [f"_lo{i}", f"_hi{i}"]
+        left = _inside(slim, fences, cols[: i + 1], names, keys)
+    return _inside(df, fences, cols, names, keys)
+
+
+def _inside(df: DataFrame, fences: DataFrame, cols: Sequence[str], names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    out = beside(df, fences, keys, names)
     for i, c in enumerate(cols):
         out = out.filter(F.col(c).between(F.col(f"_lo{i}"), F.col(f"_hi{i}")))
     return out.drop(*names)
 
 
-def _inside(df: DataFrame, fence: DataFrame, c: str, i: int, keys: Sequence[str]) -> DataFrame:
-    names = [f"_lo{i}", f"_hi{i}"]
-    return beside(df, fence, keys, names).filter(F.col(c).between(*map(F.col, names))).drop(*names)
-
-
 def band_merge(short: DataFrame, mid: DataFrame, cut: int = 12, h: str = "h", prefer: str = "short") -> DataFrame:
     """Steps up to ``cut`` from one forecast, later ones from the other.
 
