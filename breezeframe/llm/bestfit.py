@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breezeframe.llm.common import materialise, short_batches, worker_cache
+from breezeframe.llm.common import materialise, worker_cache
 from breezeframe.llm.tokens import Encoder, Files
 
 PIECES = (
@@ -73,7 +73,7 @@ def cut(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_column: st
                         [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
                     )
 
-    return short_batches(docs.select(F.col(id_column).cast("bigint"), text_column)).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_column).cast("bigint"), text_column).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], length: int) -> tuple[dict[int, list[tuple]], int]:

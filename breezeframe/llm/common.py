@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from breezeframe.session import materialise, scratch_path  # noqa: F401
 
 BLOCK_BYTES, BLOCK_ROWS = 1 << 18, 512
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -35,15 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """Whole texts are long rows: where the session has the default of 10,000 rows per Arrow
-    batch, take 1,000. Changes no result, only what a worker holds at a time."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS) == "10000":
-        conf.set(BATCH_ROWS, "1000")
-    return df
-
-
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -140,8 +130,27 @@ def words(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
 
 
 def word_hashes(buf, offsets, separators, seed: int = 11):
+    """64-bit hashes of all words, A-Z in lower case, with their start and end bytes and each
+    text's first word."""
     starts, ends, first = words(buf, offsets, separators)
-    return Rolling(buf, byte_values(seed, True)).of(starts, ends), starts, ends, first
+    return span_hashes(buf, starts, ends, seed), starts, ends, first
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A sum over the bytes of each span of a scrambled function of byte and place. Unlike a
+    polynomial modulo 2^64, in which complementary Thue-Morse words agree whatever the base, no
+    two words are known to share it."""
+    values, places = byte_values(seed, True), random_words(seed + 1, 1 << 12)
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - sizes, sizes)
+    x = places[place & 0xFFF]
+    if len(sizes) and sizes.max() > len(places):
+        x = x + mix((place >> 12).astype(U64) * BASE)
+    x += values[buf[np.repeat(starts, sizes) + place]]
+    sums = np.zeros(len(place) + 1, U64)
+    np.cumsum(mix(x), out=sums[1:])
+    return mix(sums[total] - sums[total - sizes] + sizes.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def id_list(column) -> list:
@@ -158,14 +167,18 @@ def map_texts(docs: DataFrame, text_column: str, schema: str, fn, keep: list[str
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     types = docs.select(*keep).schema
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in types] + [schema])
+    # a text that stays is sent once and given back
+    stays = text_column in keep
+    at = keep.index(text_column) if stays else 0
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i, j, buf, offsets in blocks(batch.column(0)):
+            for i, j, buf, offsets in blocks(batch.column(at)):
                 part = batch.slice(i, j - i)
                 found = fn(buf, offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], [*keep, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns[0 if stays else 1 :], *found], [*keep, *new])
 
-    return short_batches(docs.select(F.col(text_column).alias("__text"), *keep)).mapInArrow(run, fields)
+    sent = docs.select(*keep) if stays else docs.select(F.col(text_column).alias("__text"), *keep)
+    return sent.mapInArrow(run, fields)

@@ -4,7 +4,7 @@ Words are runs of digits, letters and non-ASCII characters, A-Z in lower case. T
 *overlap* where, laid side by side at a fixed distance, some ``WINDOW`` consecutive words
 agree in all but ``MISSES`` places: substitutions are tolerated, and every window that agrees
 belongs to the overlap. A benchmark item shorter than the window must occur whole, with at
-most one word changed. Items of one to four words are not searched; a warning gives their count.
+most one word changed; one of one to four words must occur as it is.
 
 Search: a mask names the word positions that are hashed together and skips the others. The
 three masks are chosen such that any two substitutions within thirteen words leave at least
@@ -24,15 +24,13 @@ columns of clashing names are replaced by the new ones.
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breezeframe.llm.common import NON_ALNUM, U64, map_texts, mix, random_words, word_hashes
 
-WINDOW, MISSES, SHORTEST, SHORT_MISSES = 13, 2, 5, 1
+WINDOW, MISSES, INEXACT, SHORT_MISSES = 13, 2, 5, 1
 MASKS = ((0, 1, 2, 4, 5, 8, 9), (0, 1, 2, 3, 4, 6, 7), (0, 1, 3, 6, 8, 9, 10))
 SCHEMA = (
     "n_words bigint, contaminated boolean, item_ids array<bigint>, matched_words bigint, "
@@ -43,8 +41,11 @@ FACTORS = random_words(31, 64) | U64(1)
 
 def short_masks(size: int) -> list[tuple[int, tuple[int, ...]]]:
     """Masks of an item of ``size`` words, numbered: one changed word leaves one of them. All
-    words but one where halves would be too common, else the two halves."""
-    if size < 8:
+    words but one where halves would be too common, else the two halves. Items that must occur
+    as they are have one mask."""
+    if size < INEXACT:
+        masks = [tuple(range(size))]
+    elif size < 8:
         masks = [tuple(k for k in range(size) if k != gone) for gone in range(size)]
     else:
         masks = [tuple(range(size // 2)), tuple(range(size // 2, size))]
@@ -71,7 +72,7 @@ class Index:
         for n, (_, h) in enumerate(items):
             if len(h) >= WINDOW:
                 masks = enumerate(MASKS)
-            elif len(h) >= SHORTEST:
+            elif len(h):
                 masks = short_masks(len(h))
             else:
                 continue
@@ -109,7 +110,7 @@ class Index:
         for n, shift in self.alignments(h).tolist():
             key, item = self.items[n]
             size = min(WINDOW, len(item))
-            need = size - (MISSES if size == WINDOW else SHORT_MISSES)
+            need = size - (MISSES if size == WINDOW else SHORT_MISSES if size >= INEXACT else 0)
             lo, hi = max(0, shift), min(len(h), shift + len(item))
             texts = range(int(np.searchsorted(first, lo, "right")) - 1, int(np.searchsorted(first, hi, "left")))
             for t in texts:  # an alignment may reach over several short texts
@@ -149,7 +150,7 @@ def find_overlaps(
     """``docs`` (its ``keep`` columns, or all) with the overlaps of every text added."""
     tests = tests.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("item_text"))
     chars, lowest = tests.agg(F.sum(F.length("item_text")), F.min("item_id")).first()
-    chars, lowest, unsearched = chars or 0, min(lowest or 0, 0), 0
+    chars, lowest = chars or 0, min(lowest or 0, 0)
     n = 1 + int(chars // (2 * block_words))  # a word and its separator are two characters at least
     new = [c.split()[0] for c in SCHEMA.split(", ", 4)]
     keep = [c for c in (keep or docs.columns) if c not in new]
@@ -158,10 +159,7 @@ def find_overlaps(
         block = tests.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n)) == k) if n > 1 else tests
         items = _items(block, "item_id", "item_text", lowest)
         lowest = min([lowest, *[key for key, _ in items]])
-        unsearched += sum(0 < len(h) < SHORTEST for _, h in items)
         out = _search(out, Index(items), text_column, k)
-    if unsearched:
-        warnings.warn(f"{unsearched} benchmark items of fewer than {SHORTEST} words are not searched", stacklevel=2)
     if n > 1:
         names = [f"__found_{k}" for k in range(n)]
         out = out.withColumn("__found_0", F.array_sort(F.flatten(F.array(*names))))

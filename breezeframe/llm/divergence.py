@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breezeframe.llm.common import materialise, short_batches
+from breezeframe.llm.common import materialise
 
 SIDE, LEVELS = 128, 7
 #: (group, term) entries a task adds up before it hands them on, and bytes of a text per step
@@ -90,7 +90,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
         yield from tables(held)
 
     named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return short_batches(named).mapInArrow(run, COUNTS)
+    return named.mapInArrow(run, COUNTS)
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:

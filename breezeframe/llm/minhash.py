@@ -19,7 +19,9 @@ Links are confirmed on full sets, recomputed from whole texts:
 4. What is left in such buckets is settled exactly by prefix filtering: with all shingles in
    the order of their frequency, two sets of similarity t share one of their
    ``n - ceil(t * n) + 1`` rarest, and what follows their first common one must be long
-   enough in both (positional filter). Candidates are pairs of different components that meet
+   enough in both (positional filter). Each set also carries the parity of its shingles in
+   ``PARITY`` cells: an odd cell of two sets' sum holds a shingle that only one of them has, so
+   more odd cells than the similarity allows rule a pair out. Candidates are pairs of different components that meet
    both and were not compared before: first one per document and foreign component, which
    joins most components that belong together, then all that are left. There is no cap, and
    pairs inside one component are never made.
@@ -46,6 +48,8 @@ from breezeframe.llm.graph import components
 
 COLLECTIONS, PER_COLLECTION = 12, 2
 CHUNK = 64
+#: cells of the parity sketch, in words of 64
+PARITY = 1024
 #: confirming rounds before the exact one
 ROUNDS = 3
 FACTORS = random_words(71, 64) | U64(1)
@@ -104,6 +108,15 @@ def _signed(docs: DataFrame, size: int, id_column: str, text_column: str) -> Dat
     return map_texts(ids, "text", "n bigint, s1 bigint, s2 bigint, keys array<bigint>", run, ["doc_id"])
 
 
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Per set a bit for every cell that holds an odd number of its shingles."""
+    out = []
+    for s in sets:
+        odd = np.bincount((s >> U64(54)).astype(np.int64), minlength=PARITY) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return out
+
+
 def _squeezed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Texts compressed, so that a shuffle of them moves a third of the bytes."""
 
@@ -179,7 +192,8 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) ->
     def run(buf, offsets):
         import pyarrow as pa
 
-        return [pa.array([s.view(np.int64) for s in shingle_sets(buf, offsets, size)], pa.list_(pa.int64()))]
+        sets = shingle_sets(buf, offsets, size)
+        return [pa.array([s.view(np.int64) for s in x], pa.list_(pa.int64())) for x in (sets, parities(sets))]
 
     def unzipped(batches):
         import pyarrow as pa
@@ -193,19 +207,24 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), text], ["doc", "text"])
 
     found = texts.join(docs.select("doc"), F.col("id") == F.col("doc")).select("doc", "zipped")
-    sets = map_texts(found.mapInArrow(unzipped, "doc bigint, text binary"), "text", "s array<bigint>", run, ["doc"])
-    each = materialise(sets.select("doc", F.explode("s").alias("s")), "minhash-residue")
+    sets = map_texts(found.mapInArrow(unzipped, "doc bigint, text binary"), "text", "s array<bigint>, odd array<bigint>", run, ["doc"])
+    sets = materialise(sets, "minhash-residue")
+    docs = docs.join(sets.select("doc", "odd").dropDuplicates(["doc"]), "doc")
+    each = sets.select("doc", F.explode("s").alias("s"))
     often = each.groupBy("s").count()
     rank = Window.partitionBy("doc").orderBy("count", "s")
     rare = each.join(often, "s").join(docs, "doc").withColumn("place", F.row_number().over(rank))
     rare = rare.where(f"place <= n - ceil(n * {percent} / 100) + 1 AND count > 1")
-    rare = materialise(rare.select("s", "doc", "n", "component", "outside", "place"), "minhash-rare")
+    rare = materialise(rare.select("s", "doc", "n", "component", "outside", "place", "odd"), "minhash-rare")
     hubs = rare.where("outside").select(
-        "s", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("c"), F.col("place").alias("hub_place")
+        "s", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("c"), F.col("place").alias("hub_place"),
+        F.col("odd").alias("hub_odd"),
     )
     # an overlap of o in sets of n and m is similar enough from (100 + p) * o >= p * (n + m)
     reach = f"{100 + percent} * (least(n - place, hub_n - hub_place) + 1) >= {percent} * (n + hub_n)"
-    return rare.join(hubs, "s").where("component != c").where(reach).select("hub", "hub_n", "doc", "n", "component")
+    apart = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("hub_odd")[i])) for i in range(PARITY // 64)), F.lit(0))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("hub_n"))
+    return rare.join(hubs, "s").where("component != c").where(reach).where(near).select("hub", "hub_n", "doc", "n", "component")
 
 
 def near_duplicates(

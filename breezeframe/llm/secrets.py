@@ -3,12 +3,18 @@
 Base kinds are regular expressions whose matches are located by marking them inside the text
 and measuring the pieces between the marks, so every position comes from native string
 functions. The entropy kind looks at *candidates*: runs of ``CANDIDATE`` characters that mix
-letters and digits, or upper and lower case. A window of ``width`` characters slides over a candidate; its Shannon
-entropy is kept up to date by the two counts that change per step (the character that enters
-and the one that leaves)::
+letters and digits, or upper and lower case. A window of ``width`` characters slides over a
+candidate; the counts of its characters are kept, five bits each, and its Shannon entropy is
+kept up to date by the two counts that change per step (the character that enters and the one
+that leaves)::
 
     H = log2(width) - S / width,   S = sum over characters of n * log2(n)
 
+S is held in whole 2^-40ths, so it does not drift however long the run. Patterns have no group
+that Java's matcher would enter recursively: where groups repeat they do so possessively, which
+reads the same strings. A text's pieces are walked in blocks, so that no array grows by one
+element at a time for long.
+
 Each character class has its own width and threshold. What lies under windows at or above the
 threshold is a span, unless the candidate is on the allow list or a base span covers it.
 
@@ -43,16 +49,24 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CLASSES = ((r"^[0-9A-Fa-f]+$", 16, 2.9), (r"^[A-Z0-9]+$", 16, 3.2), (r"^[a-z0-9]+$", 20, 3.6), (r"^[^0-9]+$", 20, 3.5),
            (r"", 20, 3.75))
 #: a part that looks like words: one lower or upper run, or capitalised words of three letters up
-_WORDS = r"[a-z]*(?:[A-Z]+[a-z]{2,})*[A-Z]*"
+_WORDS = r"[a-z]*+(?:[A-Z]++[a-z]{2,}+)*+[A-Z]*+"
 #: UUIDs, repeated characters, plain words joined by separators
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.)\1+$",
-    rf"^{_WORDS}([-_/=+]{_WORDS})*[0-9]{{0,4}}$",
+    rf"^{_WORDS}(?:[-_/=+]{_WORDS})*+[0-9]{{0,4}}+$",
 )
 #: documented sample keys say so in the span itself; names before and after the key do not count
-AROUND, SAMPLE = r"^(?:[A-Z]?[a-z_-]*[/=])+|(?:[/=][A-Z]?[a-z_-]*)+$", r"(?i)example"
+#: (the second pattern reads the text backwards: from its end no place is tried twice)
+BEFORE, AFTER, SAMPLE = r"^(?:[A-Z]?[a-z_-]*+[/=])++", r"^(?:[a-z_-]*+[A-Z]?[/=])++", r"(?i)example"
 MARK, STAND_IN = "\x00", "\x01"
+#: pieces of a text that are walked together; even
+BLOCK = 256
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often lambdas in it come back to it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _matches(text: Column, pattern: str, lowest: int, group: int = 0) -> Column:
@@ -60,68 +74,119 @@ def _matches(text: Column, pattern: str, lowest: int, group: int = 0) -> Column:
     ``group`` is shorter than ``lowest`` are dropped afterwards."""
     held = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
     marked = F.regexp_replace(held, F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}"))
-    pieces = F.split(marked, MARK)
-    # the pieces alternate: between, match, between, ..., match, between
-    walked = F.aggregate(
-        pieces,
-        F.struct(
-            F.lit(0).alias("at"), F.lit(False).alias("hit"),
-            F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"),
-        ),
-        lambda s, piece: F.struct(
-            (s["at"] + F.length(piece)).alias("at"),
-            (~s["hit"]).alias("hit"),
-            F.when(
-                s["hit"],
-                F.concat(s["found"], F.array(F.struct(
-                    s["at"].alias("start"), (s["at"] + F.length(piece)).alias("end"), piece.alias("text")
-                ))),
-            ).otherwise(s["found"]).alias("found"),
-        ),
-        lambda s: s["found"],
-    )
+    # the pieces alternate: between, match, between, ..., match, between; so do those of a block
+    def blocks(pieces):
+        count = F.ceil(F.size(pieces) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def length(block):
+        return F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p))
+
+    def begins(parts):
+        return F.aggregate(
+            parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda s, part: F.struct((s["at"] + length(part)).alias("at"), F.array_append(s["all"], s["at"]).alias("all")),
+            lambda s: s["all"],
+        )
+
+    def walked(block, begin):
+        return F.aggregate(
+            block,
+            F.struct(
+                begin.alias("at"), F.lit(False).alias("hit"),
+                F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"),
+            ),
+            lambda s, piece: F.struct(
+                (s["at"] + F.length(piece)).alias("at"),
+                (~s["hit"]).alias("hit"),
+                F.when(
+                    s["hit"],
+                    F.array_append(s["found"], F.struct(
+                        s["at"].alias("start"), (s["at"] + F.length(piece)).alias("end"), piece.alias("text")
+                    )),
+                ).otherwise(s["found"]).alias("found"),
+            ),
+            lambda s: s["found"],
+        )
+
+    parts = _once(F.split(marked, MARK), blocks)
+    found = _once(parts, lambda p: F.flatten(F.zip_with(p, begins(p), walked)))
     tested = (lambda m: F.length(F.regexp_extract(m["text"], pattern, group)) >= lowest) if group else (
         lambda m: F.length(m["text"]) >= lowest
     )
-    return F.filter(walked, tested)
-
-
-def _n_log_n(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    return F.filter(found, tested)
 
 
-def _count(window: Column, char: Column) -> Column:
-    return (F.length(window) - F.length(F.replace(window, char, F.lit("")))).cast("double")
+#: n * log2(n) for the counts of a window, in whole parts
+PARTS = 1 << 40
+N_LOG_N = [round(n * math.log2(n) * PARTS) if n else 0 for n in range(33)]
+#: characters whose counts share one 64-bit word, five bits each
+PER_WORD = 12
+WORDS = -(-128 // PER_WORD)
 
 
-def _hot_part(m: Column, width: int, least: float) -> Column:
+def _hot_part(m: Column) -> Column:
     """struct(start, end) under the windows of enough entropy; start is null if there is none."""
-    c = m["text"]
-    limit = (math.log2(width) - least) * width + 1e-9  # of S
-
-    def step(s, i):
-        enters = F.substring(c, i, F.lit(1))
-        rest = F.substring(c, F.greatest(i - (width - 1), F.lit(1)), F.least(i - 1, F.lit(width - 1)))
-        full = i > width
-        leaves = F.substring(c, i - width, F.lit(1))
-        gone = F.when(full, _count(F.concat(leaves, rest), leaves)).otherwise(F.lit(0.0))
-        less = F.when(full, _n_log_n(gone) - _n_log_n(gone - 1)).otherwise(F.lit(0.0))
-        now = _count(rest, enters)
-        total = s["s"] - less + _n_log_n(now + 1) - _n_log_n(now)
-        hot = (i >= width) & (total <= limit)
-        return F.struct(
-            total.alias("s"),
-            F.when(hot & s["first"].isNull(), i - width).otherwise(s["first"]).alias("first"),
-            F.when(hot, i).otherwise(s["last"]).alias("last"),
+    text = m["text"]
+
+    def by_class(values):
+        out = F.lit(values[-1])
+        for (pattern, *_), v in reversed(list(zip(CLASSES[:-1], values[:-1], strict=True))):
+            out = F.when(text.rlike(pattern), F.lit(v)).otherwise(out)
+        return out
+
+    limits = [round((math.log2(w) - least) * w * PARTS) for _, w, least in CLASSES]
+    table = F.array(*[F.lit(x) for x in N_LOG_N])
+    # places of the counts, and what the class asks for, once per run
+    given = F.struct(
+        F.transform(F.split(text, ""), lambda c: F.ascii(c)).alias("codes"),
+        by_class([w for _, w, _ in CLASSES]).alias("width"), by_class(limits).alias("limit"),
+    )
+
+    def walked(g):
+        codes, width = g["codes"], g["width"]
+
+        def count(words, code):
+            word = F.get(words, F.floor(code / PER_WORD).cast("int"))
+            return F.call_function("shiftright", word, (code % PER_WORD) * 5).bitwiseAND(31).cast("int")
+
+        def moved(words, code, by):
+            at, one = F.floor(code / PER_WORD).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (code % PER_WORD) * 5)
+            return F.transform(words, lambda w, k: F.when(k == at, w + one * by).otherwise(w))
+
+        def step(s, i):
+            leaves, full = F.get(codes, i - width), i >= width
+            gone = count(s["words"], leaves)
+            less = F.when(full, F.get(table, gone) - F.get(table, gone - 1)).otherwise(F.lit(0).cast("bigint"))
+            rest = F.when(full, moved(s["words"], leaves, -1)).otherwise(s["words"])
+            return F.struct(
+                (s["s"] - less).alias("s"), rest.alias("words"), s["first"].alias("first"), s["last"].alias("last")
+            )
+
+        def entered(s, i):
+            enters = F.get(codes, i)
+            now = count(s["words"], enters)
+            total = s["s"] + F.get(table, now + 1) - F.get(table, now)
+            hot = (i + 1 >= width) & (total <= g["limit"])
+            return F.struct(
+                total.alias("s"), moved(s["words"], enters, 1).alias("words"),
+                F.when(hot & s["first"].isNull(), i + 1 - width).otherwise(s["first"]).alias("first"),
+                F.when(hot, i + 1).otherwise(s["last"]).alias("last"),
+            )
+
+        none = F.lit(None).cast("int")
+        empty = F.struct(
+            F.lit(0).cast("bigint").alias("s"), F.array_repeat(F.lit(0).cast("bigint"), WORDS).alias("words"),
+            none.alias("first"), none.alias("last"),
+        )
+        # a step is two: one character leaves, one enters; the fold over one element names the first's result
+        both = lambda s, i: F.aggregate(F.array(step(s, i)), s, lambda _, left: entered(left, i))
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(codes) - 1), empty, both,
+            lambda s: F.struct((m["start"] + s["first"]).alias("start"), (m["start"] + s["last"]).alias("end")),
         )
 
-    empty = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(c)),
-        empty,
-        step,
-        lambda s: F.struct((m["start"] + s["first"]).alias("start"), (m["start"] + s["last"]).alias("end")),
-    )
+    return _once(given, walked)
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -132,15 +197,12 @@ def _entropy_spans(text: Column) -> Column:
     found = F.filter(_matches(text, CANDIDATE, 20), mixed)
 
     def scan(m):
-        out = None
-        for pattern, width, least in reversed(CLASSES):
-            part = _hot_part(m, width, least)
-            out = part if out is None else F.when(m["text"].rlike(pattern), part).otherwise(out)
-        return F.struct(out.alias("span"), m["start"].alias("from"), m["text"].alias("text"))
+        return F.struct(_hot_part(m).alias("span"), m["start"].alias("from"), m["text"].alias("text"))
 
     def kept(m):
         span = F.substring(m["text"], m["span"]["start"] - m["from"] + 1, m["span"]["end"] - m["span"]["start"])
-        return m["span"]["start"].isNotNull() & ~F.regexp_replace(span, AROUND, "").rlike(SAMPLE)
+        rest = F.regexp_replace(F.reverse(F.regexp_replace(span, BEFORE, "")), AFTER, "")
+        return m["span"]["start"].isNotNull() & ~F.reverse(rest).rlike(SAMPLE)
 
     return F.transform(F.filter(F.transform(found, scan), kept), lambda m: m["span"])
 

@@ -3,6 +3,10 @@
 Lexicon: words whose document frequency differs between toxic and clean training rows, and
 *stems*, word beginnings that many such words share. Terms form a trie.
 
+Words are runs of letters and digits; typographic quotes, dashes and other marks beyond ASCII
+separate them as ASCII marks do. Scripts that put no space between words give long words, in
+which only stems are found.
+
 Matching: for every distinct word of a block the Levenshtein automaton of distance one is
 intersected with the trie. The automaton's state is the band of edit distances next to the
 diagonal; the walk goes down the trie once and carries, at each node, the states of all words
@@ -30,9 +34,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breezeframe.llm.common import NON_ALNUM, blocks, map_texts, materialise, words
+from breezeframe.llm.common import NON_ALNUM, blocks, map_texts, materialise, span_hashes, words
 
-LONGEST, FUZZY_FROM, CONTEXT = 24, 5, 6
+FUZZY_FROM, CONTEXT = 5, 6
 SCHEMA = "score double, predicted int, n_hits bigint, n_quoted bigint, terms array<string>"
 QUOTES = ("\"", "“", "”", "„", "«", "»")
 EXACT, STEM, FUZZY = 1, 2, 3
@@ -50,8 +54,17 @@ class Trie:
                     node = node.setdefault(letter, {})
                 node[slot] = weight
 
+    @property
+    def depth(self) -> int:
+        """Letters of the longest term or stem."""
+        deepest, level = 0, [self.root]
+        while level := [c for node in level for k, c in node.items() if isinstance(k, int)]:
+            deepest += 1
+        return deepest
+
     def match(self, found: np.ndarray, length: np.ndarray):
-        """Best weight and kind of match per word; ``found`` holds code points, padded by 0."""
+        """Best weight and kind of match per word; ``found`` holds code points, padded by 0, and may
+        be cut after two letters more than the longest term has; ``length`` is the whole one."""
         weight, kind = np.zeros(len(found)), np.zeros(len(found), np.int8)
         if len(found):
             padded = np.concatenate([found, np.zeros((len(found), 3), found.dtype)], 1)
@@ -105,36 +118,51 @@ class Model:
 N_FEATURES = 7
 
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    cut = [t[: LONGEST + 2] for t in texts]
-    length = np.array([len(t) for t in cut], np.int64)
-    return np.array(cut, f"<U{LONGEST + 2}").view(np.uint32).reshape(len(cut), LONGEST + 2), length
+def _matrix(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, as many as can matter, and whole lengths."""
+    width = depth + 2
+    length = np.array([len(t) for t in texts], np.int64)
+    return np.array([t[:width] for t in texts], f"<U{width}").view(np.uint32).reshape(len(texts), width), length
+
+
+def apart(buf: np.ndarray) -> np.ndarray:
+    """``buf`` with the bytes of marks beyond ASCII as spaces: Latin-1 signs, general
+    punctuation, CJK and full-width marks."""
+    lead = np.flatnonzero((buf == 0xC2) | (buf == 0xE2) | (buf == 0xE3) | (buf == 0xEF))
+    if not len(lead):
+        return buf
+    one, two = (buf[np.minimum(lead + k, len(buf) - 1)] for k in (1, 2))
+    latin = (buf[lead] == 0xC2) & (one != 0xAA) & (one != 0xB5) & (one != 0xBA)
+    general = (buf[lead] == 0xE2) & ((one == 0x80) | (one == 0x81) & (two < 0xB0))
+    cjk = (buf[lead] == 0xE3) & (one == 0x80) & (two < 0x85)
+    wide = (buf[lead] == 0xEF) & (one == 0xBC) & ((two < 0x90) | (two > 0x99) & (two < 0xA1))
+    out = buf.copy()
+    out[lead[latin]] = out[lead[latin] + 1] = 0x20
+    three = lead[general | cjk | wide]
+    out[three] = out[three + 1] = out[three + 2] = 0x20
+    return out
 
 
 def hits(trie: Trie, buf: np.ndarray, offsets: np.ndarray):
     """Per text the list of (weight, kind, quoted, others nearby, word)."""
-    from breezeframe.llm.common import Rolling, byte_values
-
-    starts, ends, first = words(buf, offsets, NON_ALNUM)
+    starts, ends, first = words(apart(buf), offsets, NON_ALNUM)
     out: list[list] = [[] for _ in range(len(offsets) - 1)]
-    long = np.flatnonzero((ends - starts >= 3) & (ends - starts <= 4 * LONGEST))
-    if not len(long):
+    if not len(starts):
         return out, np.diff(first)
-    h = Rolling(buf, byte_values(51, True)).of(starts[long], ends[long])
+    h = span_hashes(buf, starts, ends, 51)
     _, sample, which = np.unique(h, return_index=True, return_inverse=True)
     data = buf.tobytes()
-    spelled = [data[starts[long[i]] : ends[long[i]]].decode("utf-8", "replace").lower() for i in sample]
-    matrix, length = _matrix(spelled)
+    spelled = [data[starts[i] : ends[i]].decode("utf-8", "replace").lower() for i in sample]
+    matrix, length = _matrix(spelled, trie.depth)
     weight, kind = trie.match(matrix, length)
     hit = np.flatnonzero(kind[which])
-    at = long[hit]
-    text = np.searchsorted(first, at, "right") - 1
-    for n, (w, t) in enumerate(zip(at.tolist(), text.tolist(), strict=True)):
+    text = np.searchsorted(first, hit, "right") - 1
+    for n, (w, t) in enumerate(zip(hit.tolist(), text.tolist(), strict=True)):
         lo, hi = max(int(first[t]), w - CONTEXT), min(int(first[t + 1]) - 1, w + CONTEXT)
         a = data[starts[lo] if lo > first[t] else offsets[t] : starts[w]].decode("utf-8", "replace")
-        b = data[ends[w] : ends[hi] if hi < first[t + 1] - 1 else offsets[t + 1]][:400].decode("utf-8", "replace")
+        b = data[ends[w] : ends[hi] if hi < first[t + 1] - 1 else offsets[t + 1]].decode("utf-8", "replace")
         before, after = sum(map(a.count, QUOTES)), sum(map(b.count, QUOTES))
-        near = int(np.searchsorted(at, w + CONTEXT, "right") - np.searchsorted(at, w - CONTEXT)) - 1
+        near = int(np.searchsorted(hit, w + CONTEXT, "right") - np.searchsorted(hit, w - CONTEXT)) - 1
         u = which[hit[n]]
         out[t].append((float(weight[u]), int(kind[u]), before % 2 == 1 and after > 0, near, spelled[u]))
     return out, np.diff(first)
@@ -160,14 +188,13 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = batch.column(1).to_pylist()
             for i, _, buf, offsets in blocks(batch.column(0)):
-                starts, ends, first = words(buf, offsets, NON_ALNUM)
+                starts, ends, first = words(apart(buf), offsets, NON_ALNUM)
                 data = buf.tobytes()
                 found, marks = [], []
                 for t in range(len(offsets) - 1):
                     s = {
                         data[a:b].decode("utf-8", "replace").lower()
                         for a, b in zip(starts[first[t] : first[t + 1]], ends[first[t] : first[t + 1]], strict=True)
-                        if 3 <= b - a <= 4 * LONGEST
                     }
                     found += s
                     marks += [toxic[i + t]] * len(s)

@@ -4,12 +4,13 @@ Writing goes through Spark's own text writer with gzip, so an archive is one mon
 stream and may lie in any store Spark can write to: every row is a record (header and
 payload), and the line separator is the record separator ``CR LF CR LF``.
 
-The normaliser takes each archive once, inflates its stream in pieces, cuts it into records
+The normaliser opens each archive where it lies, inflates its stream once, piece by piece, cuts it into records
 by their ``Content-Length``, writes every record as a gzip member of its own and, beside the
 new archive, a sidecar index: a tab-separated line of page, offset and length of the member,
 type, digest and payload size. Members are written to a temporary name and moved into place,
-so a task that runs again leaves one whole file. Files of the normalised kind are written
-with pyarrow's file systems, by the path's own scheme.
+so a task that runs again leaves one whole file. Archives are read and written with pyarrow's
+file systems, by the path's own scheme; a worker holds a piece and a record, never an archive.
+Reading back goes by slices of ``SLICE`` index lines, dealt to as many tasks.
 
 Of records with equal payloads (of ``min_bytes`` or more) the one with the smallest id is a
 *response*, the others are *revisits* without payload that refer to it.
@@ -32,6 +33,8 @@ from breezeframe.llm.common import materialise, scratch_path
 
 SEPARATOR = "\r\n\r\n"
 PIECE = 1 << 20
+#: records read back by one row, and the most tasks that archives or slices are dealt to
+SLICE, MOST_TASKS = 2000, 20_000
 FIELDS = (
     "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
     "url string, payload binary, archive string, offset bigint"
@@ -158,20 +161,19 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite every archive below ``source``; one row per archive: path, index, records."""
 
     def run(batches):
-        import io
         import os
 
         import pyarrow as pa
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path in batch.column(0).to_pylist():
                 store, folder = _store(target)
                 name = path.rsplit("/", 1)[-1].split(".")[0]
                 draft = f"{folder}/.{name}-{os.urandom(4).hex()}"
                 store.create_dir(folder)
                 at, lines = 0, []
-                stream = io.BytesIO(content.as_buffer())
-                with store.open_output_stream(draft) as out:
+                origin, file = _store(path)
+                with origin.open_input_stream(file, compression=None) as stream, store.open_output_stream(draft) as out:
                     for fields, whole in records(inflate(stream)):
                         engine = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = engine.compress(whole) + engine.flush()
@@ -190,8 +192,15 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                     ["archive", "index", "records"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
-    return files.mapInArrow(run, "archive string, index string, records bigint")
+    # names only: the content is never a cell
+    files = materialise(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path"), "warc-files")
+    return _dealt(files, "path").mapInArrow(run, "archive string, index string, records bigint")
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """A row a task, as far as ``MOST_TASKS`` goes. Small rows that stand for much work would
+    be put into one task otherwise; a counted repartition is left alone."""
+    return rows.repartition(min(max(rows.count(), 1), MOST_TASKS), *by)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -212,10 +221,10 @@ def read_records(archives: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, index, begin in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 store, file = _store(path)
-                with store.open_input_stream(_store(index)[1]) as f:
-                    entries = f.read().decode().splitlines()
+                with store.open_input_stream(_store(index)[1], compression=None) as f:
+                    entries = f.read().decode().splitlines()[begin : begin + SLICE]
                 rows, size = [], 0
                 with store.open_input_file(file) as f:
                     for entry in entries:
@@ -239,7 +248,9 @@ def read_records(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return archives.select("archive", "index").repartition("archive").mapInArrow(run, FIELDS)
+    begins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("records") - 1, F.lit(SLICE).cast("bigint")))
+    slices = archives.where("records > 0").select("archive", "index", begins.alias("begin"))
+    return _dealt(slices, "archive", "begin").mapInArrow(run, FIELDS)
 
 
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, **columns) -> DataFrame:

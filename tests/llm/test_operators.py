@@ -101,6 +101,34 @@ def test_near_duplicates(docs, texts, monkeypatch, size, rounds):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(s[i]), want[i], want[i] == i)
 
 
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    """Thue-Morse words and their complements agree in every polynomial modulo 2^64."""
+    from breezeframe.llm.minhash import near_duplicates
+
+    rows = []
+    for n in (10, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+        rows += [(10 * n + k, "".join("ab"[b ^ k] for b in bits)) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert all(r["component_id"] == r["doc_id"] for r in near_duplicates(df, 4, 80).collect())
+
+
+def test_parities_never_rule_out_a_link():
+    from breezeframe.llm.minhash import parities
+
+    rnd = np.random.default_rng(4)
+    for size in (1, 20, 300, 5000):
+        a = rnd.integers(0, 2**64, size, dtype=np.uint64)
+        for cut in range(0, size, max(1, size // 20)):
+            b = np.concatenate([a[cut:], rnd.integers(0, 2**64, cut // 2, dtype=np.uint64)])
+            x, y = (p.view(np.uint64) for p in parities([a, b]))
+            odd = sum(int(v).bit_count() for v in x ^ y)
+            both, union = size - cut, size + cut // 2
+            assert odd <= union - both
+            if 100 * both >= 80 * union:
+                assert 180 * odd <= 20 * (len(a) + len(b))
+
+
 def test_rare_pairs_cover_every_link(docs, texts):
     from breezeframe.llm import minhash
 
@@ -234,6 +262,23 @@ def test_secrets(spark, docs):
     assert scan(docs).count() == docs.count()
 
 
+def test_long_runs_and_many_hits(spark):
+    """Runs that made Java's matcher recurse, and texts with more hits than a block has pieces."""
+    import random
+
+    from breezeframe.llm.secrets import scan
+
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = ["Abc-" * 60_000, "".join(rnd.choices(letters, k=100_000)), "x password: abcdefghijkl9 é" * 3000, "/a" * 50_000 + "9B", "a" * 70_000 + "B1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: [tuple(s) for s in r["secret_spans"]] for r in scan(df).collect()}
+    assert got[0] == [] and got[3] == [] and got[4] == []
+    assert len(got[1]) == 1 and got[1][0][2] - got[1][0][0] > 99_000
+    at = len("x password: abcdefghijkl9 é")
+    assert got[2] == [(n * at + 2, 0, n * at + 25) for n in range(3000)]
+
+
 def test_keys_of_letters_and_beside_examples(spark):
     from breezeframe.llm.secrets import scan
 
@@ -382,8 +427,11 @@ def test_automaton_finds_all_words_within_one_edit():
 
     terms = {"stupid": 2.0, "scum": 1.0, "idiot": 3.0, "idiots": 1.5}
     words = ["stupid", "stuppid", "stupd", "xtupid", "stupidx", "sutpid", "scum", "scun", "idiot", "idiots", "idiotss",
-             "", "s", "lowei", "loweihr", "lowe", "z" * 24, "stupi", "tupid", "idio"]
-    weight, kind = Trie(terms, {"lowei": 4.0}).match(*_matrix(words))
+             "", "s", "lowei", "loweihr", "lowe", "z" * 24, "stupi", "tupid", "idio", "lowei" * 20, "q" * 40, "q" * 39 + "x", "q" * 60]
+    terms["q" * 40] = 1.0
+    trie = Trie(terms, {"lowei": 4.0})
+    assert trie.depth == 40
+    weight, kind = trie.match(*_matrix(words, trie.depth))
     for w, value, how in zip(words, weight, kind, strict=True):
         exact = w in terms
         near = [t for t in terms if len(t) >= 5 and distance(w, t) == 1]
@@ -403,12 +451,13 @@ def test_toxicity_on_held_out_rows(spark):
     r = found.selectExpr(
         "avg(if(toxic = 1, predicted, null)) AS recall", "avg(if(predicted = 1, toxic, null)) AS precision"
     ).first()
-    assert r["recall"] > 0.85 and r["precision"] > 0.9
-    rows = [(1, 'he said "idiot" once'), (2, "you idiot idiot"), (3, None), (4, "")]
+    assert r["recall"] >= 0.9 and r["precision"] > 0.9
+    rows = [(1, 'he said "idiot" once'), (2, "you idiot idiot"), (3, None), (4, ""), (5, "he said “idiot” once"), (6, "a—idiot—b")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r for r in score(df, model).collect()}
     assert got[1]["n_quoted"] == 1 and got[2]["n_quoted"] == 0 and got[1]["score"] < got[2]["score"]
     assert got[3]["score"] == got[4]["score"] < 0.3
+    assert got[5]["n_quoted"] == 1 and got[6]["n_hits"] == 1
     assert {r["score"] for r in score(df, Model({}, {})).collect()} == {0.0}
 
 
@@ -527,7 +576,7 @@ def test_overlaps(spark, docs, texts, empty, block_words):
         for k, item in enumerate(items):
             v = words(item)
             size = min(13, len(v))
-            if size < 5:
+            if not v:
                 continue
             cover = set()
             for a in range(len(w) - size + 1):
@@ -544,9 +593,9 @@ def test_overlaps(spark, docs, texts, empty, block_words):
 
 
 def test_short_masks_leave_no_change_out():
-    from breezeframe.llm.decontaminate import SHORTEST, WINDOW, short_masks
+    from breezeframe.llm.decontaminate import INEXACT, WINDOW, short_masks
 
-    for size in range(SHORTEST, WINDOW):
+    for size in range(INEXACT, WINDOW):
         assert all(any(bad not in mask for _, mask in short_masks(size)) for bad in range(size))
 
 
@@ -561,14 +610,12 @@ def test_short_items_with_a_change_and_items_without_id(spark, block_words):
     for n, w in enumerate(items):
         for bad in ([k] for k in range(len(w))):
             texts.append("so short " + " ".join("other" if k in bad else x for k, x in enumerate(w)) + " end")
-            want.append([n])
+            want.append([n, 50])
         texts.append("so short " + " ".join(["other", "other", *w[2:]]))
-        want.append([])
+        want.append([50])
     texts += ["p q r s t u", "v w x y z other"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
-    with pytest.warns(UserWarning, match="1 benchmark items"):
-        found = find_overlaps(docs, tests, block_words=block_words)
-    got = {r["doc_id"]: r["item_ids"] for r in found.collect()}
+    got = {r["doc_id"]: r["item_ids"] for r in find_overlaps(docs, tests, block_words=block_words).collect()}
     assert [got[i] for i in range(len(want))] == want
     nameless = got[len(want)] + got[len(want) + 1]
     assert len(set(nameless)) == 2 and max(nameless) < 0
