@@ -239,6 +239,32 @@ def m11(spark, sf):
     return M.predict_trees(models, sup, _FEATURES, ["station", "time"])
 
 
+_ALL_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in _FEATURES)
+_FUTURE = """f AS (SELECT station, time, ({known}) AS whole, unnest([1, 1, 24, 24]) AS h, unnest(['pm2_5', 'pm10', 'pm2_5', 'pm10']) AS target,
+unnest([lead(pm2_5, 1) OVER w, lead(pm10, 1) OVER w, lead(pm2_5, 24) OVER w, lead(pm10, 24) OVER w]) AS y
+FROM panel WINDOW w AS (PARTITION BY station ORDER BY time, seq))""".format(known=_ALL_KNOWN)
+
+
+@query(
+    "m11b_predicted_rows",
+    f"""WITH {PANEL}, {_FUTURE} SELECT station, CAST(h AS INTEGER) AS h, target, count(*) AS rows, count(y) AS known, count(*) FILTER (whole) AS predicted,
+count(*) FILTER (NOT whole) AS left_out, true AS inside_training_range FROM f GROUP BY station, h, target""",
+)
+def m11b(spark, sf):
+    """Every input row gets a prediction or a counted null, and trees stay within what they saw."""
+    sup, models = _fitted(spark, sf)
+    seen = M.predict_trees(models, sup, _FEATURES, ["station", "time"])
+    ends = [F.min("y_true").alias("lo"), F.max("y_true").alias("hi")]
+    trained = seen.where("y_pred IS NOT NULL AND y_true IS NOT NULL").groupBy("h", "target").agg(*ends)
+    inside = F.coalesce(F.bool_and(F.col("y_pred").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)), F.lit(True))
+    found = seen.join(trained, ["h", "target"]).groupBy("station", "h", "target").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("y_true").alias("known"), F.count("y_pred").alias("predicted"),
+        inside.alias("inside_training_range"),
+    )
+    lacking = M.left_out(sup, _FEATURES).select("station", F.col("incomplete").alias("left_out"))
+    return found.join(lacking, "station")
+
+
 @query("m12_rollout")
 def m12(spark, sf):
     p = panel_hourly(spark, sf)
@@ -254,12 +280,48 @@ def m12(spark, sf):
     return M.rollout({t: m for (t, _), m in fitted.items()}, whole, feats, steps, ["station", "time"], ["temperature"], checkpoint_every=2)
 
 
+@query(
+    "m12b_first_step",
+    f"""WITH {PANEL}, k AS (SELECT station, {_ALL_KNOWN} AS whole FROM panel)
+SELECT station, t.target, count(*) AS rows, 0::BIGINT AS different FROM k, (VALUES ('pm2_5'), ('pm10')) t(target) WHERE whole GROUP BY station, t.target""",
+)
+def m12b(spark, sf):
+    """The first step of a rollout is the one-step model's prediction."""
+    p = panel_hourly(spark, sf)
+    known = p.where(M.complete(_FEATURES)).select("station", "time", "seq", *_FEATURES)
+    lags = {f"{t}_lag_{k}h": (t, k - 1) for t in ("pm2_5", "pm10") for k in (1, 2, 3)}
+    frame = W.shift(known, {**lags, "temperature_target_1h": ("temperature", -1), **{f"{t}_target_1h": (t, -1) for t in ("pm2_5", "pm10")}})
+    feats = [*lags, "temperature_target_1h"]
+    frame = frame.fillna(0.0, feats)
+    fitted = M.fit_trees(frame, feats, [1], maxDepth=4, numTrees=5, seed=7)
+    rolled = M.rollout({t: m for (t, _), m in fitted.items()}, frame, feats, 1, ["station", "time"], ["temperature"])
+    once = M.predict_trees(fitted, frame, feats, ["station", "time"]).select("station", "time", "h", "target", F.col("y_pred").alias("one_step"))
+    both = rolled.join(once, ["station", "time", "h", "target"])
+    return both.groupBy("station", "target").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.col("y_pred").eqNullSafe(F.col("one_step")), 1)).alias("different")
+    )
+
+
 @query("m13_importance")
 def m13(spark, sf):
     _, models = _fitted(spark, sf, "boosted")
     return M.importance(models, _FEATURES, spark)
 
 
+@query(
+    "m13b_importance_sums",
+    f"""WITH {PANEL} SELECT t.target, CAST(hs.h AS INTEGER) AS h, 1.0::DOUBLE AS total, 6::BIGINT AS features, true AS none_negative
+FROM (SELECT DISTINCT 1 AS one FROM panel), (VALUES ('pm2_5'), ('pm10')) t(target), (VALUES (1), (24)) hs(h)""",
+    dbl="total",
+)
+def m13b(spark, sf):
+    _, models = _fitted(spark, sf, "boosted")
+    return M.importance(models, _FEATURES, spark).groupBy("target", "h").agg(
+        F.sum("importance").alias("total"), F.count_distinct("feature").alias("features"),
+        F.bool_and(F.col("importance") >= 0).alias("none_negative"),
+    )
+
+
 _IMP = ["temperature", "humidity", "pressure", "ozone", "nh3"]
 
 
@@ -466,3 +528,19 @@ def e4b(spark, sf):
     cells = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"pm2_5_target_{h}h").alias("y")) for h in (1, 24)]))
     long = rows.select("station", "is_train", cells.alias("c"))
     return long.groupBy("station", "c.h", "is_train").agg(F.count("c.y").alias("n"), F.avg("c.y").alias("mean"))
+
+
+@query(
+    "e4c_evaluated_rows",
+    f"""WITH {PANEL}, w AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY time, seq) AS i, count(*) OVER (PARTITION BY station) AS m
+FROM panel WHERE {_WHOLE}), t AS (SELECT station, i <= floor(0.8::DOUBLE * m) AS is_train, unnest([1, 1, 6, 6]) AS h, unnest(['pm2_5', 'pm10', 'pm2_5', 'pm10']) AS target,
+unnest([lead(pm2_5, 1) OVER s, lead(pm10, 1) OVER s, lead(pm2_5, 6) OVER s, lead(pm10, 6) OVER s]) AS y FROM w WINDOW s AS (PARTITION BY station ORDER BY time, seq))
+SELECT t.station, CAST(h AS INTEGER) AS h, target, count(y) FILTER (is_train) AS train_n, count(y) FILTER (NOT is_train) AS test_n,
+any_value(o.n_left_out) AS n_left_out, true AS measured
+FROM t JOIN (SELECT station, count(*) FILTER (NOT ({_WHOLE})) AS n_left_out FROM panel GROUP BY station) o USING (station) GROUP BY t.station, h, target""",
+)
+def e4c(spark, sf):
+    """How many rows each figure of the evaluation rests on, and how many lacked a feature."""
+    found = E4.train_and_evaluate(panel_hourly(spark, sf), _FEATURES, [1, 6], maxDepth=4, numTrees=8, seed=7)[1]
+    measured = F.col("train_rmse").isNotNull() & F.col("test_rmse").isNotNull() & (F.col("test_mae") <= F.col("test_rmse") + 1e-9)
+    return found.select("station", "h", "target", "train_n", "test_n", "n_left_out", measured.alias("measured"))

@@ -154,7 +154,7 @@ def d9(spark, sf):
 @query(
     "d10_alignment_report",
     f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY time) <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY station)) AS is_train FROM panel)
-SELECT *, feature_min < -10 OR feature_max > 10 AS range_suspicious, feature_nulls = 0 AND n_pm2_5 = rows AND n_pm10 = rows AS aligned
+SELECT *, feature_min < -10 OR feature_max > 10 AS range_suspicious, coalesce(abs(mean_pm2_5) > 100, false) OR coalesce(abs(mean_pm10) > 200, false) AS targets_suspicious, feature_nulls = 0 AND n_pm2_5 = rows AND n_pm10 = rows AS aligned
 FROM (SELECT station, is_train, count(*) AS rows, count(pm2_5) AS n_pm2_5, count(pm10) AS n_pm10, avg(pm2_5) AS mean_pm2_5, avg(pm10) AS mean_pm10,
 min(least(temperature, nh3)) AS feature_min, max(greatest(temperature, nh3)) AS feature_max,
 CAST(sum((temperature IS NULL)::INT + (nh3 IS NULL)::INT) AS BIGINT) AS feature_nulls FROM n GROUP BY ALL)""",

@@ -76,6 +76,28 @@ def p7(spark, sf):
     return r.select(*S.feature_columns(r, also=["time"]))
 
 
+_ENCODER = (
+    "pm2_5, pm10, temperature, humidity, pressure, wind_speed, wind_direction_sin, wind_direction_cos, hour_sin, hour_cos, "
+    "day_sin, day_cos, month_sin, month_cos, day_of_week_sin, day_of_week_cos, carbon_monoxide, ozone, sulphur_dioxide, nh3"
+)
+
+
+@query(
+    "p7b_model_features",
+    f"""WITH {READINGS} SELECT station, seq, {_ENCODER} FROM (SELECT *, round_even(sin(radians(wind_direction)), 10) AS wind_direction_sin,
+round_even(cos(radians(wind_direction)), 10) AS wind_direction_cos, """
+    + ", ".join(
+        f"{f}(2 * pi() * {x} / {n}) AS {c}_{f}" for c, x, n in (
+            ("hour", "hour(time)", "24.0"), ("day", "day(time)", "31.0"), ("month", "month(time)", "12.0"),
+            ("day_of_week", "(isodow(time) - 1)", "7.0")) for f in ("sin", "cos"))
+    + " FROM readings)",
+    dbl=_ENCODER.replace(",", ""),
+)
+def p7b(spark, sf):
+    r = G.cyclic_time(G.wind_vector(readings(spark, sf)))
+    return r.select("station", "seq", *S.model_features(r, "encoder"))
+
+
 @query("p8_columns_like", f"WITH {READINGS} SELECT station, seq, pm2_5, pm10, wind_speed, wind_direction FROM readings")
 def p8(spark, sf):
     r = readings(spark, sf)

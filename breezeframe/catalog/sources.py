@@ -255,6 +255,30 @@ def s16(spark, sf):
     return tables.table_summary(readings(spark, sf).select("station", "time", "seq", *MEASURES))
 
 
+@query(
+    "s16b_first_last",
+    f"""WITH {READINGS}, r AS (SELECT station, seq, time, pm2_5, row_number() OVER (ORDER BY time, seq) AS i, count(*) OVER () AS n FROM readings)
+SELECT CASE WHEN i <= 10 THEN 'first' ELSE 'last' END AS part, station, seq, time, pm2_5 FROM r WHERE i <= 10 OR i > n - 10""",
+)
+def s16b(spark, sf):
+    found = tables.table_report(readings(spark, sf).select("station", "seq", "time", "pm2_5"), 10, order=["seq"])
+    return found.first.withColumn("part", F.lit("first")).unionByName(found.last.withColumn("part", F.lit("last")))
+
+
+@query(
+    "s16c_statistics",
+    f"WITH {READINGS} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", avg({c}) AS mean, stddev_samp({c}) AS std, min({c}::DOUBLE) AS "min", max({c}::DOUBLE) AS "max",
+quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, quantile_cont({c}::DOUBLE, 0.75) AS q75 FROM readings"""
+        for c in ("seq", "pm2_5", "ozone")
+    ),
+    dbl="mean std min max q25 q50 q75",
+)
+def s16c(spark, sf):
+    return tables.table_report(readings(spark, sf).select("station", "time", "seq", "pm2_5", "ozone")).statistics
+
+
 @query(
     "s17_save_load_params",
     f"WITH {READINGS} "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from breezeframe.catalog.registry import query
@@ -196,6 +198,33 @@ def w9(spark, sf):
     return R.exog_at_horizon(p, _EXOG_H, _EXOG).drop("seq", *_EXOG)
 
 
+_TREE_EXOG = [
+    "temperature", "temperature_scaled", "humidity", "pressure", "wind_speed", "wind_direction", "carbon_monoxide", "ozone",
+    "sulphur_dioxide", "nh3", "is_hot", "hour_sin", "temp_humidity_interaction", "temp_humidity_interaction_scaled",
+]
+
+
+@query(
+    "w9b_tree_exog",
+    f"""WITH {PANEL}, e AS (SELECT *, temperature / 10 AS temperature_scaled, CASE WHEN temperature > 35 THEN 1 ELSE 0 END AS is_hot,
+sin(2 * pi() * hour(time) / 24.0) AS hour_sin, temperature * humidity AS temp_humidity_interaction,
+temperature * humidity / 100 AS temp_humidity_interaction_scaled FROM panel)
+SELECT station, time, """
+    + ", ".join(f"lead({c}, {h}) OVER w AS {c}_target_{h}h" for h in (1, 24) for c in _TREE_EXOG)
+    + " FROM e WINDOW w AS (PARTITION BY station ORDER BY time)",
+    dbl=" ".join(f"{c}_target_{h}h" for h in (1, 24) for c in _TREE_EXOG if c != "is_hot"),
+)
+def w9b(spark, sf):
+    t = F.col("temperature")
+    p = panel_hourly(spark, sf).withColumns({
+        "temperature_scaled": t / 10, "is_hot": F.when(t > 35, 1).otherwise(0),
+        "hour_sin": F.sin(F.hour("time") * (2 * math.pi / 24)), "temp_humidity_interaction": t * F.col("humidity"),
+        "temp_humidity_interaction_scaled": t * F.col("humidity") / 100,
+    })
+    cols = R.tree_exogenous_columns(p)
+    return R.exog_at_horizon(p.select("station", "time", "seq", *cols), [1, 24], cols).drop("seq", *cols)
+
+
 _SEQ_LEN, _STEPS = 24, 6
 _NUMBERED = "np AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY station) AS n FROM panel)"
 
@@ -271,7 +300,18 @@ def w17(spark, sf):
     return W.dedupe_last(r, ["station", "hour"], ["seq"])
 
 
-@query("w18_ar1_noise")
+_DRAW = "(('0x' || substr(md5(station || '|' || epoch_us(time)::VARCHAR || '|nh3|' || h::VARCHAR || '|{tag}7'), 1, 10))::BIGINT + 0.5) / 1099511627776.0"
+
+
+@query(
+    "w18_ar1_noise",
+    f"""WITH {PANEL}, b AS (SELECT station, time, unnest(range(1, 73)) AS h FROM panel),
+z AS (SELECT station, time, h, (0.05 + (h - 1) * (0.25 / 71)) * sqrt(-2 * ln({_DRAW.format(tag='u')})) * cos(2 * pi() * {_DRAW.format(tag='v')}) AS z FROM b),
+e AS (SELECT station, time, h, pow(0.8::DOUBLE, h) * sum(z * pow(0.8::DOUBLE, -h)) OVER (PARTITION BY station, time ORDER BY h) AS e FROM z)
+SELECT e.station, e.time, CAST(h AS INTEGER) AS h, p.nh3 + e AS nh3
+FROM e LEFT JOIN panel p ON p.station = e.station AND p.time = e.time + to_hours(h)""",
+    dbl="nh3",
+)
 def w18(spark, sf):
     noisy = R.ar1_noise(R.horizon_arrays(panel_hourly(spark, sf), ["nh3"], 72), ["nh3"], 0.05, 0.30, 72)
     return noisy.select("station", "time", F.posexplode("nh3").alias("h", "nh3")).withColumn("h", F.col("h") + 1)

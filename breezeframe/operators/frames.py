@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from breezeframe.functions.features import TAU
 from breezeframe.operators.layout import core, piece_window, position_halo, with_position
 from breezeframe.operators.windows import shift
-from breezeframe.schema import CYCLIC_COLUMNS, KEYS, SCALE_GROUPS, SEQ, TARGETS, TIME
+from breezeframe.schema import (
+    CYCLIC_COLUMNS,
+    KEYS,
+    SCALE_GROUPS,
+    SEQ,
+    TARGETS,
+    TIME,
+    TREE_EXOG_FLAGS,
+    TREE_EXOG_INTERACTIONS,
+    TREE_EXOG_POLLUTANTS,
+    TREE_EXOG_WEATHER,
+)
 
 
 def targets(
@@ -46,6 +57,16 @@ def exogenous_columns(df: DataFrame) -> list[str]:
     return [c for c in order if c in df.columns]
 
 
+def tree_exogenous_columns(df: DataFrame) -> list[str]:
+    """What the tree trainers read at the horizon, raw and scaled, in training order."""
+    pairs = lambda names: [x for c in names for x in (c, f"{c}_scaled")]
+    order = [
+        *pairs(TREE_EXOG_WEATHER), *pairs(TREE_EXOG_POLLUTANTS), "wind_direction_sin", "wind_direction_cos",
+        *TREE_EXOG_FLAGS, *CYCLIC_COLUMNS, *pairs(TREE_EXOG_INTERACTIONS),
+    ]
+    return [c for c in order if c in df.columns]
+
+
 def exog_at_horizon(
     df: DataFrame, horizons: Sequence[int], cols: Sequence[str] | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
@@ -150,13 +171,16 @@ def ar1_noise(
     """Add AR(1) noise along the horizon to array columns of ``steps`` values.
 
     The innovations' deviation grows linearly from ``lo`` to ``hi``. Each is a Box-Muller
-    draw from hashes of (row, column, step): a retried task or another partitioning gives
-    the same noise, and no row needs a neighbour.
+    draw from the MD5 of (row, column, step), times as microseconds: a retried task, another
+    partitioning or another engine gives the same noise, and no row needs a neighbour.
     """
+    kinds = dict(df.dtypes)
+    place = [F.unix_micros(r) if kinds[r].startswith("timestamp") else F.col(r) for r in row]
 
     def uniform(tag: str, c: str, s):
-        bits = F.xxhash64(*row, F.lit(c), s, F.lit(f"{tag}{seed}"))
-        return (F.pmod(bits, F.lit(2**40)) + 0.5) / F.lit(float(2**40))
+        text = F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in place], F.lit(c), s.cast("string"), F.lit(f"{tag}{seed}"))
+        bits = F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("double")
+        return (bits + 0.5) / F.lit(float(2**40))
 
     def innovation(c: str, s):
         normal = F.sqrt(F.log(uniform("u", c, s)) * -2.0) * F.cos(uniform("v", c, s) * TAU)

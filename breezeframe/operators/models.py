@@ -19,9 +19,25 @@ from breezeframe.session import materialise
 FEATURES = "_features"
 
 
+def complete(features: Sequence[str]) -> Column:
+    """Whether a row has all features: neither null nor NaN."""
+    out = F.lit(True)
+    for f in features:
+        out = out & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return out
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature vector column; rows with a missing feature are left out."""
-    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="skip").transform(df)
+    """Feature vector column; a missing feature is NaN there."""
+    return VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="keep").transform(df)
+
+
+def left_out(df: DataFrame, features: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per key the rows that fitting cannot use, and per feature how many lack it."""
+    lacks = [F.count(F.when(~complete([f]), 1)).alias(f"no_{f}") for f in features]
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(~complete(features), 1)).alias("incomplete"), *lacks
+    )
 
 
 def _regressor(kind: str, label: str, prediction: str, **params):
@@ -39,10 +55,11 @@ def fit_trees(
 ) -> dict[tuple[str, int], object]:
     """One regressor per target and horizon on ``<target>_target_<h>h`` columns.
 
-    The assembled rows are written out once, then each fit reads them.
+    Rows with a missing feature are not fitted on; :func:`left_out` counts them. The assembled
+    rows are written out once, then each fit reads them.
     """
     labels = {(t, h): f"{t}_target_{h}h" for t in targets for h in horizons}
-    rows = assemble(df, features).select(FEATURES, *labels.values())
+    rows = assemble(df.where(complete(features)), features).select(FEATURES, *labels.values())
     rows = materialise(rows, "training-rows")
     return {
         key: _regressor(kind, label, f"pred_{label}", **params).fit(rows.filter(F.col(label).isNotNull()))
@@ -51,14 +68,16 @@ def fit_trees(
 
 
 def predict_trees(models: Mapping[tuple[str, int], object], df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Long predictions ``(keep, h, target, y_true, y_pred)`` of all fitted models."""
-    out = assemble(df, features)
+    """Long predictions ``(keep, h, target, y_true, y_pred)`` of all fitted models: one row for each
+    input row and model. The prediction is null where a feature is missing."""
+    out = assemble(df.withColumn("_complete", complete(features)), features)
     for m in models.values():
         out = m.transform(out)
     cells = F.array(*[
         F.struct(
             F.lit(h).alias("h"), F.lit(t).alias("target"),
-            F.col(f"{t}_target_{h}h").alias("y_true"), F.col(f"pred_{t}_target_{h}h").alias("y_pred"),
+            F.col(f"{t}_target_{h}h").alias("y_true"),
+            F.when(F.col("_complete"), F.col(f"pred_{t}_target_{h}h")).alias("y_pred"),
         )
         for t, h in models
     ])

@@ -16,7 +16,7 @@ from breezeframe.operators.aggregates import (
     rows,
 )
 from breezeframe.operators.quantiles import beside, exact_quantiles, wide_quantiles
-from breezeframe.schema import CYCLIC_COLUMNS, FLAG_COLUMNS, KEYS, RANGE_RULES, TARGETS, TIME
+from breezeframe.schema import CYCLIC_COLUMNS, FLAG_COLUMNS, KEYS, RANGE_RULES, TARGET_MEAN_LIMITS, TARGETS, TIME
 
 
 def order_check(df: DataFrame, lo: str = "pm2_5", hi: str = "pm10", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -239,9 +239,15 @@ def outlier_context(df: DataFrame, target: str = "pm2_5", keys: Sequence[str] =
 
 
 def alignment_report(
-    df: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS, flag: str = "is_train", keys: Sequence[str] = KEYS
+    df: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS, flag: str = "is_train", keys: Sequence[str] = KEYS,
+    limits: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Training and test part side by side: rows, targets per row, feature range, nulls, verdict."""
+    """Training and test part side by side: rows, targets per row, feature range, nulls, verdict.
+
+    ``targets_suspicious``: the mean of a target lies beyond ``limits``, as that of one on another
+    scale would.
+    """
+    limits = TARGET_MEAN_LIMITS if limits is None else limits
     nulls = lambda cols: F.sum(sum((F.col(c).isNull().cast("bigint") for c in cols), F.lit(0)))
     out = df.groupBy(*keys, flag).agg(
         rows().alias("rows"),
@@ -255,4 +261,8 @@ def alignment_report(
     for t in targets:
         aligned = aligned & (F.col(f"n_{t}") == F.col("rows"))
     odd = (F.col("feature_min") < -10) | (F.col("feature_max") > 10)
-    return out.withColumn("range_suspicious", odd).withColumn("aligned", aligned)
+    far = F.lit(False)
+    for t, limit in limits.items():
+        if t in targets:
+            far = far | F.coalesce(F.abs(F.col(f"mean_{t}")) > limit, F.lit(False))
+    return out.withColumn("range_suspicious", odd).withColumn("targets_suspicious", far).withColumn("aligned", aligned)

@@ -12,6 +12,7 @@ from breezeframe.functions.features import finite
 from breezeframe.operators.quantiles import beside, exact_quantiles, wide_quantiles
 from breezeframe.schema import (
     CLEAN_FEATURES,
+    ENCODER_FEATURES,
     FLAG_COLUMNS,
     IQR_COLUMNS,
     KEYS,
@@ -19,6 +20,10 @@ from breezeframe.schema import (
     STATIC_COLUMNS,
     TARGETS,
     TIME,
+    TREE_FEATURES,
+    TREE_FEATURES_LATER,
+    TREE_FEATURES_MULTI,
+    TREE_STEP_FEATURES,
     VALIDATION_COLUMNS,
 )
 from breezeframe.session import materialise
@@ -61,6 +66,25 @@ def feature_columns(df: DataFrame, exclude_targets: bool = True, also: Sequence[
     return [c for c in df.columns if c not in out]
 
 
+def model_features(df: DataFrame, model: str, horizons: Sequence[int] = ()) -> list[str]:
+    """What a model is trained on, as far as ``df`` has it, in training order.
+
+    ``tree_multi``: one model for all horizons, with the exogenous columns at ``horizons`` if
+    given. ``tree_direct``: one-step model with those of the next hour. ``encoder``: raw columns.
+    """
+    if model == "encoder":
+        wanted = ENCODER_FEATURES
+    elif model == "tree_multi":
+        wanted = [*TREE_FEATURES, *TREE_FEATURES_MULTI, *TREE_FEATURES_LATER]
+        wanted += [f"{c}_target_{h}h" for h in horizons for c in TREE_STEP_FEATURES]
+    elif model == "tree_direct":
+        wanted = [*TREE_FEATURES, *TREE_FEATURES_LATER, *[f"{c}_target_1h" for c in TREE_STEP_FEATURES]]
+    else:
+        raise ValueError(f"unknown model {model!r}")
+    have = set(df.columns)
+    return [c for c in wanted if c in have]
+
+
 def columns_like(df: DataFrame, *patterns: str, prefix: str = "", kind: str | None = None) -> list[str]:
     """Columns containing any pattern, with a prefix, or of a kind (numeric, datetime, text)."""
     kinds = {

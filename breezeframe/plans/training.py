@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from breezeframe.operators.evaluate import horizon_metrics, merge_metrics, overfit_gap
 from breezeframe.operators.frames import chrono_split, targets
-from breezeframe.operators.models import fit_trees, predict_trees
+from breezeframe.operators.models import fit_trees, left_out, predict_trees
 from breezeframe.schema import KEYS, TARGETS, TIME
 from breezeframe.session import materialise
 
@@ -28,11 +28,12 @@ def train_and_evaluate(
     keys: Sequence[str] = KEYS, limit: float = 0.1, **params,
 ) -> tuple[Mapping[tuple[str, int], object], DataFrame]:
     """Models fitted on the earlier rows only, and one row per key, horizon and target with the
-    metrics on both parts and the gap between them. Runs the fitting jobs when called."""
+    metrics on both parts, the gap between them, and how many of the key's rows lack a feature and
+    were left out. Runs the fitting jobs when called."""
     rows = materialise(supervised(df, features, horizons, cols, test, keys), "supervised")
     models = fit_trees(rows.where("is_train"), features, horizons, cols, **params)
     by = [*keys, "h", "target"]
-    pred = predict_trees(models, rows, features, [*keys, TIME, "is_train"]).where("y_true IS NOT NULL")
+    pred = predict_trees(models, rows, features, [*keys, TIME, "is_train"]).where("y_true IS NOT NULL AND y_pred IS NOT NULL")
     metrics = horizon_metrics(pred, [*by, "is_train"])
     train, held = (metrics.where(F.col("is_train") == flag).drop("is_train") for flag in (True, False))
     gap = overfit_gap(train, held, by, limit)
@@ -40,7 +41,8 @@ def train_and_evaluate(
              train.select(*by, *[F.col(c).alias(f"train_{c}") for c in ("rmse", "mae", "n")])]
     for part in shown:
         gap = gap.join(part, by)
-    return models, gap
+    lacking = left_out(df, features, keys).select(*keys, F.col("incomplete").alias("n_left_out"))
+    return models, gap.join(lacking, list(keys))
 
 
 def banded(short: DataFrame, long: DataFrame, cut: int = 12) -> DataFrame:

@@ -91,6 +91,62 @@ CLEAN_FEATURES = [
     "co_pressure_interaction", "o3_temp_interaction", "so2_humidity_interaction",
 ]
 
+# fixed values: what the models are given, in training order -----------------------------
+TREE_FEATURES = [
+    "pm2_5_log_scaled", "pm10_scaled", "carbon_monoxide_scaled", "ozone_scaled", "sulphur_dioxide_scaled", "nh3_scaled",
+    "temperature_scaled", "humidity_scaled", "pressure_scaled", "wind_speed_scaled",
+    "wind_direction_sin", "wind_direction_cos",
+    "hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos",
+    "is_hot", "is_night", "is_morning_rush", "is_evening_rush", "is_high_pm2_5", "is_high_o3",
+    "pm2_5_lag_1h_scaled", "pm2_5_lag_2h_scaled", "pm2_5_lag_3h_scaled", "pm2_5_lag_24h_scaled",
+    "pm10_lag_1h_scaled", "pm10_lag_2h_scaled", "pm10_lag_3h_scaled", "pm10_lag_24h_scaled",
+]
+TREE_FEATURES_MULTI = ["co_lag_1h_scaled", "o3_lag_1h_scaled", "so2_lag_1h_scaled"]
+TREE_FEATURES_LATER = [
+    "pm2_5_rolling_min_3h_scaled", "pm2_5_rolling_mean_3h_scaled", "pm2_5_rolling_max_3h_scaled",
+    "pm2_5_rolling_min_12h_scaled", "pm2_5_rolling_mean_12h_scaled", "pm2_5_rolling_max_12h_scaled",
+    "pm2_5_rolling_mean_24h_scaled", "pm2_5_rolling_max_24h_scaled",
+    "pm10_rolling_min_3h_scaled", "pm10_rolling_mean_3h_scaled", "pm10_rolling_mean_12h_scaled", "pm10_rolling_mean_24h_scaled",
+    "pm2_5_change_rate_1h_scaled", "pm2_5_change_rate_6h_scaled", "pm2_5_change_rate_24h_scaled",
+    "pm10_change_rate_1h_scaled", "pm10_change_rate_6h_scaled", "pm10_change_rate_24h_scaled",
+    "pm2_5_temp_interaction_scaled", "pm2_5_humidity_interaction_scaled", "pm2_5_pressure_interaction_scaled",
+    "pm10_temperature_interaction_scaled", "pm10_pressure_interaction_scaled",
+    "temp_humidity_interaction_scaled", "temp_wind_interaction_scaled",
+    "wind_direction_temp_interaction_scaled", "wind_direction_humidity_interaction_scaled",
+    "pressure_humidity_interaction_scaled",
+    "co_pressure_interaction_scaled", "o3_temp_interaction_scaled", "so2_humidity_interaction_scaled",
+]
+TREE_STEP_FEATURES = [
+    "temperature_scaled", "humidity_scaled", "pressure_scaled", "wind_speed_scaled",
+    "wind_direction_sin", "wind_direction_cos",
+    "carbon_monoxide_scaled", "ozone_scaled", "sulphur_dioxide_scaled", "nh3_scaled",
+]
+ENCODER_FEATURES = [
+    "pm2_5", "pm10",
+    "pm2_5_rolling_mean_3h", "pm2_5_rolling_max_3h", "pm2_5_rolling_mean_12h", "pm2_5_rolling_max_12h",
+    "pm2_5_rolling_mean_24h", "pm2_5_rolling_max_24h",
+    "pm10_rolling_mean_3h", "pm10_rolling_mean_12h", "pm10_rolling_mean_24h",
+    "pm2_5_change_rate_1h", "pm2_5_change_rate_6h", "pm2_5_change_rate_24h",
+    "pm10_change_rate_1h", "pm10_change_rate_6h", "pm10_change_rate_24h",
+    "pm2_5_temp_interaction", "pm2_5_humidity_interaction", "pm2_5_pressure_interaction",
+    "pm10_temperature_interaction", "pm10_pressure_interaction",
+    "temperature", "humidity", "pressure", "wind_speed", "wind_direction_sin", "wind_direction_cos",
+    "hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos",
+    "carbon_monoxide", "ozone", "sulphur_dioxide", "nh3",
+]
+# read at the horizon by the tree trainers; those in the first two and the last list also as <name>_scaled
+TREE_EXOG_WEATHER = ["temperature", "humidity", "pressure", "wind_speed", "wind_direction"]
+TREE_EXOG_POLLUTANTS = ["carbon_monoxide", "ozone", "sulphur_dioxide", "nh3"]
+TREE_EXOG_FLAGS = ["is_hot", "is_night", "is_morning_rush", "is_evening_rush"]
+TREE_EXOG_INTERACTIONS = [
+    "temp_humidity_interaction", "temp_wind_interaction",
+    "wind_direction_temp_interaction", "wind_direction_humidity_interaction",
+    "pressure_humidity_interaction",
+]
+# mean of a target beyond which its scale is doubtful
+TARGET_MEAN_LIMITS = {"pm2_5": 100.0, "pm10": 200.0}
+# end of these fixed values -------------------------------------------------------------
+
 # pollutant -> (c_lo, c_hi, i_lo, i_hi)
 BREAKPOINTS = {
     "pm2_5": [

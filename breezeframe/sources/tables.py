@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from breezeframe.functions.features import hour_keys, time_key
+from breezeframe.operators.aggregates import describe
 from breezeframe.schema import KEYS, TIME
 from breezeframe.sources.store import is_missing, is_table, read_table
 
@@ -147,3 +149,22 @@ def table_summary(df: DataFrame, time: str = TIME) -> DataFrame:
     return one.select("rows", "first_time", "last_time", per_col.alias("c")).select(
         "c.*", "rows", "first_time", "last_time"
     )
+
+
+class TableReport(NamedTuple):
+    """What :func:`table_report` gives; nothing is computed before a part is read."""
+
+    summary: DataFrame
+    statistics: DataFrame
+    first: DataFrame
+    last: DataFrame
+
+
+def table_report(df: DataFrame, n: int = 10, time: str = TIME, order: Sequence[str] = ()) -> TableReport:
+    """A stored table at a glance: summary per column, statistics of the numeric columns over the
+    whole table (exact quartiles), and its first and last ``n`` rows in time, then by ``order``.
+    Each task keeps ``n`` rows of its own before they meet."""
+    numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    first = df.orderBy(time, *order).limit(n)
+    last = df.orderBy(F.desc(time), *[F.desc(c) for c in order]).limit(n)
+    return TableReport(table_summary(df, time), describe(df, numeric, ()), first, last.orderBy(time, *order))

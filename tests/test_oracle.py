@@ -30,5 +30,5 @@ def test_query(spark, con, name):
 
 def test_only_random_or_trained_results_lack_sql():
     assert set(QUERIES) - set(ORACLES) == {
-        "w18_ar1_noise", "m11_fit_trees", "m12_rollout", "m13_importance", "t8_pacf", "e4_train_evaluate",
+        "m11_fit_trees", "m12_rollout", "m13_importance", "t8_pacf", "e4_train_evaluate",
     }
