@@ -402,3 +402,31 @@ SELECT station, seq, wind_cardinal, code FROM r JOIN codes USING (wind_cardinal)
 def f26(spark, sf):
     d = readings(spark, sf).select(*KEY, "time", X.cardinal(F.col("wind_direction")).alias("wind_cardinal"))
     return X.label_encode(d, "wind_cardinal", "code").drop("time")
+
+
+@query(
+    "u1_sql_functions",
+    f"""WITH {READINGS}, {BP}, h AS (SELECT station, date_trunc('hour', time) AS hour, avg(pm2_5) AS pm2_5, avg(pm10) AS pm10 FROM readings
+WHERE time >= TIMESTAMP '2024-01-03 00:00:00' AND time < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1, 2),
+x AS (SELECT station, hour, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) END AS us
+FROM (SELECT *, {strict_sql('pm2_5', 'pm2_5')} AS a, {strict_sql('pm10', 'pm10')} AS b FROM h))
+SELECT station, strftime(hour, '%Y-%m-%d') AS day, count(*) AS hours, CAST(max(us) AS INTEGER) AS worst, {category_sql('max(us)')} AS category
+FROM x WHERE us >= 60 GROUP BY 1, 2""",
+)
+def u1(spark, sf):
+    """Nothing but SQL from here on: a table function over a view, and a scalar one on its result."""
+    from breezeframe.functions.aqi import register_sql_tables
+    from breezeframe.sources.tables import register_view
+
+    view = register_name(spark)
+    register_view(readings(spark, sf), view)
+    register_sql_tables(spark, view)
+    return spark.sql(f"""SELECT station, CAST(day AS STRING) AS day, hours, worst, aqi_category(worst) AS category
+FROM {view}_exceedances(60, TIMESTAMP '2024-01-03 00:00:00', TIMESTAMP '2024-01-20 12:00:00')""")
+
+
+def register_name(spark) -> str:
+    """A view name no other caller has."""
+    from breezeframe.session import scratch_path
+
+    return scratch_path(spark, "readings").rsplit("/", 1)[1].replace("-", "_")

@@ -187,6 +187,38 @@ def s10(spark, sf):
     )
 
 
+@query(
+    "s10b_read_chunks",
+    f"""WITH {PANEL}, s AS (SELECT station, min(time) + INTERVAL 30 HOUR AS lo, max(time) AS hi FROM panel GROUP BY 1),
+b AS (SELECT min(CAST(time AS DATE)) + 3 AS day FROM panel),
+c AS (SELECT station, chunk_start, least(chunk_start + INTERVAL 24 HOUR, hi) AS chunk_end
+FROM (SELECT station, hi, unnest(generate_series(lo, hi, INTERVAL 24 HOUR)) AS chunk_start FROM s) WHERE chunk_start < hi),
+m AS (SELECT c.*, CAST(chunk_start AS DATE) <= b.day AND CAST(chunk_end - INTERVAL 1 MICROSECOND AS DATE) >= b.day AS broken FROM c, b)
+SELECT m.station, chunk_start, chunk_end, broken, count(p.time) FILTER (NOT broken) AS n, avg(p.pm2_5) FILTER (NOT broken) AS mean
+FROM m LEFT JOIN panel p ON p.station = m.station AND p.time >= chunk_start AND p.time < chunk_end GROUP BY m.station, chunk_start, chunk_end, broken""",
+    dbl="mean",
+)
+def s10b(spark, sf):
+    """Chunk-wise read of a table partitioned by day, one day of which is damaged."""
+    path = scratch_path(spark, "days")
+    p = panel_hourly(spark, sf).select("station", "time", "pm2_5").withColumn("date", F.to_date("time"))
+    p.write.partitionBy("date").parquet(path)
+    bad = p.agg(F.date_add(F.min("date"), 3)).first()[0]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={bad}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        stream = files.create(status.getPath(), True)
+        stream.write(bytearray(b"not parquet"))
+        stream.close()
+    span = p.groupBy("station").agg((F.min("time") + F.expr("interval 30 hours")).alias("lo"), F.max("time").alias("hi"))
+    chunks = tables.time_chunks(span, "lo", "hi").drop("lo", "hi")
+    found = tables.read_chunks(spark, path, chunks)
+    by = ["station", "chunk_start", "chunk_end"]
+    counts = found.rows.groupBy(*by).agg(F.count("time").alias("n"), F.avg("pm2_5").alias("mean"))
+    listed = chunks.join(found.failed.select(*by, F.lit(True).alias("broken")), by, "left").join(counts, by, "left")
+    return listed.select(*by, F.coalesce("broken", F.lit(False)).alias("broken"), F.coalesce("n", F.lit(0)).alias("n"), "mean")
+
+
 @query("s11_write_csv", f"WITH {PANEL} SELECT station, seq, time, pm2_5, pm10 FROM panel")
 def s11(spark, sf):
     path = scratch_path(spark, "export")

@@ -132,23 +132,52 @@ def aqi_lookup(df: DataFrame, column: str, pollutant: str, out: str, table: Data
     return joined.withColumn(out, value).drop("c_lo", "c_hi", "i_lo", "i_hi")
 
 
-def register_sql_functions(spark: SparkSession) -> list[str]:
-    """``aqi_pm25(c)``, ``aqi_pm10(c)`` and ``aqi_category(i)`` as inlined SQL functions."""
+def _index_sql(pollutant: str, c: str) -> str:
+    whens = " ".join(
+        f"WHEN {c} BETWEEN {lo}D AND {hi}D THEN "
+        f"CAST(bround({float(i_hi - i_lo) / (hi - lo)!r}D * ({c} - {lo}D) + {float(i_lo)}D) AS INT)"
+        for lo, hi, i_lo, i_hi in BREAKPOINTS[pollutant]
+    )
+    return f"CASE {whens} END"
+
+
+def _category_sql(i: str) -> str:
+    cats = " ".join(f"WHEN {i} <= {hi} THEN '{name}'" for name, _, hi, _ in AQI_CATEGORIES[:-1])
+    return f"CASE WHEN {i} IS NULL THEN NULL {cats} ELSE '{AQI_CATEGORIES[-1][0]}' END"
 
-    def bands(pollutant: str) -> str:
-        whens = " ".join(
-            f"WHEN c BETWEEN {lo}D AND {hi}D THEN "
-            f"CAST(bround({float(i_hi - i_lo) / (hi - lo)!r}D * (c - {lo}D) + {float(i_lo)}D) AS INT)"
-            for lo, hi, i_lo, i_hi in BREAKPOINTS[pollutant]
-        )
-        return f"CASE {whens} END"
 
-    cats = " ".join(f"WHEN i <= {hi} THEN '{name}'" for name, _, hi, _ in AQI_CATEGORIES[:-1])
+def register_sql_functions(spark: SparkSession) -> list[str]:
+    """``aqi_pm25(c)``, ``aqi_pm10(c)`` and ``aqi_category(i)`` as inlined SQL functions."""
     bodies = {
-        "aqi_pm25(c DOUBLE) RETURNS INT": bands("pm2_5"),
-        "aqi_pm10(c DOUBLE) RETURNS INT": bands("pm10"),
-        "aqi_category(i INT) RETURNS STRING": f"CASE WHEN i IS NULL THEN NULL {cats} ELSE '{AQI_CATEGORIES[-1][0]}' END",
+        "aqi_pm25(c DOUBLE) RETURNS INT": _index_sql("pm2_5", "c"),
+        "aqi_pm10(c DOUBLE) RETURNS INT": _index_sql("pm10", "c"),
+        "aqi_category(i INT) RETURNS STRING": _category_sql("i"),
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     return [h.split("(")[0] for h in bodies]
+
+
+def register_sql_tables(spark: SparkSession, view: str) -> list[str]:
+    """Table functions over a view of readings, beside the scalar ones: ``<view>_hours(since,
+    until)`` with the hourly means and their index, and ``<view>_exceedances(least, since, until)``
+    with the days on which the index reached ``least``. Catalyst inlines both, so their bounds and
+    whatever a query adds reach the scan."""
+    register_sql_functions(spark)
+    hours = f"""
+        SELECT station, hour, pm2_5, pm10, us_aqi, {_category_sql('us_aqi')} AS category FROM (
+          SELECT station, hour, pm2_5, pm10,
+            CASE WHEN a25 IS NOT NULL AND a10 IS NOT NULL THEN greatest(a25, a10) END AS us_aqi
+          FROM (SELECT station, hour, pm2_5, pm10, {_index_sql('pm2_5', 'pm2_5')} AS a25, {_index_sql('pm10', 'pm10')} AS a10
+            FROM (SELECT station, date_trunc('hour', time) AS hour, avg(pm2_5) AS pm2_5, avg(pm10) AS pm10
+              FROM {view} WHERE time >= since AND time < until GROUP BY station, date_trunc('hour', time))))"""
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {view}_hours(since TIMESTAMP, until TIMESTAMP)
+        RETURNS TABLE (station STRING, hour TIMESTAMP, pm2_5 DOUBLE, pm10 DOUBLE, us_aqi INT, category STRING)
+        RETURN {hours}""")
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {view}_exceedances(least INT, since TIMESTAMP, until TIMESTAMP)
+        RETURNS TABLE (station STRING, day DATE, hours BIGINT, worst INT)
+        RETURN SELECT station, to_date(hour), count(*), max(us_aqi) FROM ({hours})
+          WHERE us_aqi >= least GROUP BY station, to_date(hour)""")
+    return [f"{view}_hours", f"{view}_exceedances"]

@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 from breezeframe.functions.features import hour_keys, time_key
 from breezeframe.operators.aggregates import describe
 from breezeframe.schema import KEYS, TIME
+from breezeframe.session import materialise
 from breezeframe.sources.store import is_missing, is_table, read_table
 
 
@@ -122,6 +123,71 @@ def time_chunks(df: DataFrame, start: str, end: str, hours: int = 24) -> DataFra
     )
 
 
+class ChunkRead(NamedTuple):
+    """Rows of the chunks that could be read, and the chunks that could not, with the reason."""
+
+    rows: DataFrame
+    failed: DataFrame
+
+
+def broken_files(spark: SparkSession, path: str, part: str = "date") -> DataFrame:
+    """``path, <part>, error`` of the Parquet files below a partitioned folder that cannot be
+    opened. Each task opens its share by the file system of the path; footers only, so a file whose
+    pages are damaged behind a sound footer still fails the job that reads it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", part)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs, parquet
+
+        for batch in batches:
+            errors = []
+            for name in batch.column(0).to_pylist():
+                name = "/" + name[5:].lstrip("/") if name.startswith("file:") else name
+                try:
+                    store, place = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+                    with store.open_input_file(place) as f:
+                        parquet.read_metadata(f)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string())], [*batch.schema.names, "error"])
+
+    kind = files.schema[part].dataType.simpleString()
+    return files.mapInArrow(run, f"path string, {part} {kind}, error string").where("error IS NOT NULL")
+
+
+def read_chunks(
+    spark: SparkSession, path: str, chunks: DataFrame, part: str = "date", keys: Sequence[str] = KEYS, time: str = TIME
+) -> ChunkRead:
+    """The rows of :func:`time_chunks` from a folder partitioned by day, chunk by chunk.
+
+    A chunk with a day that has a broken file is skipped and listed; the others are read whole.
+    The days that are wanted reach the scan as a dynamic partition filter, so neither other days nor
+    broken ones are opened. Chunks are few beside rows: one row per key and day or so.
+    """
+    spans = chunks.withColumn("_days", F.sequence(
+        F.to_date("chunk_start"), F.to_date(F.col("chunk_end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day")
+    ))
+    days = spans.select(*keys, "chunk_start", "chunk_end", F.explode("_days").alias("_day"))
+    bad = broken_files(spark, path, part).groupBy(F.to_date(part).alias("_day")).agg(F.min("error").alias("error"))
+    marked = materialise(
+        days.join(bad, "_day", "left").groupBy(*keys, "chunk_start", "chunk_end").agg(
+            F.min("error").alias("error"), F.count("error").alias("broken"), F.collect_set("_day").alias("_days")
+        ), "chunks",
+    )
+    good = marked.where("broken = 0").select(*keys, "chunk_start", "chunk_end", F.explode("_days").alias("_day"))
+    rows = spark.read.parquet(path).withColumn("_at", F.to_date(part))
+    wanted = good.select("_day").distinct().where("_day > DATE'0001-01-01'")
+    kept = rows.join(F.broadcast(wanted), F.col(part) == F.col("_day")).drop("_day")
+    inside = [kept[k] == good[k] for k in keys] + [kept["_at"] == good["_day"], kept[time] >= good["chunk_start"], kept[time] < good["chunk_end"]]
+    condition = inside[0]
+    for c in inside[1:]:
+        condition = condition & c
+    found = kept.join(good, condition).select(*[kept[c] for c in rows.columns if c != "_at"], "chunk_start", "chunk_end")
+    return ChunkRead(found, marked.where("broken > 0").select(*keys, "chunk_start", "chunk_end", "error"))
+
+
 def register_view(df: DataFrame, name: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Get or create a named view over all or some columns."""
     spark = df.sparkSession
