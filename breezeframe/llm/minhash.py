@@ -98,14 +98,28 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 
 
 def _signed(docs: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
+    """Signatures, and the texts compressed, so that a shuffle of them moves a third of the bytes:
+    the only pass over the texts as they are."""
+
     def run(buf, offsets):
         import pyarrow as pa
+        import zstandard
 
         sizes, one, two, keys = signatures(shingle_sets(buf, offsets, size))
-        return [pa.array(sizes, pa.int64()), pa.array(one), pa.array(two), pa.array(list(keys), pa.list_(pa.int64()))]
+        squeeze, data = zstandard.ZstdCompressor(level=3).compress, buf.tobytes()
+        zipped = [squeeze(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return [
+            pa.array(sizes, pa.int64()), pa.array(one), pa.array(two), pa.array(list(keys), pa.list_(pa.int64())),
+            pa.array(zipped, pa.binary()),
+        ]
 
     ids = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return map_texts(ids, "text", "n bigint, s1 bigint, s2 bigint, keys array<bigint>", run, ["doc_id"])
+    schema = "n bigint, s1 bigint, s2 bigint, keys array<bigint>, zipped binary"
+    return map_texts(ids, "text", schema, run, ["doc_id"])
+
+
+def _texts(signed: DataFrame) -> DataFrame:
+    return signed.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "zipped")
 
 
 def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -117,21 +131,6 @@ def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _squeezed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Texts compressed, so that a shuffle of them moves a third of the bytes."""
-
-    def run(buf, offsets):
-        import pyarrow as pa
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        data = buf.tobytes()
-        return [pa.array([squeeze(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())]
-
-    ids = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-    return map_texts(ids.where(F.col("id").isNotNull()), "text", "zipped binary", run, ["id"])
-
-
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (hub, doc) whose sets are similar enough."""
     many = pairs.groupBy("hub").count()
@@ -185,36 +184,34 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) ->
     """Pairs (hub, doc) of different components with a rare shingle in common, the hub being
     outside the main component of some bucket."""
     docs = open_.groupBy("doc").agg(
-        F.first("n").alias("n"), F.first("component").alias("component"),
+        F.first("component").alias("component"),
         F.max(F.col("component") != F.col("main")).alias("outside"),
     )
 
-    def run(buf, offsets):
-        import pyarrow as pa
-
-        sets = shingle_sets(buf, offsets, size)
-        return [pa.array([s.view(np.int64) for s in x], pa.list_(pa.int64())) for x in (sets, parities(sets))]
-
-    def unzipped(batches):
+    def run(batches):
         import pyarrow as pa
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                text = pa.array([open_(z) for z in part.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), text], ["doc", "text"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts_ = pa.array([open_(z) for z in part.column(1).to_pylist()], pa.large_binary())
+                sets = [s for _, _, b, o in blocks(texts_) for s in shingle_sets(b, o, size)]
+                both = [pa.array([s.view(np.int64) for s in x], pa.list_(pa.int64())) for x in (sets, parities(sets))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *both], ["doc", "s", "odd"])
 
     found = texts.join(docs.select("doc"), F.col("id") == F.col("doc")).select("doc", "zipped")
-    sets = map_texts(found.mapInArrow(unzipped, "doc bigint, text binary"), "text", "s array<bigint>, odd array<bigint>", run, ["doc"])
-    sets = materialise(sets, "minhash-residue")
-    docs = docs.join(sets.select("doc", "odd").dropDuplicates(["doc"]), "doc")
-    each = sets.select("doc", F.explode("s").alias("s"))
+    sets = found.mapInArrow(run, "doc bigint, s array<bigint>, odd array<bigint>")
+    # an id may come with several texts: ``t`` tells them apart
+    sets = sets.withColumn("n", F.size("s").cast("bigint")).withColumn("t", F.xxhash64("odd", "n"))
+    sets = materialise(sets.dropDuplicates(["doc", "t"]), "minhash-residue")
+    each = sets.select("doc", "t", "n", F.explode("s").alias("s"))
     often = each.groupBy("s").count()
-    rank = Window.partitionBy("doc").orderBy("count", "s")
-    rare = each.join(often, "s").join(docs, "doc").withColumn("place", F.row_number().over(rank))
+    rank = Window.partitionBy("doc", "t").orderBy("count", "s")
+    rare = each.join(often, "s").withColumn("place", F.row_number().over(rank))
     rare = rare.where(f"place <= n - ceil(n * {percent} / 100) + 1 AND count > 1")
+    rare = rare.join(sets.select("doc", "t", "odd"), ["doc", "t"]).join(docs, "doc")
     rare = materialise(rare.select("s", "doc", "n", "component", "outside", "place", "odd"), "minhash-rare")
     hubs = rare.where("outside").select(
         "s", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("c"), F.col("place").alias("hub_place"),
@@ -250,7 +247,7 @@ def near_duplicates(
     order = F.struct("degree", F.xxhash64("doc"))
     ranked = met.join(degree, "doc")
     hubs = ranked.groupBy("key").agg(F.max_by("doc", order).alias("hub"), F.max_by("n", order).alias("hub_n"))
-    texts = _squeezed(docs, id_column, text_column)
+    texts = _texts(signed)
     close = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n) AND doc != hub"
     low, high = F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc")
 

@@ -136,7 +136,7 @@ def test_rare_pairs_cover_every_link(docs, texts):
     known = [i for i in range(len(s)) if s[i]]
     rows = [(1, i, len(s[i]), i, -1) for i in known]
     open_ = docs.sparkSession.createDataFrame(rows, "key int, doc bigint, n bigint, component bigint, main bigint")
-    pairs = minhash._rare_pairs(open_, minhash._squeezed(docs, "doc_id", "text"), 4, 80)
+    pairs = minhash._rare_pairs(open_, minhash._texts(minhash._signed(docs, 4, "doc_id", "text")), 4, 80)
     got = {(min(r), max(r)) for r in pairs.select("hub", "doc").collect()}
     for a, b in combinations(known, 2):
         if s[a] != s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
