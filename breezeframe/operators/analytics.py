@@ -244,44 +244,58 @@ def erfc(x: Column) -> Column:
 def pacf(df: DataFrame, col: str, max_lag: int = 40, keys: Sequence[str] = KEYS) -> DataFrame:
     """Partial autocorrelation by least squares with intercept, lags 0..min(max_lag, n // 4).
 
-    The fit of lag k uses every row that has k predecessors. Spark forms the Gram matrix of
-    the rows that have all ``max_lag``; the few rows before them travel as values. What
-    reaches Python per key is that one row, whose leading blocks are solved there.
+    The fit of lag k uses every row that has k predecessors. Every sum of products such a fit
+    needs is a sum over one lag, less a few products at either end of the series. So Spark adds up
+    ``max_lag + 1`` lag products and keeps the first and last ``max_lag`` values; what reaches
+    Python per key is that one row.
     """
     known = df.select(*keys, TIME, SEQ, col).filter(F.col(col).isNotNull())
     mean = known.groupBy(*keys).agg(F.avg(col).alias("_mu"))
     x0 = known.join(mean, list(keys)).withColumn("_x0", F.col(col) - F.col("_mu"))
-    placed = with_position(x0, keys, "_pos").select(*keys, TIME, SEQ, "_x0", "_pos")
+    placed = with_position(x0, keys, "_pos", total="_all").select(*keys, TIME, SEQ, "_x0", "_pos", "_all")
     lagged = shift(placed, {f"_x{k}": ("_x0", k) for k in range(1, max_lag + 1)}, keys, pos="_pos")
-    names = [f"_x{k}" for k in range(max_lag + 1)]
-    upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    full = F.col("_pos") > max_lag
-    early = F.when(~full, F.struct("_pos", "_x0"))
-    gram = lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.coalesce(F.sum(F.when(full, F.col(c))), F.lit(0.0)) for c in names]).alias("sums"),
-        F.array(*[
-            F.coalesce(F.sum(F.when(full, F.col(names[i]) * F.col(names[j]))), F.lit(0.0)) for i, j in upper
-        ]).alias("products"),
+
+    def end(inside) -> Column:
         # at most max_lag values
-        F.transform(F.sort_array(F.collect_list(early)), lambda e: e["_x0"]).alias("head"),
+        kept = F.collect_list(F.when(inside, F.struct("_pos", "_x0")))
+        return F.transform(F.sort_array(kept), lambda e: e["_x0"])
+
+    sums = lagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_x0").alias("total"),
+        F.array(*[F.coalesce(F.sum(F.col("_x0") * F.col(f"_x{k}")), F.lit(0.0)) for k in range(max_lag + 1)]).alias("products"),
+        end(F.col("_pos") <= max_lag).alias("head"), end(F.col("_pos") > F.col("_all") - max_lag).alias("tail"),
     )
 
     @F.pandas_udf("array<double>")
-    def solve(n: pd.Series, sums: pd.Series, products: pd.Series, head: pd.Series) -> pd.Series:
-        return pd.Series([_partials(*row, upper, max_lag) for row in zip(n, sums, products, head)])
+    def solve(n: pd.Series, total: pd.Series, products: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
+        return pd.Series([_partials(*row, max_lag) for row in zip(n, total, products, head, tail)])
 
-    solved = gram.select(*keys, F.col("n").alias("_n"), F.posexplode(solve("n", "sums", "products", "head")).alias("lag", "r"))
+    partials = F.posexplode(solve("n", "total", "products", "head", "tail")).alias("lag", "r")
+    solved = sums.select(*keys, F.col("n").alias("_n"), partials)
     return solved.filter(F.col("lag") <= F.floor(F.col("_n") / 4)).drop("_n")
 
 
-def _partials(n, sums, products, head, upper, max_lag) -> list[float]:
+def _gram(n, total, products, head, tail, m) -> np.ndarray:
+    """Sums of products of x[t-i] and x[t-j] over the rows t that have ``m`` predecessors, and in
+    the last row and column the plain sums."""
+    g = np.zeros((m + 2, m + 2))
+    if n <= m:
+        return g
+    head, tail = np.asarray(head, float), np.asarray(tail, float)
+    for i in range(m + 1):
+        for j in range(i, m + 1):
+            d = j - i
+            first = head[d : m - i] @ head[: m - i - d] if m - i > d else 0.0
+            last = tail[m - i :] @ tail[m - i - d : m - d] if i else 0.0
+            g[i, j] = g[j, i] = products[d] - first - last
+        g[i, -1] = g[-1, i] = total - head[: m - i].sum() - tail[m - i :].sum()
+    g[-1, -1] = n - m
+    return g
+
+
+def _partials(n, total, products, head, tail, max_lag) -> list[float]:
     """Last coefficient of each regression on k = 1..max_lag lags, from sums of products."""
-    g = np.zeros((max_lag + 2, max_lag + 2))  # last row and column: the intercept
-    for (i, j), v in zip(upper, products):
-        g[i, j] = g[j, i] = v
-    g[-1, :-1] = g[:-1, -1] = sums
-    g[-1, -1] = max(n - max_lag, 0)
+    g = _gram(n, total, products, head, tail, max_lag)
     out = [1.0]
     for k in range(1, max_lag + 1):
         use = [*range(k + 1), max_lag + 1]
