@@ -361,7 +361,7 @@ _TEMPLATE_BASES = ["temperature_scaled", "hour_sin", "nh3_scaled", "pm2_5"]
     f"WITH {READINGS} SELECT station, seq, strftime(time + INTERVAL 5 HOUR, '%b %d, %H:%M') AS local_time FROM readings",
 )
 def f23(spark, sf):
-    return readings(spark, sf).select(*KEY, X.local_label(F.col("time")).alias("local_time"))
+    return readings(spark, sf).select(*KEY, X.local_label(F.col("time"), "Asia/Karachi").alias("local_time"))
 
 
 @query(

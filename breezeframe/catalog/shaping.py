@@ -35,10 +35,10 @@ def p2(spark, sf):
 
 @query(
     "p3_with_location",
-    f"WITH {READINGS} SELECT station, seq, 'Multan' AS city, 30.1575::DOUBLE AS latitude, 71.5249::DOUBLE AS longitude FROM readings",
+    f"WITH {READINGS} SELECT station, seq, 'Somewhere' AS city, 12.25::DOUBLE AS latitude, 34.5::DOUBLE AS longitude FROM readings",
 )
 def p3(spark, sf):
-    return S.with_location(readings(spark, sf).select(*KEY), "Multan", 30.1575, 71.5249)
+    return S.with_location(readings(spark, sf).select(*KEY), "Somewhere", 12.25, 34.5)
 
 
 @query(
@@ -54,7 +54,7 @@ def p4(spark, sf):
 
 @query("p5_drop_static", f"WITH {READINGS} SELECT station, seq, pm2_5 FROM readings")
 def p5(spark, sf):
-    r = S.with_location(readings(spark, sf).select(*KEY, "time", "pm2_5"), "Multan", 30.1575, 71.5249)
+    r = S.with_location(readings(spark, sf).select(*KEY, "time", "pm2_5"), "Somewhere", 12.25, 34.5)
     r = r.withColumns({"hour": F.hour("time"), "iqair_aqi": F.lit(1), "abs_deviation": F.lit(2)})
     return S.drop_static(r).drop("time")
 

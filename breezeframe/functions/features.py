@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from breezeframe.schema import (
     BASE_INTERACTIONS,
     COMPASS,
+    DAY_HOURS,
     EXTRA_INTERACTIONS,
     POWERS,
+    SEASON_MONTHS,
     SEQ,
     THRESHOLDS,
     TIME,
+    WIND_HIGH_PM,
+    WIND_LOW_PM,
 )
 
 TAU = 2 * math.pi
@@ -52,16 +56,11 @@ def cyclic_time(df: DataFrame, time: str = TIME, mode: str = "observed") -> Data
 
 
 def time_flags(df: DataFrame, time: str = TIME) -> DataFrame:
-    hour, month = F.hour(time), F.month(time)
-    return df.withColumns({
-        "is_spring": flag(month.between(3, 5)),
-        "is_summer": flag(month.between(6, 8)),
-        "is_autumn": flag(month.between(9, 11)),
-        "is_winter": flag(month.isin(12, 1, 2)),
-        "is_night": flag((hour >= 22) | (hour <= 6)),
-        "is_morning_rush": flag(hour.between(7, 9)),
-        "is_evening_rush": flag(hour.between(17, 19)),
-    })
+    def within(c: Column, first: int, last: int) -> Column:
+        return c.between(first, last) if first <= last else (c >= first) | (c <= last)
+
+    spans = [(F.month(time), SEASON_MONTHS), (F.hour(time), DAY_HOURS)]
+    return df.withColumns({name: flag(within(c, *span)) for c, table in spans for name, span in table.items()})
 
 
 def time_key(time: str | Column = TIME) -> Column:
@@ -82,7 +81,7 @@ def hour_keys(df: DataFrame, anchor: str, n: int, forward: bool = True) -> DataF
     return df.withColumn("key_time", F.explode(keys)).withColumn("time_str", time_key("key_time"))
 
 
-def local_label(time: Column, zone: str = "Asia/Karachi", pattern: str = "MMM dd, HH:mm") -> Column:
+def local_label(time: Column, zone: str, pattern: str = "MMM dd, HH:mm") -> Column:
     return F.date_format(F.from_utc_timestamp(time, zone), pattern)
 
 
@@ -145,8 +144,8 @@ def wind_vector(df: DataFrame, degrees: str = "wind_direction") -> DataFrame:
 def wind_source_flags(df: DataFrame) -> DataFrame:
     s, c = F.col("wind_direction_sin"), F.col("wind_direction_cos")
     return df.withColumns({
-        "is_wind_from_high_pm": flag((s > 0.5) | ((s > 0.3) & (c > 0.3))),
-        "is_wind_from_low_pm": flag((s < -0.5) | (c < -0.5)),
+        "is_wind_from_high_pm": flag((s > WIND_HIGH_PM[0]) | ((s > WIND_HIGH_PM[1]) & (c > WIND_HIGH_PM[1]))),
+        "is_wind_from_low_pm": flag((s < WIND_LOW_PM) | (c < WIND_LOW_PM)),
     })
 
 

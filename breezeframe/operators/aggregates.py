@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from breezeframe.functions.features import tiered
 from breezeframe.operators.layout import US_PER_HOUR, carried
 from breezeframe.operators.quantiles import exact_quantiles, wide_quantiles
-from breezeframe.schema import KEYS, TIME
+from breezeframe.schema import CONTRAST_LABELS, KEYS, TIME
 
 
 def per_column(
@@ -322,15 +322,8 @@ def contrast_means(df: DataFrame, marked: str, cols: Sequence[str], keys: Sequen
         keys,
     )
     d = F.col("inside") - F.col("outside")
-    # reading below -limit, within it, above it
-    readings = {
-        "wind_speed": (1.0, "Calm air", "Windy"),
-        "humidity": (10.0, "Dry", "Humid"),
-        "temperature": (2.0, "Cool", "Hot"),
-        "pressure": (2.0, "Low", "High"),
-    }
     label = F.when(F.abs(d) > F.abs(F.col("outside")) * 0.1, "Different").otherwise("Similar")
-    for c, (limit, low, high) in readings.items():
+    for c, (limit, low, high) in CONTRAST_LABELS.items():
         text = F.when(d < -limit, low).when(F.abs(d) < limit, "Normal").otherwise(high)
         label = F.when(F.col("column") == c, text).otherwise(label)
     return t.withColumn("difference", d).withColumn("label", F.when(d.isNotNull(), label))

@@ -143,6 +143,19 @@ TREE_EXOG_INTERACTIONS = [
     "wind_direction_temp_interaction", "wind_direction_humidity_interaction",
     "pressure_humidity_interaction",
 ]
+# months and hours (first, last) of the calendar flags; winter and night run over the end
+SEASON_MONTHS = {"is_spring": (3, 5), "is_summer": (6, 8), "is_autumn": (9, 11), "is_winter": (12, 2)}
+DAY_HOURS = {"is_night": (22, 6), "is_morning_rush": (7, 9), "is_evening_rush": (17, 19)}
+# sine and cosine of the wind direction: beyond the first alone, or both beyond the second
+WIND_HIGH_PM = (0.5, 0.3)
+WIND_LOW_PM = -0.5
+# contrast of means: limit of the difference, label below it, label above it
+CONTRAST_LABELS = {
+    "wind_speed": (1.0, "Calm air", "Windy"),
+    "humidity": (10.0, "Dry", "Humid"),
+    "temperature": (2.0, "Cool", "Hot"),
+    "pressure": (2.0, "Low", "High"),
+}
 # mean of a target beyond which its scale is doubtful
 TARGET_MEAN_LIMITS = {"pm2_5": 100.0, "pm10": 200.0}
 # end of these fixed values -------------------------------------------------------------
