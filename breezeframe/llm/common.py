@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from breezeframe.session import materialise, scratch_path  # noqa: F401
 
 BLOCK_BYTES, BLOCK_ROWS = 1 << 18, 512
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
@@ -34,6 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
+    """:func:`materialise` of rows that carry whole texts through Python: for as long as the write
+    takes, an Arrow batch holds no more than ``batch_rows`` of them. The session gets its setting
+    back."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_ROWS)
+    conf.set(BATCH_ROWS, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(BATCH_ROWS, before)
+
+
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

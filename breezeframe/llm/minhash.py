@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breezeframe.llm.common import SPACES, U64, blocks, map_texts, materialise, mix, random_words, word_hashes
+from breezeframe.llm.common import SPACES, U64, blocks, map_texts, materialise, mix, random_words, word_hashes, written
 from breezeframe.llm.graph import components
 
 COLLECTIONS, PER_COLLECTION = 12, 2
@@ -205,7 +205,7 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) ->
     sets = found.mapInArrow(run, "doc bigint, s array<bigint>, odd array<bigint>")
     # an id may come with several texts: ``t`` tells them apart
     sets = sets.withColumn("n", F.size("s").cast("bigint")).withColumn("t", F.xxhash64("odd", "n"))
-    sets = materialise(sets.dropDuplicates(["doc", "t"]), "minhash-residue")
+    sets = written(sets.dropDuplicates(["doc", "t"]), "minhash-residue")
     each = sets.select("doc", "t", "n", F.explode("s").alias("s"))
     often = each.groupBy("s").count()
     rank = Window.partitionBy("doc", "t").orderBy("count", "s")
@@ -232,7 +232,7 @@ def near_duplicates(
     text_column: str = "text",
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
-    signed = materialise(_signed(docs, size, id_column, text_column), "minhash-sets")
+    signed = written(_signed(docs, size, id_column, text_column), "minhash-sets")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     least = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = materialise(full.join(least, ["s1", "s2", "n"]).select("doc_id", "n", "rep", "keys"), "minhash-classes")
@@ -255,7 +255,7 @@ def near_duplicates(
         pairs = materialise(pairs, f"minhash-pairs-{number}")
         if pairs.isEmpty():
             return pairs, None
-        return pairs, materialise(_confirm(pairs, texts, size, percent), f"minhash-links-{number}")
+        return pairs, written(_confirm(pairs, texts, size, percent), f"minhash-links-{number}")
 
     tested, links = confirmed(met.join(hubs, "key").where(close).select(low, high).distinct(), 1)
     linked = components(links, "hub", "doc") if links is not None else None
