@@ -11,9 +11,10 @@ work on pieces plus one small carry row per piece, see ``carried`` and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breezeframe.schema import KEYS, SEQ, TIME
@@ -22,6 +23,8 @@ US_PER_HOUR = 3_600_000_000
 CHUNK_HOURS = 168
 CARRY_BUCKET_HOURS = 6
 POSITION_WIDTH = 50_000
+#: rows, copies included, that one task of a shuffle is meant to sort
+TASK_ROWS = 300_000
 
 PIECE = "_piece"
 CORE = "_core"
@@ -39,6 +42,11 @@ def floor_div(axis: Column, width: int) -> Column:
     return F.call_function("div", axis - F.pmod(axis, w), w)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks to deal so many rows to: one for each ``TASK_ROWS``, and no idle cores."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
 def halo(
     df: DataFrame, axis: Column, back: int, ahead: int = 0, width: int = CHUNK_HOURS * US_PER_HOUR
 ) -> DataFrame:

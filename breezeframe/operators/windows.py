@@ -1,13 +1,15 @@
 """Time-tolerant lags, time-range statistics, change rates, fills and row shifts.
 
 No frame here is re-scanned per row: lags read frames that only grow, and range
-statistics are put together from running block aggregates, so the cost does not depend
+statistics are put together from running bucket aggregates, so the cost does not depend
 on how many readings fall into a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +23,10 @@ from breezeframe.operators.layout import (
     carried,
     core,
     floor_div,
-    pick_chunk_hours,
+    micros,
     piece_window,
     position_halo,
-    time_halo,
+    tasks_for,
     with_position,
 )
 from breezeframe.schema import (
@@ -41,6 +43,7 @@ from breezeframe.schema import (
     TARGETS,
     TIME,
 )
+from breezeframe.session import materialise
 
 
 class Lag(NamedTuple):
@@ -101,79 +104,16 @@ def target_changes(targets: Sequence[str] = TARGETS) -> list[Change]:
     return [Change(f"{t}_change_rate_{h}h", t, h) for t in targets for h in CHANGE_HOURS]
 
 
-# --- tolerant as-of lag --------------------------------------------------------------
+# --- lags and range statistics -------------------------------------------------------
 
 
-#: negated microseconds: frames that grow against time are frames of this column, and all of
-#: them, lags and range statistics alike, share its sort
-AGAINST = "_nus"
-
-
-def _spec(keys: Sequence[str], order: str, frame: str) -> str:
-    part = ", ".join([*keys, PIECE])
-    return f"OVER (PARTITION BY {part} ORDER BY {order} RANGE BETWEEN UNBOUNDED PRECEDING AND {frame})"
-
-
-def _against(df: DataFrame) -> DataFrame:
-    return df if AGAINST in df.columns else df.withColumn(AGAINST, -F.col(US))
-
-
-def _nearest(df: DataFrame, pairs: dict[tuple[int, int], list[str]], keys, seq) -> DataFrame:
-    """Add ``_at_<h>_<tol>``: struct of the row nearest to ``hours`` ago, null if none is close.
-
-    The row before the target closes a frame growing with time, the row after it closes a
-    frame growing against time; among equal timestamps the first stored one stands for all.
-    """
-    frames, picks = [], []
-    for (hours, tol), cols in pairs.items():
-        lag, reach = hours * US_PER_HOUR, tol * 60_000_000
-        b, a = f"_b_{hours}_{tol}", f"_a_{hours}_{tol}"
-        payload = ", ".join(f"'{c}', {c}" for c in cols)
-        frames += [
-            f"max(named_struct('us', {US}, 's', -{seq}, {payload})) "
-            f"{_spec(keys, US, f'{lag} PRECEDING')} AS {b}",
-            f"min(named_struct('us', {US}, 's', {seq}, {payload})) "
-            f"{_spec(keys, AGAINST, f'{lag} FOLLOWING')} AS {a}",
-        ]
-        behind, ahead = f"{US} - {lag} - {b}.us", f"{a}.us - ({US} - {lag})"
-        side = lambda x: "named_struct(" + ", ".join(f"'{c}', {x}.{c}" for c in cols) + ")"
-        picks.append(
-            f"CASE WHEN {behind} <= {reach} AND ({a} IS NULL OR {behind} <= {ahead}) THEN {side(b)} "
-            f"WHEN {ahead} <= {reach} THEN {side(a)} END AS _at_{hours}_{tol}"
-        )
-    base = df.columns
-    return df.selectExpr("*", *frames).selectExpr(*base, *picks)
-
-
-def add_lags(
-    df: DataFrame,
-    lags: Iterable[Lag],
-    changes: Iterable[Change] = (),
-    keys: Sequence[str] = KEYS,
-    seq: str = SEQ,
-) -> DataFrame:
-    """Lags and change rates on a halo frame (see ``time_halo``)."""
-    lags, changes = list(lags), list(changes)
-    probes = [Lag(c.name, c.column, c.hours) for c in changes]
-    pairs: dict[tuple[int, int], list[str]] = {}
-    for spec in [*lags, *probes]:
-        cols = pairs.setdefault((spec.hours, spec.tolerance), [])
-        if spec.column not in cols:
-            cols.append(spec.column)
-    if not pairs:
-        return df
-    base = [c for c in df.columns if c != AGAINST]
-    near = _nearest(_against(df), pairs, keys, seq)
-
-    def at(spec: Lag) -> Column:
-        return F.col(f"_at_{spec.hours}_{spec.tolerance}.{spec.column}")
-
-    return near.select(
-        *base,
-        *[at(s).alias(s.name) for s in lags],
-        *[relative_change(F.col(p.column), at(p)).alias(p.name) for p in probes],
-    )
-
+#: buckets an hour may be cut into, and the rows, copies included, one is meant to hold: few
+#: enough that those a task is dealt by chance differ little in sum
+SPLITS = (1, 2, 4, 6, 12, 30, 60, 300, 3600)
+BUCKET_ROWS = 20_000
+#: how far a copy is moved in hours; null for the row itself
+MOVED = "_d"
+AXIS, AGAINST = "_x", "_nx"
 
 def relative_change(now: Column, before: Column) -> Column:
     """(now - before) / before; null where either is missing or ``before`` is zero."""
@@ -196,120 +136,235 @@ def window_features(
     time: str = TIME,
     seq: str = SEQ,
     chunk_hours: float | str = CHUNK_HOURS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """All lags, range statistics and change rates behind a single shuffle.
+    """All lags, range statistics and change rates behind a single shuffle of the rows.
 
-    ``chunk_hours="auto"`` measures the densest station-day first and cuts accordingly.
+    A series is cut into buckets of an hour, or less where it is dense or ``chunk_hours`` says so
+    (``auto``: by density alone). A row goes to its own bucket and, moved by each lag and each window's width, to the bucket where it is
+    looked back at; it is sorted there once along time and once against it, whatever the number
+    of features. What lies further off comes from a table with one row per key and bucket (see
+    ``_surroundings``), which is written when this is called. So a task holds few rows, however
+    far the features reach and however dense a series is.
+
+    ``source`` may hold the same rows in a form that is cheaper to read twice.
     """
     lags, rolls, changes = list(lags), list(rolls), list(changes)
-    back, ahead = reach_of(lags, rolls, changes)
-    if chunk_hours == "auto":
-        chunk_hours = pick_chunk_hours(df, back + ahead, keys, time)
-    # block windows cluster on more columns than piece windows: without this the planner
-    # would shuffle for each kind
-    cut = time_halo(df, back, ahead, chunk_hours, time).repartition(*keys, PIECE)
-    return core(add_lags(add_rolling(cut, rolls, keys), lags, changes, keys, seq))
+    probes = [Lag(c.name, c.column, c.hours) for c in changes]
+    pairs: dict[tuple[int, int], list[str]] = {}
+    for spec in [*lags, *probes]:
+        cols = pairs.setdefault((spec.hours, spec.tolerance), [])
+        if spec.column not in cols:
+            cols.append(spec.column)
+    if not pairs and not rolls:
+        return df
+    used = list(dict.fromkeys([*(c for cols in pairs.values() for c in cols), *(r.column for r in rolls)]))
+    parts: dict[int, list[tuple[str, str]]] = {}
+    for r in rolls:
+        mine = parts.setdefault(r.hours, [])
+        mine += [(r.column, p) for p in _PARTS[r.stat] if (r.column, p) not in mine]
+
+    def narrow(rows: DataFrame, *more: Column) -> DataFrame:
+        place = [F.col(seq).alias("_seq")] if pairs else []
+        values = [F.col(c).alias(f"_v_{c}") for c in used]
+        return rows.where(F.col(time).isNotNull()).select(*keys, micros(time).alias(US), *place, *values, *more)
+
+    slim = narrow(df if source is None else source)
+    moves = sorted({h for h, _ in pairs} | set(parts))
+    n_rows, densest = _measured(slim, keys)
+    least = 1 if chunk_hours == "auto" else 1 / chunk_hours
+    per_hour = next((n for n in SPLITS if n >= least and densest * (1 + len(moves)) <= n * BUCKET_ROWS), SPLITS[-1])
+    width = US_PER_HOUR // per_hour
+    around = _surroundings(slim, pairs, parts, keys, per_hour, width, tasks_for(df.sparkSession, n_rows))
+
+    copies = F.array(F.lit(None).cast("int"), *[F.lit(h) for h in moves])
+    events = (
+        narrow(df, F.struct(*df.columns).alias("_row"))
+        .withColumn(MOVED, F.explode(copies))
+        .withColumn("_row", F.when(F.col(MOVED).isNull(), F.col("_row")))
+        .withColumn(AXIS, F.col(US) + F.coalesce(F.col(MOVED), F.lit(0)).cast("bigint") * US_PER_HOUR)
+        .withColumn(AGAINST, -F.col(AXIS))
+        .withColumn(PIECE, floor_div(F.col(AXIS), width))
+        .repartition(tasks_for(df.sparkSession, n_rows * (1 + len(moves))), *keys, PIECE)
+    )
+    near = _against_time(_along_time(events, pairs, parts, keys), pairs, parts, keys)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    whole = near.alias("a").join(around.alias("b"), reduce(and_, same, F.col(f"a.{PIECE}") == F.col(f"b.{PIECE}")), "left")
+    whole = whole.select("a.*", *[f"b.{c}" for c in around.columns if c not in {*keys, PIECE}])
+    whole = _picked(_reached(whole, parts), pairs)
+
+    def at(spec: Lag) -> Column:
+        return F.col(f"_at_{spec.hours}_{spec.tolerance}._v_{spec.column}")
+
+    return whole.select(
+        *[F.col("_row")[c].alias(c) for c in df.columns],
+        *[
+            F.expr(f"CASE WHEN _h_rows + _w{r.hours}_rows >= 2 THEN {_merged(r.column, r.stat, r.hours)} END").alias(r.name)
+            for r in rolls
+        ],
+        *[at(s).alias(s.name) for s in lags],
+        *[relative_change(F.col("_row")[p.column], at(p)).alias(p.name) for p in probes],
+    )
 
 
 def asof_lag(df: DataFrame, column: str, hours: int, tolerance_minutes: int, name: str, **kw):
     return window_features(df, lags=[Lag(name, column, hours, tolerance_minutes)], **kw)
 
 
-# --- range statistics ----------------------------------------------------------------
-
 _PARTS = {"mean": ("n", "m"), "std": ("n", "m", "v"), "min": ("lo",), "max": ("hi",)}
 _AGGREGATES = {"n": "count", "m": "avg", "v": "var_pop", "lo": "min", "hi": "max"}
 
 
-def add_rolling(df: DataFrame, rolls: Iterable[Rolling], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Range statistics on a halo frame.
+def _measured(slim: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """How many rows there are, and in the densest hour of a key."""
+    hourly = slim.groupBy(*keys, floor_div(F.col(US), US_PER_HOUR)).agg(F.count(F.lit(1)).alias("n"))
+    found = hourly.agg(F.sum("n").alias("rows"), F.max("n").alias("densest")).first()
+    return found["rows"] or 0, found["densest"] or 0
+
+
+def _stored(cols: Sequence[str], first: bool) -> str:
+    """Ordered by time; among equal timestamps the first stored row stands for all, whether the
+    least (``first``) or the greatest is taken."""
+    return f"named_struct('us', {US}, 's', {'' if first else '-'}_seq, " + ", ".join(f"'_v_{c}', _v_{c}" for c in cols) + ")"
+
 
-    For a window of H hours time is cut into blocks of H hours. The window ending at a
-    row covers the head of the row's own block and the tail of the block before it. Head
-    and tail are running aggregates, the tail being read at the first row inside the
-    window; the two are then merged. Null below two rows (null readings count as rows).
+def _bound(rows: int) -> str:
+    return f"{rows}L FOLLOWING" if rows > 0 else f"{-rows}L PRECEDING" if rows else "CURRENT ROW"
 
-    Blocks whose widths divide one another nest, and rows in the order of all their numbers
-    are in the order every one of them needs. So however many widths a chain of divisors has,
-    it takes three sorts: heads along time, tails against it, and the readings of the tails.
+
+def _every(parts: dict[int, list[tuple[str, str]]]) -> list[tuple[str, str]]:
+    return list(dict.fromkeys(x for some in parts.values() for x in some))
+
+
+def _surroundings(slim: DataFrame, pairs, parts, keys, per_hour: int, width: int, tasks: int) -> DataFrame:
+    """What the rows of a bucket need of other buckets, one row per key and bucket.
+
+    For a window of H hours: the statistics of the buckets that lie in it whole, whichever row
+    of the bucket it ends at, without the bucket itself. For a lag: the last row before the
+    moved bucket and the first one after it. Only this table is ordered over a whole series.
     """
-    by_hours: dict[int, list[Rolling]] = {}
-    for r in rolls:
-        by_hours.setdefault(r.hours, []).append(r)
-    for chain in _chains(by_hours):
-        df = _nested_windows(df, chain, by_hours, keys)
-    return df
-
-
-def _chains(hours: Iterable[int]) -> list[list[int]]:
-    """Widths, wide to narrow, in as few lists as a greedy pass finds in which each divides the
-    one before it."""
-    chains: list[list[int]] = []
-    for h in sorted(hours, reverse=True):
-        home = next((c for c in chains if c[-1] % h == 0), None)
-        if home is None:
-            chains.append([h])
-        else:
-            home.append(h)
-    return chains
-
-
-def _nested_windows(df: DataFrame, chain: list[int], by_hours: dict[int, list[Rolling]], keys) -> DataFrame:
-    base = df.columns
-    parts = {h: list(dict.fromkeys((r.column, p) for r in by_hours[h] for p in _PARTS[r.stat])) for h in chain}
-    blocks = {h: floor_div(F.col(US), h * US_PER_HOUR) for h in chain}
-    df = _against(df).withColumns({f"_b{h}": b for h, b in blocks.items()})
-    df = df.withColumns({f"_n{h}": -F.col(f"_b{h}") for h in chain})
-
-    def running(side: str, mark: str, axis: str) -> list[str]:
-        out = []
-        for i, h in enumerate(chain):
-            outer = ", ".join([*keys, PIECE, *(f"{mark}{x}" for x in chain[: i + 1])])
-            inner = ", ".join([*(f"{mark}{x}" for x in chain[i + 1 :]), axis])
-            frame = f"OVER (PARTITION BY {outer} ORDER BY {inner} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-            out.append(f"count(1) {frame} AS _{side}{h}_rows")
-            out += [f"{_AGGREGATES[p]}({c}) {frame} AS _{side}{h}_{p}_{c}" for c, p in parts[h]]
-        return out
-
-    df = df.selectExpr("*", *running("h", "_b", US))
-    df = df.selectExpr("*", *running("s", "_n", AGAINST))
-    heads = [c for c in df.columns if not any(c.startswith(f"_s{h}_") for h in chain)]
-    tails = []
-    for h in chain:
-        held = ", ".join(
-            [f"'block', _b{h}", f"'rows', _s{h}_rows"] + [f"'{p}_{c}', _s{h}_{p}_{c}" for c, p in parts[h]]
-        )
-        tails.append(f"last(named_struct({held})) {_spec(keys, AGAINST, f'{h * US_PER_HOUR} FOLLOWING')} AS _tail{h}")
-    df = df.selectExpr(*heads, *tails)
-    # the first row inside the window may already lie in the row's own block
-    cut = []
-    for h in chain:
-        before = f"_tail{h}.block < _b{h}"
-        cut.append(f"CASE WHEN {before} THEN _tail{h}.rows ELSE 0 END AS _t{h}_rows")
-        cut += [f"CASE WHEN {before} THEN _tail{h}.{p}_{c} END AS _t{h}_{p}_{c}" for c, p in parts[h]]
-    df = df.selectExpr(*heads, *cut)
-    return df.selectExpr(
-        *base,
-        *([AGAINST] if AGAINST not in base else []),
-        *[
-            f"CASE WHEN _h{h}_rows + _t{h}_rows >= 2 THEN {_merged(r.column, r.stat, h)} END AS {r.name}"
-            for h in chain for r in by_hours[h]
-        ],
+    slim = slim.withColumn(PIECE, floor_div(F.col(US), width))
+    if pairs:  # rows are compared whole, which takes a sort: over tasks of a bounded size
+        slim = slim.repartition(tasks, *keys, PIECE)
+    ends = [x for i, cols in enumerate(pairs.values()) for x in (
+        F.expr(f"max({_stored(cols, False)})").alias(f"_last{i}"), F.expr(f"min({_stored(cols, True)})").alias(f"_first{i}"))]
+    per = slim.groupBy(*keys, PIECE).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.expr(f"{_AGGREGATES[p]}(_v_{c})").alias(f"_{p}_{c}") for c, p in _every(parts)],
+        *ends,
     )
+    part, out, folds = ", ".join(keys), [*keys, PIECE], []
+    for h, some in parts.items():
+        full = h * per_hour - 1
+        frame = f"OVER (PARTITION BY {part} ORDER BY {PIECE} RANGE BETWEEN {full}L PRECEDING AND 1L PRECEDING)"
+        out.append(f"sum(_rows) {frame} AS _m{h}_rows" if full else f"0L AS _m{h}_rows")
+        for c, p in some:
+            if p in ("lo", "hi"):
+                out.append(f"{_AGGREGATES[p]}(_{p}_{c}) {frame} AS _m{h}_{p}_{c}" if full else f"CAST(NULL AS DOUBLE) AS _m{h}_{p}_{c}")
+            elif p == "n":
+                spread = f"_v_{c} * _n_{c}" if (c, "v") in some else "0D"
+                one = f"named_struct('n', _n_{c}, 'm', coalesce(CAST(_m_{c} AS DOUBLE), 0D), 's', coalesce({spread}, 0D))"
+                out.append(f"collect_list({one}) {frame} AS _m{h}_{c}" if full else f"slice(array({one}), 1, 0) AS _m{h}_{c}")
+                folds.append(f"_m{h}_{c}")
+    for i, (h, _) in enumerate(pairs):
+        out.append(f"max(_last{i}) OVER (PARTITION BY {part} ORDER BY {PIECE} "
+                   f"RANGE BETWEEN UNBOUNDED PRECEDING AND {_bound(-h * per_hour - 1)}) AS _last_{i}")
+        out.append(f"min(_first{i}) OVER (PARTITION BY {part} ORDER BY _back "
+                   f"RANGE BETWEEN UNBOUNDED PRECEDING AND {_bound(h * per_hour - 1)}) AS _first_{i}")
+    found = per.withColumn("_back", -F.col(PIECE)).selectExpr(*out)
+    folded = {
+        f: F.expr(
+            f"aggregate({f}, named_struct('n', 0L, 'm', 0D, 's', 0D), (a, b) -> CASE WHEN b.n = 0 THEN a WHEN a.n = 0 THEN b "
+            "ELSE named_struct('n', a.n + b.n, 'm', (a.m * a.n + b.m * b.n) / (a.n + b.n), "
+            "'s', a.s + b.s + (a.m - b.m) * (a.m - b.m) * a.n * b.n / (a.n + b.n)) END)"
+        )
+        for f in folds
+    }
+    return materialise(found.select(*[folded[c].alias(c) if c in folded else F.col(c) for c in found.columns]), "surroundings")
+
+
+def _growing(keys: Sequence[str], order: str) -> str:
+    return f"OVER (PARTITION BY {', '.join([*keys, PIECE])} ORDER BY {order} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _along_time(events: DataFrame, pairs, parts, keys) -> DataFrame:
+    """Per row: statistics of its bucket up to the row, and for each lag the last moved row up to it."""
+    frame, own = _growing(keys, AXIS), f"{MOVED} IS NULL"
+    befores = [
+        f"max(CASE WHEN {MOVED} = {h} THEN {_stored(cols, False)} END) {frame} AS _b{i}"
+        for i, ((h, _), cols) in enumerate(pairs.items())
+    ]
+    heads = [f"count(CASE WHEN {own} THEN 1 END) {frame} AS _h_rows"] if parts else []
+    heads += [f"{_AGGREGATES[p]}(CASE WHEN {own} THEN _v_{c} END) {frame} AS _h_{p}_{c}" for c, p in _every(parts)]
+    known = events.columns
+    # copies are sorted once more, so they leave behind what only rows need
+    held = [f"CASE WHEN {own} THEN _b{i} END AS _b{i}" for i in range(len(pairs))]
+    names = [x.rsplit(" AS ", 1)[1] for x in heads]
+    return events.selectExpr("*", *heads, *befores).selectExpr(*known, *names, *held)
+
+
+def _against_time(events: DataFrame, pairs, parts, keys) -> DataFrame:
+    """Rows only, each with the moved rows from it to the end of its bucket: statistics for each
+    window, the first one for each lag."""
+    frame = _growing(keys, AGAINST)
+    out = []
+    for h, some in parts.items():
+        out.append(f"count(CASE WHEN {MOVED} = {h} THEN 1 END) {frame} AS _t{h}_rows")
+        out += [f"{_AGGREGATES[p]}(CASE WHEN {MOVED} = {h} THEN _v_{c} END) {frame} AS _t{h}_{p}_{c}" for c, p in some]
+    for i, ((h, _), cols) in enumerate(pairs.items()):
+        out.append(f"min(CASE WHEN {MOVED} = {h} THEN {_stored(cols, True)} END) {frame} AS _a{i}")
+    return events.selectExpr("*", *out).where(F.col(MOVED).isNull())
+
+
+def _reached(rows: DataFrame, parts) -> DataFrame:
+    """Per window ``_w<h>_``: the moved rows of the bucket and the whole buckets put together."""
+    out = []
+    for h, some in parts.items():
+        out.append(f"_t{h}_rows + coalesce(_m{h}_rows, 0L) AS _w{h}_rows")
+        for c, p in some:
+            n, m, s = (f"coalesce(_m{h}_{c}.{x}, 0)" for x in "nms")
+            nt, mt = f"_t{h}_n_{c}", f"coalesce(_t{h}_m_{c}, 0D)"
+            total = f"nullif({nt} + {n}, 0)"
+            value = {
+                "lo": f"least(_t{h}_lo_{c}, _m{h}_lo_{c})",
+                "hi": f"greatest(_t{h}_hi_{c}, _m{h}_hi_{c})",
+                "n": f"{nt} + {n}",
+                "m": f"({mt} * {nt} + {m} * {n}) / {total}",
+                "v": f"coalesce(_t{h}_v_{c}, 0D) * {nt} + {s} + coalesce(({mt} - {m}) * ({mt} - {m}) * {nt} * {n} / {total}, 0D)",
+            }[p]
+            out.append(f"{value} AS _w{h}_{p}_{c}")
+    return rows.selectExpr("*", *out)
 
 
 def _merged(c: str, stat: str, h: int) -> str:
     if stat == "min":
-        return f"least(_h{h}_lo_{c}, _t{h}_lo_{c})"
+        return f"least(_h_lo_{c}, _w{h}_lo_{c})"
     if stat == "max":
-        return f"greatest(_h{h}_hi_{c}, _t{h}_hi_{c})"
-    nh, nt = f"_h{h}_n_{c}", f"coalesce(_t{h}_n_{c}, 0)"
-    mh, mt = f"coalesce(_h{h}_m_{c}, 0D)", f"coalesce(_t{h}_m_{c}, 0D)"
+        return f"greatest(_h_hi_{c}, _w{h}_hi_{c})"
+    nh, nw = f"_h_n_{c}", f"_w{h}_n_{c}"
+    mh, mw = f"coalesce(_h_m_{c}, 0D)", f"coalesce(_w{h}_m_{c}, 0D)"
     if stat == "mean":
-        return f"({mh} * {nh} + {mt} * {nt}) / nullif({nh} + {nt}, 0)"
-    between = f"({mh} - {mt}) * ({mh} - {mt}) * {nh} * {nt} / nullif({nh} + {nt}, 0)"
-    within = f"coalesce(_h{h}_v_{c}, 0D) * {nh} + coalesce(_t{h}_v_{c}, 0D) * {nt}"
-    return f"CASE WHEN {nh} + {nt} > 1 THEN sqrt(({within} + {between}) / ({nh} + {nt} - 1)) END"
+        return f"({mh} * {nh} + {mw} * {nw}) / nullif({nh} + {nw}, 0)"
+    between = f"({mh} - {mw}) * ({mh} - {mw}) * {nh} * {nw} / nullif({nh} + {nw}, 0)"
+    within = f"coalesce(_h_v_{c}, 0D) * {nh} + _w{h}_v_{c}"
+    return f"CASE WHEN {nh} + {nw} > 1 THEN sqrt(({within} + {between}) / ({nh} + {nw} - 1)) END"
+
+
+def _picked(rows: DataFrame, pairs) -> DataFrame:
+    """Add ``_at_<h>_<tol>``: struct of the row nearest to ``h`` hours ago, null if none is close;
+    the earlier of two that are equally far."""
+    ends = [x for i in range(len(pairs)) for x in (f"coalesce(_b{i}, _last_{i}) AS _before{i}", f"coalesce(_a{i}, _first_{i}) AS _after{i}")]
+    picks = []
+    for i, ((hours, tol), cols) in enumerate(pairs.items()):
+        lag, reach = hours * US_PER_HOUR, tol * 60_000_000
+        b, a = f"_before{i}", f"_after{i}"
+        behind, ahead = f"{US} - {lag}L - {b}.us", f"{a}.us - ({US} - {lag}L)"
+        side = lambda x: "named_struct(" + ", ".join(f"'_v_{c}', {x}._v_{c}" for c in cols) + ")"
+        picks.append(
+            f"CASE WHEN {behind} <= {reach}L AND ({a} IS NULL OR {behind} <= {ahead}) THEN {side(b)} "
+            f"WHEN {ahead} <= {reach}L THEN {side(a)} END AS _at_{hours}_{tol}"
+        )
+    return rows.selectExpr("*", *ends).selectExpr("*", *picks)
 
 
 # --- row-to-row operators ------------------------------------------------------------

@@ -46,7 +46,8 @@ def engineer_features(
     filled column by column, so a product is filled from the last product, not from filled
     factors. Products added on top of the base set keep their gaps.
 
-    Two shuffles by (station, time piece): one for fills and row changes, one for all windows.
+    Two shuffles of whole rows by (station, time piece): one for fills and row changes, one for all
+    windows.
     """
     want = None if only is None else set(only)
     keep = lambda name: want is None or name in want
@@ -80,6 +81,8 @@ def engineer_features(
         changes=[_on_raw(s) for s in W.target_changes() if have(s)],
         keys=keys,
         chunk_hours=chunk_hours,
+        # what lies around a bucket needs no fills
+        source=src.select(*keys, TIME, SEQ, *[F.col(c).alias(RAW + c) for c in raw]),
     )
     out = X.wind_source_flags(X.wind_vector(out, f"{RAW}wind_direction"))
     pairs = {

@@ -92,6 +92,52 @@ def test_rolling_needs_two_rows_and_counts_null_rows(series):
     assert column(out, "d") == [None, None, None]
 
 
+def _dense(series, n=1500):
+    rng = np.random.default_rng(11)
+    seconds = np.sort(rng.integers(0, 40 * 3600, n)).tolist()
+    at = lambda x: f"2024-01-{1 + x // 86400:02d} {x % 86400 // 3600:02d}:{x % 3600 // 60:02d}:{x % 60:02d}"
+    return seconds, series([("s", at(x), i, float(rng.integers(0, 50)) if i % 5 else None) for i, x in enumerate(seconds)])
+
+
+def _largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_windows_spread_a_dense_series(series, monkeypatch):
+    """One station within one week is many tasks, each of a bounded size."""
+    from breezeframe.operators import layout
+
+    monkeypatch.setattr(layout, "TASK_ROWS", 200, raising=False)
+    monkeypatch.setattr(W, "BUCKET_ROWS", 20, raising=False)
+    _, df = _dense(series)
+    out = W.window_features(df, lags=[W.Lag("l", "v", 24)], rolls=[W.Rolling("m", "v", 24, "mean")])
+    assert _largest_task(out) <= 300
+
+
+@pytest.mark.parametrize("chunk_hours, bucket_rows", [(168, 20_000), (0.15, 20_000), ("auto", 30)])
+def test_narrow_buckets_brute_force(series, monkeypatch, chunk_hours, bucket_rows):
+    monkeypatch.setattr(W, "BUCKET_ROWS", bucket_rows, raising=False)
+    seconds, df = _dense(series, 700)
+    stats = ("mean", "std", "min", "max")
+    rolls = [W.Rolling(f"{s}{h}", "v", h, s) for s in stats for h in (1, 3, 24)]
+    lags = [W.Lag("l1", "v", 1, 2), W.Lag("l24", "v", 24, 60)]
+    got = W.window_features(df, lags=lags, rolls=rolls, chunk_hours=chunk_hours).orderBy("seq").collect()
+    v = [r.v for r in got]
+    for i, r in enumerate(got):
+        for h, tol, name in ((1, 2, "l1"), (24, 60, "l24")):
+            far = [(abs(x - seconds[i] + h * 3600), x, j) for j, x in enumerate(seconds) if abs(x - seconds[i] + h * 3600) <= tol * 60]
+            assert r[name] == (v[min(far)[2]] if far else None)
+        for h in (1, 3, 24):
+            inside = [j for j, x in enumerate(seconds) if seconds[i] - h * 3600 <= x <= seconds[i]]
+            known = [v[j] for j in inside if v[j] is not None]
+            if len(inside) < 2 or not known:
+                assert r[f"mean{h}"] is None and r[f"min{h}"] is None and r[f"max{h}"] is None
+                continue
+            assert (r[f"min{h}"], r[f"max{h}"]) == (min(known), max(known))
+            assert r[f"mean{h}"] == pytest.approx(np.mean(known))
+            assert r[f"std{h}"] == (pytest.approx(np.std(known, ddof=1), abs=1e-9) if len(known) > 1 else None)
+
+
 def test_change_rate_null_on_zero(series):
     df = series([("s", "10:00", 1, 0.0), ("s", "11:00", 2, 5.0), ("s", "12:00", 3, 10.0)])
     assert column(W.window_features(df, changes=[W.Change("c", "v", 1)]), "c") == [None, None, 1.0]
