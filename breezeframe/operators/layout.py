@@ -127,11 +127,14 @@ def carried(
 
     Inside a bucket a running frame finds it. What reaches in from other buckets comes
     from a carry table with one row per station and bucket, which is the only thing ever
-    ordered over a whole station.
+    ordered over a whole station. The rows are counted when this is called, and dealt out by
+    bucket to tasks of a bounded size before anything is sorted.
     """
     cols = list(cols)
-    bucketed = df.withColumn("_bucket", floor_div(micros(time), round(bucket_hours * US_PER_HOUR)))
     sides = {"_prev_": False, "_next_": True} if ahead else {"_prev_": False}
+    tasks = tasks_for(df.sparkSession, df.count() * len(sides))  # a row is sorted once a side
+    bucket = floor_div(micros(time), round(bucket_hours * US_PER_HOUR))
+    bucketed = df.withColumn("_bucket", bucket).repartition(tasks, *keys, "_bucket")
     place = F.struct(time, seq)
     edges, carries, nears = [], [], []
     for side, backward in sides.items():

@@ -114,6 +114,15 @@ def test_windows_spread_a_dense_series(series, monkeypatch):
     assert _largest_task(out) <= 300
 
 
+def test_fills_spread_a_dense_series(series, monkeypatch):
+    from breezeframe.operators import layout
+
+    monkeypatch.setattr(layout, "TASK_ROWS", 60, raising=False)
+    _, df = _dense(series)
+    out = layout.carried(df, ["v"], ahead=True, bucket_hours=1)
+    assert out.count() == 1500 and out.rdd.getNumPartitions() >= 25 and _largest_task(out) <= 300
+
+
 @pytest.mark.parametrize("chunk_hours, bucket_rows", [(168, 20_000), (0.15, 20_000), ("auto", 30)])
 def test_narrow_buckets_brute_force(series, monkeypatch, chunk_hours, bucket_rows):
     monkeypatch.setattr(W, "BUCKET_ROWS", bucket_rows, raising=False)
